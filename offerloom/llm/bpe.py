@@ -33,6 +33,7 @@ import heapq
 import json
 import unicodedata
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +74,8 @@ class Model:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str | int, tuple[int, ...]] = {}
+        self.older: dict[str | int, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text in order; special tokens as their ids."""
@@ -115,22 +116,21 @@ class Model:
         if len(self.known) > KEPT_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        new = {w for words in split for w in words if w not in known and isinstance(w, str)}
-        if older and new:
-            known.update((w, older[w]) for w in new if w in older)
-            new = {w for w in new if w not in known}
-        if new:
-            self.learn(sorted(new))
-        out = []
+        distinct: set[str | int] = set()
         for words in split:
-            ids: list[int] = []
-            for w in words:
-                if isinstance(w, str):
-                    ids += known[w]
+            distinct.update(words)
+        new = []
+        for w in distinct:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                elif isinstance(w, int):
+                    known[w] = (w,)
                 else:
-                    ids.append(w)
-            out.append(np.array(ids, dtype="<u4"))
-        return out
+                    new.append(w)
+        if new:
+            self.learn(sorted(new))
+        return [np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype="<u4") for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         token = self.token

@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import importance, ngram_join, quality_rules
+from offerloom.llm import bpe, decontaminate, importance, lm, ngram_join, quality_rules, token_counts
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer file; a parameter of the operators, looked up here alone."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,20 +26,48 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", bpe.digests(F.col("text"), vocabulary("word_bpe_49k.json")).alias("d")).select("doc_id", "d.*")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.with_counts(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),), limit=512)
+    return counted.select("doc_id", "tokens.n_bytes", "tokens.n_tokens", "tokens.over_limit")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality_rules.quality_rules(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return q.select("doc_id", *[f"quality.{c}" for c in quality_rules.BASE], "quality.base_failed", "quality.kept", F.round("quality.p_good", 6).alias("p_good"))
 
 
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    scored = lm.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return found.select(F.col("id").alias("doc_id"), F.round("log_weight", 4).alias("log_weight"), "kept")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits", F.col("start").alias("start_byte"), F.col("stop").alias("stop_byte"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_bpe": op3_bpe,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op8_lm": op8_lm,
     "op9_importance": op9_importance,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
