@@ -25,11 +25,13 @@ with a larger member use lists.  Sets just below the boundary do both.
 
 *Verification.*  Lists only propose pairs, and each proposed pair is verified
 by an exact intersection.  Equal sets are one node from the start.  A list of
-few sets proposes all its pairs; a longer one proposes its smallest member
-with each other, and only where the sets of such a list do not end in one
-component are the pairs across components proposed as well, so a group of
-thousands of near copies costs pairs in proportion to its size and still no
-link between different texts is lost.
+few sets proposes all its pairs; a longer one proposes its smallest member,
+the hub, with each other.  Where the sets of such a list do not end in one
+component, tasks scan the inverted lists of its n-grams with the sets outside
+the largest component, counting overlaps with all members at once; they return
+links that join components and no others.  So a group of thousands of near
+copies gives rows in proportion to its size and no link that joins different
+texts is lost.
 
 Work: three passes over the texts (sizes, keys, sets of proposed documents),
 one exchange of packed keys by key range, joins by set for verification.  The
@@ -61,6 +63,8 @@ from offerloom.llm.lineage import cut
 SHORT_LIST = 6
 #: Keys that one task of the exchange takes, about.
 KEYS_PER_RANGE = 1_500_000
+#: Sets of long lists that one task scans together, about.
+GROUP_SETS = 1024
 #: Proposed documents up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds them.
 BROADCAST_IDS = 500_000
 
@@ -266,19 +270,78 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     grams = cut(base.join(chosen, "id").select("set", "text").mapInArrow(_sets(width), "set long, grams binary").dropDuplicates(["set"]))
     linked = _verified(pairs, grams, percent)
     label = components(linked)
-    # Long lists whose sets are not yet one component: the pairs across components.
-    listed = pairs.where("long").select("a", "b")
-    listed = listed.union(listed.select("a", F.col("a").alias("b")).distinct())
-    named = listed.join(label.select(F.col("node").alias("b"), "label"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label"))
-    split = cut(named.join(named.groupBy("a").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("a"), "a", "left_semi"))
-    across = split.select("a", F.col("b").alias("p"), F.col("label").alias("lp")).join(split.select("a", F.col("b").alias("q"), F.col("label").alias("lq")), "a").where("p < q and lp <> lq and p <> a and q <> a")
-    across = across.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct().join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(across, grams, percent)
+    more = cut(_across(pairs, label, grams, percent))
     if not more.isEmpty():
         label = components(linked.union(more))
     return sized, label
 
 
+def _across(pairs: DataFrame, label: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components among the sets of long lists, enough of them to join all that belong together.
+
+    The sets that share their smallest hub are scanned together, each sent
+    once; sets of one list with different smallest hubs are scanned by list.
+    A group of more than GROUP_SETS sets is dealt into blocks, and every pair
+    of its blocks is a task of its own.
+    """
+    hub = pairs.where("long").select("a", "b")
+    hub = hub.union(hub.select("a", F.col("a").alias("b")).distinct())
+    named = hub.join(label.select(F.col("node").alias("b"), "label"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label"))
+    mixed = named.groupBy("a").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("a")
+    split = cut(named.join(mixed, "a", "left_semi"))
+    own = split.groupBy("b").agg(F.min("a").alias("c"), F.first("label").alias("label"))
+    by_hub = own.select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", "label", F.col("b").alias("c"))
+    listed = split.join(own.select("b", "c"), "b")
+    several = listed.groupBy("a").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("a")
+    by_list = listed.join(several, "a", "left_semi").select(F.lit(1).alias("kind"), F.col("a").alias("g"), "b", "label", "c")
+    rows = cut(by_hub.union(by_list))
+    size = rows.groupBy("kind", "g").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("kind", "g", F.ceil(F.col("m") / GROUP_SETS).cast("int").alias("blocks"))
+    dealt = rows.join(size, ["kind", "g"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("kind", "g", "b", "label", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
+    loaded = dealt.join(grams.withColumnRenamed("set", "b"), "b")
+    return loaded.groupBy("kind", "g", "i", "j").applyInArrow(_scan(percent), "a long, b long")
+
+
+def _scan(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Scan the inverted lists of a group's sets; links that join two components, each joined once."""
+        block, label, c = (t[x].to_numpy() for x in ("block", "label", "c"))
+        name, i, j = t["b"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), tb.U64) for x in t["grams"]]
+        kinds, count = np.unique(label, return_counts=True)
+        main = kinds[count.argmax()]
+        root = {int(x): int(x) for x in kinds}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for query, held in {(i, j), (j, i)}:
+            index = np.flatnonzero(block == held)
+            size = np.array([len(sets[k]) for k in index], dtype=np.int64)
+            gram = np.concatenate([sets[k] for k in index]) if len(index) else np.zeros(0, tb.U64)
+            order = np.argsort(gram, kind="stable")
+            gram, owner = gram[order], np.repeat(np.arange(len(index)), size)[order]
+            for k in np.flatnonzero((block == query) & (label != main)):
+                lo, hi = np.searchsorted(gram, sets[k], "left"), np.searchsorted(gram, sets[k], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(index))
+                linked = 100 * both >= percent * (len(sets[k]) + size - both)
+                for y in index[linked & (label[index] != label[k]) & (c[index] != c[k])]:
+                    p, q = find(int(label[k])), find(int(label[y]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        a.append(name[k])
+                        b.append(name[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     x = grams.select(F.col("set").alias("a"), F.col("grams").alias("x"))
     y = grams.select(F.col("set").alias("b"), F.col("grams").alias("y"))
