@@ -6,9 +6,11 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from offerloom.llm import importance, ngram_join, quality_rules
+from offerloom.llm import bpe, decontaminate, importance, ngram_join, quality_rules
 from offerloom.llm.lineage import shared_folder
+from offerloom.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,10 +30,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of a benchmark item."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their ids, the number of ids, and the digest of the text decoded from them."""
+    path = vocabulary("word_bpe_49k.json")
+    with_ids = bpe.encoded(docs, path)
+    read_back = bpe.decoded(with_ids, path)
+    return read_back.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", quality_classifier),
     ("quality_rules", rules),
     ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontamination),
+    ("bpe_encoding_and_decoding", tokens),
 ]
 
 #: Importance resampling, expectation-maximisation and BPE have no plain SQL form.
