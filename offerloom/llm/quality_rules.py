@@ -204,13 +204,13 @@ def quality_rules(
         fit = fit_votes(np.array([r["p"] for r in rows], dtype=np.int64), np.array([r["count"] for r in rows], dtype=float), len(rules))
     constant, each = fit.weights()
     odds = F.lit(constant)
-    for k, (b, g) in enumerate(each):
-        vote = F.floor(votes / F.lit(3**k)) % 3
-        odds = odds + F.when(vote == 2, b).when(vote == 1, g).otherwise(0.0)
-    p_good = 1 / (1 + F.exp(-odds))
+    for r, (b, g) in zip(rules, each, strict=True):
+        odds = odds + F.when(F.expr(_qualified(r.bad, into)), b).when(F.expr(_qualified(r.good, into)), g).otherwise(0.0)
+    # Each step is a projection of its own, so that no long expression is repeated in the next.
+    judged = numbers.withColumn("__pattern", votes).withColumn("__p_good", 1 / (1 + F.exp(-odds))).withColumn("__failed", base_failed(into))
     fields = [F.col(f"{into}.{c}").alias(c) for c in NUMBERS]
-    failed = base_failed(into)
-    return numbers.withColumn(into, F.struct(*fields, votes.alias("pattern"), p_good.alias("p_good"), failed.alias("base_failed"), (~failed & (p_good >= least)).alias("kept")))
+    fields += [F.col("__pattern").alias("pattern"), F.col("__p_good").alias("p_good"), F.col("__failed").alias("base_failed"), (~F.col("__failed") & (F.col("__p_good") >= least)).alias("kept")]
+    return judged.withColumn(into, F.struct(*fields)).drop("__pattern", "__p_good", "__failed")
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
