@@ -26,7 +26,7 @@ with a larger member use lists.  Sets just below the boundary do both.
 *Verification.*  Lists only propose pairs, and each proposed pair is verified
 by an exact intersection.  Equal sets are one node from the start.  A list of
 few sets proposes all its pairs; a longer one proposes its smallest member,
-the hub, with each other.  Where the sets of such a list do not end in one
+the hub, with each other, and each set meets the smallest of its hubs.  Where the sets of such a list do not end in one
 component, tasks scan the inverted lists of its n-grams with the sets outside
 the largest component, counting overlaps with all members at once; they return
 links that join components and no others.  So a group of thousands of near
@@ -233,10 +233,12 @@ def _proposals(table: pa.Table) -> pa.Table:
 def _sets(width: int):
     def run(batches):
         for batch in batches:
-            found = list(ngram_sets(batch.column(1), width))
+            # An id may stand on several rows with different texts: the set's own text is asked for.
+            names = batch.column(0).to_numpy().view(tb.U64)
+            found = [(k, s) for k, s in zip(names, ngram_sets(batch.column(1), width), strict=True) if len(s) and set_key(s) == k]
             for at in range(0, len(found), 256):
-                some = pa.array([s.tobytes() for s in found[at : at + 256]], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), some], names=["set", "grams"])
+                some = found[at : at + 256]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in some]).view(np.int64)), pa.array([s.tobytes() for _, s in some], pa.binary())], names=["set", "grams"])
 
     return run
 
@@ -267,8 +269,13 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     chosen = cut(sized.where("n > 0").groupBy("set").agg(F.min("id").alias("id")).join(member, "set", "left_semi").where("id is not null"))
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    grams = cut(base.join(chosen, "id").select("set", "text").mapInArrow(_sets(width), "set long, grams binary").dropDuplicates(["set"]))
-    linked = _verified(pairs, grams, percent)
+    grams = base.join(chosen, "id").select("set", "text").mapInArrow(_sets(width), "set long, grams binary")
+    if not sized.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
+        grams = grams.dropDuplicates(["set"])
+    grams = cut(grams)
+    # Of long lists each set meets its smallest hub first; what that leaves apart is scanned below.
+    hubs = pairs.where("long").groupBy("b").agg(F.min("a").alias("a"))
+    linked = _verified(pairs.where("not long").select("a", "b").union(hubs.select("a", "b")), grams, percent)
     label = components(linked)
     more = cut(_across(pairs, label, grams, percent))
     if not more.isEmpty():
