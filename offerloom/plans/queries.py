@@ -1,10 +1,492 @@
-"""The registered queries of the catalogue library and the SQL they are held against."""
+"""The registered queries of the catalogue library and the SQL they are held against.
+
+Every query reads listings made from the star-schema tables, price
+observations or run logs made from the event stream, or those tables
+themselves; the SQL says the same independently, over the same tables.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from offerloom.functions import names, rules
+from offerloom.operators import audit, groups, history, ingest, match, serve
+from offerloom.sources import feeds, pages, tables
+from offerloom.streaming import jobs
+
+Query = Callable[[SparkSession, str], DataFrame]
+SOURCES = ["s0", "s1", "s2"]
+
+
+# Derived inputs ------------------------------------------------------------
+
+
+def offers(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings with the columns that matching and serving read; names are cleaned by the generic steps."""
+    raw = tables.listings(spark, folder)
+    return raw.withColumns({"name": names.generic_clean(F.col("raw_name")), "model": F.lit(None).cast("string"), "in_stock": F.col("price") % 5 != 0, "updated_at": F.col("scraped_at"), "specs": F.create_map(F.lit("size"), F.regexp_extract("raw_name", "([0-9]+)GB?", 1))})
+
+
+def grouped(spark: SparkSession, folder: str) -> DataFrame:
+    """Offers with one group for each part that two sources or more have, and their own for the rest."""
+    o = offers(spark, folder)
+    return match.assign_group_ids(o, match.exact_groups(o))
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_CLEAN = "trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_name, '<[^>]+>', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '\\$\\s*[\\d,]+', ' ', 'g'), '\\s+', ' ', 'g')), '^[\\s,\\-、]+|[\\s,\\-、]+$', '', 'g'))"
+_KEY = "upper('NAME-' || category || '-' || brand || '-' || list_aggregate(list_sort(list_distinct(regexp_extract_all(replace(upper(name), upper(brand), ' '), '[A-Za-z0-9]+'))), 'string_agg', ''))"
+_OFFERS = f"""l AS ({tables.LISTINGS_SQL}),
+o AS (SELECT *, {_CLEAN} AS name, price % 5 <> 0 AS in_stock, regexp_extract(raw_name, '([0-9]+)GB?', 1) AS size FROM l),
+k AS (SELECT *, replace({_KEY}, ' ', '') AS key FROM o),
+x AS (SELECT key FROM k WHERE length(name) >= 8 GROUP BY key HAVING count(DISTINCT source) > 1),
+g AS (SELECT k.*, coalesce('match-' || substr(md5(x.key), 1, 12), 'mg-' || id) AS gid FROM k LEFT JOIN x ON k.key = x.key AND length(name) >= 8)"""
+_GROUPS = f"""{_OFFERS},
+p AS (SELECT gid, source, min(price) AS low FROM g GROUP BY gid, source),
+m AS (SELECT gid AS id, min(low) AS lowest_price, max(low) AS highest_price, CAST(count(*) > 1 AS INT) AS has_multiple_sources FROM p GROUP BY gid),
+n AS (SELECT gid AS id, min(struct_pack(n := length(name), name := name)).name AS name, max(brand) AS brand, max(category) AS category, max(subcategory) AS subcategory, max(scraped_at) AS updated_at FROM g GROUP BY gid),
+grp AS (SELECT * FROM m JOIN n USING (id))"""
+
+
+def _groups(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.build_match_groups(grouped(spark, folder))
+
+
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Sources -------------------------------------------------------------------
+
+
+@query(f"WITH l AS ({tables.LISTINGS_SQL}) SELECT id, source, raw_name, price, brand, category FROM l")
+def union_sources(spark: SparkSession, folder: str) -> DataFrame:
+    all_ = tables.listings(spark, folder).select("id", "source", "raw_name", "price", "brand", "category")
+    return feeds.union_sources(*[all_.where(F.col("source") == s) for s in SOURCES])
+
+
+@query(f"WITH l AS ({tables.LISTINGS_SQL}) SELECT id, source || '-' || substr(md5(raw_name || '-' || CAST(price AS VARCHAR)), 1, 12) AS listing_id FROM l")
+def listing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.listings(spark, folder).select("id", feeds.listing_id(F.col("source"), F.col("raw_name"), F.col("price")).alias("listing_id"))
+
+
+_OPTION = "p_name || ' ' || p_type || CASE p_partkey % 5 WHEN 0 THEN ' ↘' WHEN 1 THEN ' 漲' WHEN 2 THEN ' NEW' ELSE '' END || CASE p_partkey % 7 WHEN 0 THEN ' 缺貨' ELSE '' END || CASE p_partkey % 11 WHEN 0 THEN '' ELSE ' $' || CAST(p_size AS STRING) || ',' || CAST(100 + p_size AS STRING) END"
+
+
+@query(f"""WITH o AS (SELECT p_partkey, {_OPTION} AS t FROM part)
+SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(t, '\\$\\s*[\\d,]+', ' ', 'g'), '[↘↗↓↑]', ' ', 'g'), '\\s+', ' ', 'g')) AS name,
+       CAST(replace(regexp_extract(t, '\\$([0-9][0-9,]*)', 1), ',', '') AS BIGINT) AS price,
+       CASE WHEN t LIKE '%↘%' OR t LIKE '%降%' THEN 'down' WHEN t LIKE '%↗%' OR t LIKE '%漲%' THEN 'up' WHEN t LIKE '%新品%' OR t LIKE '%NEW%' THEN 'new' END AS price_change,
+       NOT regexp_matches(t, '缺貨|停售|售完') AS in_stock
+FROM o WHERE t LIKE '%$%'""")
+def parse_option_text(spark: SparkSession, folder: str) -> DataFrame:
+    o = tables.view(spark, folder, f"SELECT p_partkey, {_OPTION} AS option FROM part", "part")
+    return pages.parse_option_text(o).select("p_partkey", "name", "price", "price_change", "in_stock")
+
+
+@query(f"""WITH o AS (SELECT p_partkey, {_OPTION} AS t FROM part)
+SELECT CAST(p_partkey % 50 AS STRING) AS page_id, CASE WHEN p_partkey % 4 = 0 THEN 'n4' ELSE 'n5' END AS select_name, trim(t) AS option,
+       CASE WHEN p_partkey % 4 = 0 THEN 'cpu' ELSE 'other' END AS category FROM o WHERE p_partkey % 4 <> 3""")
+def parse_option_pages(spark: SparkSession, folder: str) -> DataFrame:
+    # Each page: options of two selects, one of them in a group, and a select that is skipped.
+    o = tables.view(spark, folder, f"SELECT p_partkey, {_OPTION} AS t FROM part", "part")
+    tag = F.concat(F.lit("<option value='1'>"), F.col("t"), F.lit("</option>"))
+    lists = o.groupBy((F.col("p_partkey") % 50).cast("string").alias("page_id")).agg(*[F.array_join(F.collect_list(F.when(F.col("p_partkey") % 4 == k, tag)), "").alias(f"k{k}") for k in range(4)])
+    html = F.concat(F.lit("<html><select name='n4'><optgroup label='x'>"), "k0", F.lit("</optgroup></select><select name='n5'>"), "k1", "k2", F.lit("</select><select name='q_1'>"), "k3", F.lit("</select></html>"))
+    made = lists.select("page_id", html.cast("binary").alias("content"))
+    return pages.parse_option_pages(made, {"n4": "cpu"}, encoding="utf-8").select("page_id", "select_name", "option", "category")
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name, p_brand, p_size FROM part)
+SELECT k AS feed_id, p_name AS name, CAST(p_size * 10 AS BIGINT) AS price, k % 3 <> 0 AS in_stock, p_brand AS brand, CASE WHEN k % 3 = 2 THEN 'c' || CAST(k % 2 AS STRING) END AS feed_key FROM p WHERE p_size > 0""")
+def json_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    p = tables.read_table(spark, folder, "part")
+    item = F.concat(F.lit('{"prod_name":"'), "p_name", F.lit('","price":"'), (F.col("p_size") * 10).cast("string"), F.lit(' TWD","brand":"'), "p_brand", F.lit('","stock":"'), F.when(F.col("p_partkey") % 3 == 0, "0").otherwise("5"), F.lit('"}'))
+    shape = F.col("p_partkey") % 3
+    text = F.when(shape == 0, F.concat(F.lit("["), item, F.lit(",7]"))).when(shape == 1, F.concat(F.lit('{"ok":true,"products":['), item, F.lit("]}"))).otherwise(F.concat(F.lit('{"c'), (F.col("p_partkey") % 2).cast("string"), F.lit('":['), item, F.lit(',null],"note":"x"}')))
+    items = feeds.explode_json_feed(p.select(F.col("p_partkey").alias("feed_id"), text.alias("json")))
+    return feeds.feed_to_listings(items).select("feed_id", "name", "price", "in_stock", "brand", "feed_key")
+
+
+@query("SELECT p_partkey AS group_id, CAST(p_partkey AS STRING) AS prod_id, p_name AS name, CAST(p_size AS BIGINT) AS price, CASE WHEN p_partkey % 4 = 1 THEN 'new' END AS price_change FROM part WHERE p_partkey % 10 <> 0 AND p_size > 0")
+def grouped_feeds(spark: SparkSession, folder: str) -> DataFrame:
+    p = tables.read_table(spark, folder, "part")
+    k = F.col("p_partkey")
+    text = F.concat(F.lit('{"ErrCode":'), F.when(k % 10 == 0, "9").otherwise("1"), F.lit(',"ProductsData":[{"ProdId":"'), k.cast("string"), F.lit('","ProdName":"'), "p_name", F.lit(' ☆99元","Price":"'), F.col("p_size").cast("string"), F.lit('.50","IsNew":'), F.when(k % 4 == 1, "1").otherwise("0"), F.lit("}]}"))
+    return feeds.grouped_feed_to_listings(p.select(k.alias("group_id"), text.alias("json"))).select("group_id", "prod_id", "name", "price", "price_change")
+
+
+# Names ---------------------------------------------------------------------
+
+_TITLE = """concat(element, ' ', CASE p_partkey % 6 WHEN 0 THEN 'Core i5-14400F' WHEN 1 THEN 'Ryzen 7 9800X3D' WHEN 2 THEN 'Core Ultra 9 285K' WHEN 3 THEN 'R5 7600' WHEN 4 THEN 'i3 ' ELSE 'B760M' END, ' ', p_name)"""
+_MAKERS = ["華碩", "ASUS TUF", "msi mag", "Western Digital", "WD", "LGX", "LG ", "T-FORCE", "Micron", "hp-", "Cooler Master", "nobody"]
+_TITLES = f"SELECT p_partkey, {_TITLE.replace('element', 'CASE p_partkey % 12 ' + ' '.join(f'WHEN {k} THEN {chr(39)}{m}{chr(39)}' for k, m in enumerate(_MAKERS)) + ' END')} AS title FROM part"
+_NEEDLES = ", ".join(f"({k}, '{n}', {str(names.is_short(n)).lower()}, '{b}')" for k, (n, b) in enumerate(names.brand_needles()))
+
+
+@query(f"""WITH t AS ({_TITLES}), n(rank, needle, short, brand) AS (VALUES {_NEEDLES}),
+h AS (SELECT p_partkey, min(struct_pack(r := rank, b := brand)).b AS brand FROM t JOIN n
+      ON CASE WHEN short THEN regexp_matches(upper(title), '(^|[^A-Z0-9])' || needle || '([^A-Z0-9]|$)') ELSE contains(upper(title), needle) END GROUP BY p_partkey)
+SELECT p_partkey, h.brand FROM t LEFT JOIN h USING (p_partkey)""")
+def extract_brand(spark: SparkSession, folder: str) -> DataFrame:
+    t = tables.view(spark, folder, _TITLES, "part")
+    return t.select("p_partkey", names.extract_brand(F.col("title")).alias("brand"))
+
+
+@query(f"""WITH t AS ({_TITLES}) SELECT p_partkey, CASE
+  WHEN regexp_matches(title, '(?i)\\b(?:Core\\s*)?i([3579])[\\s-]?(\\d{{4,5}})([A-Z]{{0,2}})\\b') THEN upper(regexp_replace(regexp_extract(title, '(?i)\\b(?:Core\\s*)?i([3579])[\\s-]?(\\d{{4,5}})([A-Z]{{0,2}})\\b'), '(?i)^(?:Core\\s*)?i([3579])[\\s-]?', 'I\\1-'))
+  WHEN regexp_matches(title, '(?i)\\bUltra\\s*[3579]\\s*\\d{{3}}[A-Z]{{0,2}}\\b') THEN upper(regexp_replace(regexp_extract(title, '(?i)\\bUltra\\s*[3579]\\s*\\d{{3}}[A-Z]{{0,2}}\\b'), '(?i)^Ultra\\s*([3579])\\s*', 'ULTRA\\1-'))
+  WHEN regexp_matches(title, '(?i)\\b(?:Ryzen|R)\\s*[3579]\\s*[-\\s]?\\d{{4}}[A-Z0-9]{{0,3}}\\b') THEN upper(regexp_replace(regexp_extract(title, '(?i)\\b(?:Ryzen|R)\\s*[3579]\\s*[-\\s]?\\d{{4}}[A-Z0-9]{{0,3}}\\b'), '(?i)^(?:Ryzen|R)\\s*([3579])\\s*[-\\s]?', 'RYZEN\\1-'))
+  END AS model FROM t""")
+def extract_cpu_model(spark: SparkSession, folder: str) -> DataFrame:
+    t = tables.view(spark, folder, _TITLES, "part")
+    return t.select("p_partkey", names.extract_cpu_model(F.col("title")).alias("model"))
+
+
+@query(f"WITH {_OFFERS} SELECT id, name FROM o")
+def clean_names(spark: SparkSession, folder: str) -> DataFrame:
+    return offers(spark, folder).select("id", "name")
+
+
+_COLOURED = "SELECT p_partkey, concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' (黑色) ' WHEN 1 THEN ' White版 ' WHEN 2 THEN ' PINK ' ELSE ' 靜音紅軸 ' END, p_type) AS raw_name, CASE WHEN p_partkey % 3 = 0 THEN 'keyboard' ELSE 'ram' END AS category FROM part"
+
+
+@query(f"""WITH c AS ({_COLOURED}), s AS (SELECT *, trim(regexp_replace(regexp_replace(raw_name, '\\([^)]*\\)', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM c),
+k AS (SELECT *, CASE WHEN raw_name LIKE '%桃色%' OR raw_name ILIKE '%pink%' THEN '粉色' WHEN raw_name ILIKE '%black%' OR raw_name LIKE '%黑色%' THEN '黑色' WHEN raw_name ILIKE '%white%' THEN '白色'
+  WHEN raw_name ILIKE '%blue%' THEN '藍色' WHEN raw_name ILIKE '%red%' THEN '紅色' WHEN raw_name ILIKE '%green%' THEN '綠色' END AS colour FROM s)
+SELECT p_partkey, CASE WHEN category = 'ram' THEN s ELSE
+  trim(regexp_replace(CASE WHEN colour = '黑色' THEN regexp_replace(s, '(?i)\\bBLACK\\b', ' ', 'g') WHEN colour = '白色' THEN regexp_replace(s, '(?i)\\bWHITE\\b', ' ', 'g') ELSE s END, '\\s+', ' ', 'g'))
+  || CASE WHEN colour IS NULL THEN '' ELSE ' ' || colour END END AS name FROM k""")
+def variant_names(spark: SparkSession, folder: str) -> DataFrame:
+    c = tables.view(spark, folder, _COLOURED, "part")
+    return c.select("p_partkey", names.clean_name(F.col("raw_name"), F.col("category")).alias("name"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '限組裝' WHEN 1 THEN '組裝價' WHEN 2 THEN '搭板價' WHEN 3 THEN '搭購價' WHEN 4 THEN '加購價' END AS condition FROM part""")
+def price_conditions(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.concat("p_name", F.element_at(F.array(*[F.lit(x) for x in (" 限整機", " 組裝價", " 任搭CPU", " 套裝搭購", " 限加購", " 單賣")]), (F.col("p_partkey") % 6 + 1).cast("int")))
+    return tables.read_table(spark, folder, "part").select("p_partkey", ingest.price_condition(text).alias("condition"))
+
+
+@query(f"WITH {_OFFERS} SELECT id, price FROM o WHERE price >= 1000")
+def drop_junk_prices(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.drop_junk_prices(offers(spark, folder), 1000).select("id", "price")
+
+
+@query(f"WITH {_OFFERS} SELECT id, category FROM o WHERE category IN ('economy', 'small')")
+def retain_listings(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.retain_listings(offers(spark, folder), ("economy", "small")).select("id", "category")
+
+
+# Matching ------------------------------------------------------------------
+
+
+@query(f"WITH {_OFFERS} SELECT id, CASE WHEN length(name) >= 8 THEN key END AS key FROM k")
+def exact_match_keys(spark: SparkSession, folder: str) -> DataFrame:
+    o = offers(spark, folder)
+    return o.select("id", match.exact_match_key(o).alias("key"))
+
+
+@query(f"WITH {_OFFERS} SELECT id, gid AS match_group_id FROM g")
+def assign_group_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return grouped(spark, folder).select("id", "match_group_id")
+
+
+_DISK = "SELECT p_partkey, concat(p_name, CASE p_partkey % 3 WHEN 0 THEN concat(' ST', CAST(4000 + p_size AS STRING), 'DM', '004') WHEN 1 THEN ' 梭魚 ' ELSE ' WD Red ' END, CASE p_partkey % 2 WHEN 0 THEN ' 4TB 7200轉' ELSE ' 8T' END) AS raw FROM part"
+
+
+@query(f"""WITH d AS ({_DISK}) SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN trim(regexp_extract(raw, 'ST[0-9]{{4}}DM004')) END AS part_number,
+  CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'HDD-SPEC-SEAGATE-' || CASE WHEN p_partkey % 3 = 1 THEN 'BARRACUDA' ELSE 'RED' END || '-4T-7200' END AS spec_key FROM d""")
+def hdd_keys(spark: SparkSession, folder: str) -> DataFrame:
+    d = tables.view(spark, folder, _DISK, "part")
+    return d.select("p_partkey", match.hdd_part_number(F.col("raw")).alias("part_number"), match.hdd_spec_key(F.col("raw"), F.lit("Seagate")).alias("spec_key"))
+
+
+#: Prices near each other for most parts, so that token matching finds pairs and the price guard drops some.
+_NEAR = f"""SELECT id, source, raw_name, CAST(floor(p_retailprice * (1 + 0.1 * CAST(substr(source, 2) AS INT)) * CASE WHEN p_partkey % 7 = 0 AND source = 's2' THEN 2 ELSE 1 END) AS BIGINT) AS price, brand, category, pk
+FROM ({tables.LISTINGS_SQL}) listing JOIN part ON p_partkey = pk"""
+
+
+def _near(spark: SparkSession, folder: str) -> DataFrame:
+    near = tables.view(spark, folder, _NEAR, "lineitem", "part")
+    # The part number keeps parts apart: a name has about six tokens, one of them its own.
+    name = F.concat_ws(" ", names.generic_clean(F.col("raw_name")), F.concat(F.lit("PN"), F.col("pk").cast("string")), F.concat(F.lit("MK"), F.col("pk").cast("string")), F.concat(F.lit("QX"), F.col("pk").cast("string")))
+    return near.withColumns({"name": name, "model": F.lit(None).cast("string")})
+
+
+_PAIRS = f"""t AS (SELECT id, source, category, price, pk, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(upper({_CLEAN} || ' PN' || pk || ' MK' || pk || ' QX' || pk), '[^A-Z0-9]+', ' ', 'g'), ' +'), lambda w: length(w) > 1))) AS w FROM ({_NEAR}) near),
+c AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM t a JOIN t b ON a.category = b.category AND a.pk = b.pk AND a.id < b.id AND a.source <> b.source WHERE greatest(a.price, b.price) <= 1.6 * least(a.price, b.price)),
+pairs AS (SELECT a, b, i / (n - i) AS similarity FROM c WHERE i / (n - i) >= 0.7)"""
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
+def candidate_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return match.candidate_pairs(_near(spark, folder)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {_PAIRS}, p AS (SELECT pk, max(price) AS h, min(price) AS l FROM t GROUP BY pk),
+e AS (SELECT x.pk, bool_or(x.source = 's0' AND y.source = 's1') AS e01, bool_or(x.source = 's0' AND y.source = 's2') AS e02 FROM pairs JOIN t x ON x.id = a JOIN t y ON y.id = b GROUP BY x.pk)
+SELECT count(*) AS groups, CAST(sum(CASE WHEN e01 AND e02 AND h <= 1.6 * l THEN 3 ELSE 2 END) AS BIGINT) AS members FROM e JOIN p USING (pk)""")
+def fuzzy_groups(spark: SparkSession, folder: str) -> DataFrame:
+    near = _near(spark, folder)
+    found = match.fuzzy_groups(near, match.candidate_pairs(near))
+    return found.groupBy("group_key").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum("n").alias("members"))
+
+
+@query()
+def match_listings(spark: SparkSession, folder: str) -> DataFrame:
+    return match.match_listings(_near(spark, folder))
+
+
+@query()
+def compare(spark: SparkSession, folder: str) -> DataFrame:
+    found = serve.filter_listings(_near(spark, folder).withColumn("specs", F.create_map(F.lit("x"), F.lit("y"))), serve.Filters(search="ring"))
+    return match.match_listings(found)
+
+
+# Groups --------------------------------------------------------------------
+
+
+@query(f"WITH {_GROUPS} SELECT id, name, brand, category, subcategory, lowest_price, highest_price, has_multiple_sources FROM grp")
+def build_match_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return _groups(spark, folder).select("id", "name", "brand", "category", "subcategory", "lowest_price", "highest_price", "has_multiple_sources")
+
+
+@query(f"WITH {_GROUPS} SELECT gid AS id, min(price) AS lowest_price, max(price) AS highest_price, max(price) - min(price) AS price_diff, count(*) AS members, min(struct_pack(n := length(name), i := id, name := name)).name AS name FROM g GROUP BY gid")
+def group_records(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.group_records(grouped(spark, folder))
+
+
+@query(f"WITH {_GROUPS} SELECT category, count(*) AS n FROM grp GROUP BY category")
+def category_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.category_counts(_groups(spark, folder))
+
+
+@query(f"WITH {_GROUPS} SELECT count(*) AS n FROM grp WHERE category = 'economy'")
+def group_count(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.group_count(_groups(spark, folder), "economy")
+
+
+@query(f"WITH {_GROUPS} SELECT subcategory, count(*) AS n FROM grp WHERE category = 'economy' GROUP BY subcategory")
+def subcategory_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.subcategory_counts(_groups(spark, folder), "economy")
+
+
+@query(f"""WITH {_GROUPS}, v AS (SELECT category, string_split(subcategory, ' > ') AS s FROM grp)
+SELECT category, s[1] AS node, 1 AS depth, CAST(0 AS BIGINT) AS own, count(*) AS total FROM v GROUP BY category, s[1]
+UNION ALL SELECT category, s[1] || ' > ' || s[2], 2, count(*), count(*) FROM v GROUP BY category, s[1], s[2]""")
+def subcategory_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.subcategory_tree(_groups(spark, folder))
+
+
+@query(f"WITH {_GROUPS} SELECT brand, count(*) AS n FROM grp WHERE category = 'small' GROUP BY brand")
+def brand_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.brand_counts(_groups(spark, folder), "small")
+
+
+@query(f"WITH {_GROUPS} SELECT source, count(*) AS products, (SELECT count(*) FROM g) AS total_products, (SELECT count(*) FROM grp) AS total_groups FROM g GROUP BY source")
+def health_summary(spark: SparkSession, folder: str) -> DataFrame:
+    g = grouped(spark, folder)
+    return groups.health_summary(g, groups.build_match_groups(g))
+
+
+@query(f"WITH {_GROUPS} SELECT category, CAST(sum(has_multiple_sources) AS BIGINT) AS multi, count(*) AS total, round(100.0 * sum(has_multiple_sources) / count(*), 1) AS rate FROM grp GROUP BY category HAVING sum(has_multiple_sources) > 0 ORDER BY multi DESC, category LIMIT 15")
+def cross_store_rate(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.cross_store_rate(_groups(spark, folder))
+
+
+@query(f"WITH {_OFFERS} SELECT subcategory AS label, count(*) AS n FROM o WHERE category = 'economy' GROUP BY subcategory ORDER BY n DESC, label LIMIT 15")
+def distribution(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.distribution(offers(spark, folder), "economy")
+
+
+@query(f"""WITH {_GROUPS}, w AS (SELECT gid AS id, min(CASE WHEN source = 's0' THEN price END) AS price_s0, min(CASE WHEN source = 's1' THEN price END) AS price_s1, min(CASE WHEN source = 's2' THEN price END) AS price_s2, count(DISTINCT source) AS n_sources FROM g GROUP BY gid)
+SELECT id, name, price_s0, price_s1, price_s2, n_sources, least(price_s0, price_s1, price_s2) AS lowest, greatest(price_s0, price_s1, price_s2) AS highest, greatest(price_s0, price_s1, price_s2) - least(price_s0, price_s1, price_s2) AS saving FROM w JOIN grp USING (id)""")
+def comparison_cards(spark: SparkSession, folder: str) -> DataFrame:
+    g = grouped(spark, folder)
+    return groups.comparison_cards(groups.build_match_groups(g), g, SOURCES)
+
+
+@query(f"WITH {_OFFERS} SELECT DISTINCT category, category AS label, 98 AS display_order FROM o")
+def category_meta(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.with_category_meta(offers(spark, folder).select("category").distinct())
+
+
+@query(f"""WITH {_GROUPS}, s AS (SELECT g.* FROM g JOIN grp ON g.gid = grp.id WHERE has_multiple_sources = 0)
+SELECT id, source, category, brand, subcategory AS model FROM s WHERE EXISTS (SELECT 1 FROM g o WHERE o.category = s.category AND o.brand = s.brand AND o.subcategory = s.subcategory AND o.source <> s.source AND o.gid <> s.gid)""")
+def singletons_with_twin(spark: SparkSession, folder: str) -> DataFrame:
+    g = grouped(spark, folder).withColumn("model", F.col("subcategory"))
+    return groups.singletons_with_twin(g, groups.build_match_groups(g))
+
+
+# Views ---------------------------------------------------------------------
+
+
+@query(f"WITH {_OFFERS} SELECT id, price FROM o WHERE category = 'economy' AND price BETWEEN 100 AND 90000 AND in_stock AND (name ILIKE '%RING%' OR brand ILIKE '%RING%' OR raw_name ILIKE '%RING%') AND (subcategory = 'economy' OR subcategory LIKE 'economy > %') AND size <> '' AND size = '11'")
+def filter_listings(spark: SparkSession, folder: str) -> DataFrame:
+    f = serve.Filters(category="economy", min_price=100, max_price=90000, in_stock=True, search="RING", subcategory="economy", facets={"size": "11"})
+    return serve.filter_listings(offers(spark, folder), f).select("id", "price")
+
+
+@query(f"""WITH {_GROUPS} SELECT id, lowest_price FROM grp WHERE lowest_price >= 500 AND has_multiple_sources = 1
+AND id IN (SELECT gid FROM g WHERE source = 's1') AND id IN (SELECT gid FROM g WHERE in_stock)""")
+def filter_groups(spark: SparkSession, folder: str) -> DataFrame:
+    g = grouped(spark, folder)
+    f = serve.Filters(min_price=500, has_multiple_sources=True, source="s1", in_stock=True)
+    return serve.filter_groups(groups.build_match_groups(g), g, f).select("id", "lowest_price")
+
+
+@query(f"WITH {_OFFERS} SELECT id, price FROM o ORDER BY price DESC, id LIMIT 50 OFFSET 100")
+def page_listings(spark: SparkSession, folder: str) -> DataFrame:
+    return serve.page_listings(offers(spark, folder), "price_desc", page=3).select("id", "price")
+
+
+@query(f"WITH {_GROUPS} SELECT id, lowest_price FROM grp ORDER BY lowest_price, id LIMIT 200")
+def page_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return serve.page_groups(_groups(spark, folder), "price_asc", page=1, limit=1000).select("id", "lowest_price")
+
+
+@query(f"WITH {_GROUPS} SELECT gid AS id, count(*) AS members, string_agg(id, ',' ORDER BY price, id) AS ids FROM g GROUP BY gid")
+def groups_with_members(spark: SparkSession, folder: str) -> DataFrame:
+    g = grouped(spark, folder)
+    found = serve.groups_with_members(groups.build_match_groups(g), g)
+    return found.select("id", F.size("members").cast("long").alias("members"), F.array_join(F.transform("members", lambda m: m["id"]), ",").alias("ids"))
+
+
+# History -------------------------------------------------------------------
+
+
+@query(f"""WITH v AS ({tables.OBSERVATIONS_SQL}), w AS (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY recorded_at, price) AS before, row_number() OVER (PARTITION BY product_id ORDER BY recorded_at, price) AS r FROM v)
+SELECT product_id, price, recorded_at FROM w WHERE r = 1 OR price IS DISTINCT FROM before""")
+def price_changes(spark: SparkSession, folder: str) -> DataFrame:
+    return history.price_changes(tables.observations(spark, folder))
+
+
+@query(f"WITH v AS ({tables.OBSERVATIONS_SQL}), w AS (SELECT *, CAST(row_number() OVER (PARTITION BY product_id ORDER BY recorded_at DESC, price DESC) AS INT) AS rank FROM v) SELECT * FROM w WHERE rank <= 10")
+def recent_history(spark: SparkSession, folder: str) -> DataFrame:
+    return history.recent_history(tables.observations(spark, folder), 10)
+
+
+@query(f"""WITH l AS ({tables.LOGS_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY created_at DESC, status DESC) AS k FROM l),
+s AS (SELECT DISTINCT source FROM l UNION ALL SELECT 'never'), o AS (SELECT concat('u', CAST(user_id % 7 AS STRING)) AS source, count(*) AS n FROM events GROUP BY 1), t AS (SELECT max(created_at) AS now FROM l)
+SELECT s.source, CASE WHEN created_at IS NULL THEN 'stale' WHEN status = 'error' THEN 'error' WHEN created_at < now - INTERVAL 2 HOURS THEN 'stale' ELSE 'healthy' END AS status, created_at AS last_run, coalesce(n, 0) AS product_count, CASE WHEN status = 'error' THEN error_message END AS last_error
+FROM s CROSS JOIN t LEFT JOIN r ON r.source = s.source AND k = 1 LEFT JOIN o ON o.source = s.source""")
+def source_status(spark: SparkSession, folder: str) -> DataFrame:
+    logs = tables.logs(spark, folder)
+    sources = logs.select("source").distinct().union(spark.range(1).select(F.lit("never")))
+    items = tables.read_table(spark, folder, "events").select(F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("source"))
+    now = logs.agg(F.max("created_at")).first()[0]
+    return history.source_status(items, logs, F.lit(now), sources)
+
+
+# Maintenance ---------------------------------------------------------------
+
+
+def _tables(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The stored listings (parts below a third are missing) and a batch of s0 in which every fourth price differs."""
+    g = grouped(spark, folder).select("id", "source", "name", "price", "match_group_id", "scraped_at", "updated_at", "pk")
+    batch = g.where((F.col("source") == "s0") & (F.col("pk") % 5 != 0)).withColumns({"price": F.when(F.col("pk") % 4 == 0, F.col("price") + 1).otherwise(F.col("price")), "scraped_at": F.lit("2030-01-01").cast("timestamp_ntz")}).drop("match_group_id", "updated_at")
+    return g.where(F.col("pk") % 3 != 0), batch
+
+
+_UPSERT = f"""WITH {_OFFERS}, cur AS (SELECT * FROM g WHERE pk % 3 <> 0),
+bat AS (SELECT id, source, price + CAST(pk % 4 = 0 AS INT) AS price, pk FROM g WHERE source = 's0' AND pk % 5 <> 0)"""
+
+
+@query(f"""{_UPSERT} SELECT coalesce(bat.id, cur.id) AS id, coalesce(bat.price, cur.price) AS price, coalesce(cur.gid, 'mg-' || bat.id) AS match_group_id, bat.id IS NOT NULL AS fresh FROM cur FULL JOIN bat USING (id)""")
+def upsert(spark: SparkSession, folder: str) -> DataFrame:
+    current, batch = _tables(spark, folder)
+    products, _ = ingest.upsert(current, batch, F.lit("2030-01-02").cast("timestamp_ntz"))
+    return products.select("id", "price", "match_group_id", (F.year("updated_at") == 2030).alias("fresh"))
+
+
+@query(f"{_UPSERT} SELECT bat.id AS product_id, bat.price FROM bat LEFT JOIN cur USING (id) WHERE cur.id IS NULL OR cur.price <> bat.price")
+def upsert_history(spark: SparkSession, folder: str) -> DataFrame:
+    current, batch = _tables(spark, folder)
+    return ingest.upsert(current, batch, F.lit("2030-01-02").cast("timestamp_ntz"))[1].select("product_id", "price")
+
+
+@query(f"{_UPSERT} SELECT coalesce(bat.id, cur.id) AS id FROM cur FULL JOIN bat USING (id) WHERE coalesce(bat.source, cur.source) <> 's0' OR bat.id IS NOT NULL")
+def remove_stale(spark: SparkSession, folder: str) -> DataFrame:
+    current, batch = _tables(spark, folder)
+    products, changed = ingest.upsert(current, batch, F.lit("2030-01-02").cast("timestamp_ntz"))
+    return ingest.remove_stale(products, changed, "s0", F.lit("2030-01-01").cast("timestamp_ntz"))[0].select("id")
+
+
+@query(f"WITH {_OFFERS} SELECT id, source FROM o WHERE source <> 's1'")
+def drop_source(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.drop_source(offers(spark, folder), "s1").select("id", "source")
+
+
+@query(f"WITH {_OFFERS} SELECT count(*) AS changed FROM o WHERE category NOT IN ('economy', 'small') OR price < 10")
+def rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    # Every second pass leaves a cleaned name as it is: only rows of categories that are not retained go.
+    o = offers(spark, folder).withColumns({"category": F.when(F.col("category").isin("economy", "small"), "ram").otherwise("other"), "name": names.generic_clean(F.col("raw_name"))})
+    return ingest.rebuild(o)[1]
+
+
+# Quality -------------------------------------------------------------------
+
+
+@query(f"""WITH {_GROUPS} SELECT 'price_spread' AS "check", count(*) FILTER (highest_price > 1.8 * lowest_price AND has_multiple_sources = 1) AS count, count(*) FILTER (highest_price > 1.8 * lowest_price AND has_multiple_sources = 1) = 0 AS passed FROM grp
+UNION ALL SELECT 'category_other', count(*) FILTER (category = 'other'), count(*) FILTER (category = 'other') = 0 FROM g
+UNION ALL SELECT 'category_removed', count(*), count(*) = 0 FROM g
+UNION ALL SELECT 'package_without_subcategory', 0, true UNION ALL SELECT 'cable_without_subcategory', 0, true UNION ALL SELECT 'condition_outside_package', 0, true
+UNION ALL SELECT 'key_split', CAST(count(*) AS BIGINT), count(*) = 0 FROM (SELECT key FROM g WHERE length(name) >= 8 GROUP BY key HAVING count(DISTINCT gid) > 1)
+UNION ALL SELECT 'model_split', CAST(count(*) AS BIGINT), count(*) = 0 FROM (SELECT 1 FROM g WHERE false)""")
+def run_audit(spark: SparkSession, folder: str) -> DataFrame:
+    g = grouped(spark, folder)
+    return audit.run_audit(g, groups.build_match_groups(g))
+
+
+# Streams -------------------------------------------------------------------
+
+
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("source"), F.col("user_id").alias("product_id"), F.floor(F.col("value") / 50).cast("long").alias("price"))
+
+
+def _drained(df: DataFrame, mode: str, name: str) -> DataFrame:
+    """Run a stream over what has arrived and return what it wrote last."""
+    from offerloom.operators.graph import cut
+
+    spark = df.sparkSession
+    cut(spark.range(1))
+    top = spark.sparkContext.getCheckpointDir()
+    out = tempfile.mktemp(prefix=f"{name}-", dir="")
+    writer = df.writeStream.option("checkpointLocation", f"{top}/{out}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.outputMode("append").format("parquet").option("path", f"{top}/{out}/rows").start().awaitTermination()
+        return spark.read.parquet(f"{top}/{out}/rows")
+    writer.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{top}/{out}/rows")).start().awaitTermination()
+    return spark.read.parquet(f"{top}/{out}/rows")
+
+
+@query("SELECT time_bucket(INTERVAL 30 MINUTES, ts) AS start, event_type AS source, count(*) AS items FROM events GROUP BY 1, 2")
+def stream_source_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = _drained(jobs.stream_source_counts(_event_stream(spark, folder)), "complete", "counts")
+    return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "items")
+
+
+@query(f"""WITH v AS (SELECT DISTINCT product_id, price, recorded_at FROM ({tables.OBSERVATIONS_SQL}) x), w AS (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY recorded_at, price) AS before, row_number() OVER (PARTITION BY product_id ORDER BY recorded_at, price) AS r FROM v)
+SELECT product_id, price, recorded_at AS ts FROM w WHERE r = 1 OR price <> before""")
+def stream_price_changes(spark: SparkSession, folder: str) -> DataFrame:
+    changed = _drained(jobs.stream_price_changes(_event_stream(spark, folder)), "append", "changes")
+    return changed.select("product_id", "price", F.col("ts").cast("timestamp_ntz").alias("ts"))
