@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.functions import names, rules
-from offerloom.operators import audit, groups, history, ingest, match, serve
+from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
 
@@ -454,6 +454,56 @@ def run_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.run_audit(g, groups.build_match_groups(g))
 
 
+# Monitor catalogue ----------------------------------------------------------
+
+_BASE = "concat('mk', CAST(10000 + p_partkey AS STRING))"
+_MONITORS = f"SELECT p_partkey, concat({_BASE}, CASE p_partkey % 4 WHEN 1 THEN 'w' WHEN 2 THEN 'xyz' ELSE '' END) AS model_key, p_brand AS brand, concat(p_name, ' ', p_type) AS raw_name, p_size % 3 AS labelled FROM part"
+_CATALOGUE = f"SELECT concat({_BASE}, CASE p_partkey % 4 WHEN 3 THEN 'long' ELSE '' END) AS model_key, CASE p_partkey % 5 WHEN 0 THEN 0.5 ELSE 0.9 END AS confidence, concat('p', CAST(p_size AS STRING)) AS panel, '未標示' AS \"refreshTier\", concat('r', CAST(p_size % 2 AS STRING)) AS resolution FROM part WHERE p_partkey % 3 <> 0"
+
+
+def _monitors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    found = tables.view(spark, folder, _MONITORS, "part")
+    specs = F.when(F.col("labelled") == 0, F.create_map(F.lit("panel"), F.lit("own"), F.lit("resolution"), F.lit("4K"))).otherwise(F.create_map(F.lit("resolution"), F.lit(catalogue.UNLABELLED)))
+    return found.withColumn("specs", specs), tables.view(spark, folder, _CATALOGUE.replace('"', "`"), "part")
+
+
+_FOUND = f"""m AS ({_MONITORS}), c AS ({_CATALOGUE}),
+h AS (SELECT p_partkey, 0 AS tier, c.model_key AS e, true AS ok FROM m JOIN c USING (model_key) WHERE confidence >= 0.8
+  UNION ALL SELECT p_partkey, 1, c.model_key, true FROM m JOIN c ON c.model_key = regexp_replace(m.model_key, 'w$', '') AND c.model_key <> m.model_key WHERE confidence >= 0.8
+  UNION ALL SELECT p_partkey, 2, max_by(c.model_key, length(c.model_key)), max_by(confidence, length(c.model_key)) >= 0.8 FROM m JOIN c ON starts_with(m.model_key, c.model_key) AND substr(m.model_key, 1, 6) = substr(c.model_key, 1, 6) GROUP BY p_partkey
+  UNION ALL SELECT p_partkey, 3, min_by(c.model_key, length(c.model_key)), min_by(confidence, length(c.model_key)) >= 0.8 FROM m JOIN c ON starts_with(c.model_key, m.model_key) AND substr(m.model_key, 1, 6) = substr(c.model_key, 1, 6) GROUP BY p_partkey),
+f AS (SELECT p_partkey, min_by(e, tier) AS e, min_by(ok, tier) AS ok FROM h GROUP BY p_partkey),
+looked AS (SELECT m.*, CASE WHEN ok THEN e END AS catalogue_key FROM m LEFT JOIN f USING (p_partkey))"""
+
+
+@query(f"WITH {_FOUND} SELECT p_partkey, catalogue_key FROM looked")
+def lookup_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    return catalogue.lookup_catalogue(*_monitors(spark, folder)).select("p_partkey", "catalogue_key")
+
+
+@query(f"""WITH {_FOUND} SELECT p_partkey, CASE WHEN labelled = 0 THEN 'own' ELSE c.panel END AS panel, CASE WHEN labelled = 0 THEN '4K' ELSE coalesce(c.resolution, '未標示') END AS resolution, CAST(NULL AS VARCHAR) AS refresh FROM looked LEFT JOIN c ON catalogue_key = c.model_key""")
+def fill_unlabelled(spark: SparkSession, folder: str) -> DataFrame:
+    found, table = _monitors(spark, folder)
+    filled = catalogue.fill_unlabelled(catalogue.lookup_catalogue(found, table), table)
+    at = lambda k: F.try_element_at("specs", F.lit(k))
+    return filled.select("p_partkey", at("panel").alias("panel"), at("resolution").alias("resolution"), at("refreshTier").alias("refresh"))
+
+
+@query(f"""WITH m AS ({_MONITORS}), c AS ({_CATALOGUE}) SELECT model_key, count(*) AS n, substr(min(struct_pack(r := raw_name, b := m.brand)).r, 1, 90) AS sample, min(struct_pack(r := raw_name, b := m.brand)).b AS brand, bool_or(model_key IN (SELECT model_key FROM c)) AS in_catalogue
+FROM m WHERE labelled <> 0 GROUP BY model_key ORDER BY n DESC, model_key LIMIT 80""")
+def catalogue_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    return catalogue.catalogue_gaps(*_monitors(spark, folder))
+
+
+_SCREENS = "SELECT p_partkey, concat(CASE p_partkey % 6 WHEN 0 THEN '三星 S27FG900XC 【曲面】' WHEN 1 THEN 'Alienware AW2725Q $19,900' WHEN 2 THEN 'MAG 272F' WHEN 3 THEN 'G242L' WHEN 4 THEN 'AOC 24B36X' ELSE 'no model' END, ' ', p_name) AS raw_name FROM part"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 's27fg900xc' WHEN 1 THEN 'aw2725q' WHEN 2 THEN 'mag272f' WHEN 3 THEN 'g242l' WHEN 4 THEN '24b36x' END AS model_key FROM part")
+def monitor_model_keys(spark: SparkSession, folder: str) -> DataFrame:
+    s = tables.view(spark, folder, _SCREENS, "part")
+    return s.select("p_partkey", catalogue.monitor_model_key(F.col("raw_name")).alias("model_key"))
+
+
 # Streams -------------------------------------------------------------------
 
 
