@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from offerloom.functions import rules as R
 from offerloom.functions.names import compared_colour, keyboard_switch
+from offerloom.functions.parts import gpu_sku_key
 from offerloom.functions.text import extract, first_label, has, let, replace
 from offerloom.operators.graph import components
 
@@ -77,7 +78,7 @@ def ram_extras(raw: Column) -> Column:
 
 
 def exact_match_key(df: DataFrame) -> Column:
-    """A key that only offers of one product share, or null.  Graphics cards have none yet and are matched by tokens."""
+    """A key that only offers of one product share, or null."""
     c, brand, name, raw, model = (F.col(x) for x in ("category", "brand", "name", "raw_name", "model"))
     joined = lambda x: replace(F.upper(x), r"\s+", "")
     cpu = joined(F.concat(F.lit("CPU-"), F.nullif(brand, F.lit("")), F.lit("-"), model))
@@ -85,7 +86,8 @@ def exact_match_key(df: DataFrame) -> Column:
     extras = F.when(c == "ram", ram_extras(raw)).otherwise("")
     by_name = joined(F.concat(F.lit("NAME-"), c, F.lit("-"), F.coalesce(brand, F.lit("")), F.lit("-"), name_identity(name, brand, c), extras))
     named = F.when((c != "package") & (F.length(name) >= 8), by_name)
-    return F.when((c == "cpu") & (F.coalesce(model, F.lit("")) != ""), cpu).when(c == "gpu", F.lit(None)).when(c == "hdd", F.coalesce(part, hdd_spec_key(raw, brand), named)).otherwise(named)
+    card = joined(F.concat(F.lit("GPU-"), F.nullif(brand, F.lit("")), F.lit("-"), gpu_sku_key(name)))
+    return F.when((c == "cpu") & (F.coalesce(model, F.lit("")) != ""), cpu).when(c == "gpu", card).when(c == "hdd", F.coalesce(part, hdd_spec_key(raw, brand), named)).otherwise(named)
 
 
 def unconditioned(df: DataFrame) -> DataFrame:

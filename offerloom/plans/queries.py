@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import names, rules
+from offerloom.functions import names, parts
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
@@ -193,6 +193,19 @@ def retain_listings(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.retain_listings(offers(spark, folder), ("economy", "small")).select("id", "category")
 
 
+_PARTS = """SELECT p_partkey, concat(CASE p_partkey % 4 WHEN 0 THEN 'MSI ' WHEN 1 THEN '華碩 ' ELSE '' END, CASE p_partkey % 5 WHEN 0 THEN 'RTX 5070 VENTUS' WHEN 1 THEN 'RX7600 PULSE' WHEN 2 THEN 'B650M' WHEN 3 THEN 'Core i5-14400' ELSE 'Ryzen 7 7700' END, ' ', CAST(p_size % 3 * 4 + 4 AS STRING), 'G OC') AS name FROM part"""
+
+
+@query(f"""WITH x AS ({_PARTS}), b AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN ' > MSI' WHEN 1 THEN ' > ASUS' ELSE '' END AS brand, regexp_extract(name, '([0-9]+G) OC', 1) AS size FROM x)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'NVIDIA RTX 50系列 > RTX 5070' || brand WHEN 1 THEN 'AMD RX 7000系列 > RX 7600' || brand END AS gpu,
+  CASE p_partkey % 5 WHEN 0 THEN 'RTX5070-VENTUS-' || size || '-OC' WHEN 1 THEN 'RX7600-PULSE-' || size || '-OC' END AS sku,
+  CASE p_partkey % 5 WHEN 2 THEN 'AMD AM5 > B650' || brand END AS board, CASE p_partkey % 5 WHEN 3 THEN 'Intel > 第 14 代 > Core i5' WHEN 4 THEN 'AMD > Ryzen 7000 (Zen4) > Ryzen 7' END AS cpu FROM b""")
+def part_paths(spark: SparkSession, folder: str) -> DataFrame:
+    x = tables.view(spark, folder, _PARTS, "part")
+    n = F.col("name")
+    return x.select("p_partkey", parts.gpu_path(n).alias("gpu"), parts.gpu_sku_key(n).alias("sku"), parts.motherboard_path(n).alias("board"), parts.cpu_path(n).alias("cpu"))
+
+
 # Matching ------------------------------------------------------------------
 
 

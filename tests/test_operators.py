@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.functions import names
+from offerloom.functions import names, parts
 from offerloom.functions.text import has, path, path_skip
 from offerloom.operators import audit, groups, history, ingest, match
 from offerloom.sources import feeds, pages
@@ -69,6 +69,19 @@ def test_cpu_models_and_markers(spark):
     assert each(spark, names.in_stock_flag(F.col("x")), ["缺貨", "ok"]) == [False, True]
 
 
+def test_graphics_cards(spark):
+    rows = ["微星 RTX 5060 Ti VENTUS 2X OC 8G", "MSI RTX5060Ti Ventus 2X OC 8GB $12,900", "華碩 DUAL RTX4060 O8G EVO", "Leadtek RTX A2000 12G", "RX7900XTX NITRO+ 24G", "RTX 5070 12G", "MSI 950W box", None]
+    assert each(spark, parts.gpu_sku_key(F.col("x")), rows) == ["RTX5060TI-VENTUS2X-8G-OC", "RTX5060TI-VENTUS2X-8G-OC", "RTX4060-DUAL-8G-OC-REV", "RTXA2000-PRO-12G", "RX7900XTX-NITRO+-24G", None, None, None]
+    assert each(spark, parts.gpu_path(F.col("x")), rows) == ["NVIDIA RTX 50系列 > RTX 5060 Ti > 8G > MSI", "NVIDIA RTX 50系列 > RTX 5060 Ti > 8G > MSI", "NVIDIA RTX 40系列 > RTX 4060 > ASUS", "NVIDIA 專業繪圖卡 > RTX A2000 > Leadtek", "AMD RX 7000系列 > RX 7900 XTX", "NVIDIA RTX 50系列 > RTX 5070", None, None]
+
+
+def test_processor_and_board_paths(spark):
+    rows = ["Intel Core i5-14400F", "Core Ultra 9 285K", "Intel i7-9700", "AMD R7 9800X3D", "Ryzen 5 5600GT", "Threadripper PRO 7965WX", "Intel Xeon W5-2455X", "Pentium 第12代", "x"]
+    assert each(spark, parts.cpu_path(F.col("x")), rows) == ["Intel > 第 14 代 > Core i5", "Intel > Core Ultra 200S > Ultra 9", "Intel > 其他／舊款 > Core i7", "AMD > Ryzen 9000 (Zen5) > Ryzen 7", "AMD > Ryzen 5000 (Zen3) > Ryzen 5", "AMD > Threadripper 7000", "Intel > Xeon 工作站 > W5", "Intel > 第 12 代", None]
+    boards = ["華碩 PRIME B650E-PLUS", "MSI MAG X870 Tomahawk", "技嘉 B760M DS3H", "no chipset AM5 board", "LGA 1700 board", "x"]
+    assert each(spark, parts.motherboard_path(F.col("x")), boards) == ["AMD AM5 > B650E > ASUS", "AMD AM5 > X870 > MSI", "Intel LGA1700 > B760 > GIGABYTE", "AMD AM5", "Intel LGA1700", None]
+
+
 def listing(i, source, name, price=1000, category="ram", brand="Kingston", model=None, specs=None, raw=None):
     return (i, source, name, raw or name, price, category, brand, model, specs or {})
 
