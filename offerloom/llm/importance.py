@@ -207,13 +207,15 @@ def fit_sampler(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     known = cut(labelled(labels, rows).withColumnRenamed("doc_id", "id"))
     base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     marked = base.join(F.broadcast(known), "id", "left")  # known has `rows` rows at most
-    counts = marked.select("text", "good").mapInArrow(_count(buckets), "bucket long, raw long, target long, known long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "known")]).toPandas()  # 2 * buckets rows at most
+    counts = marked.select("text", "good").mapInArrow(_count(buckets), "bucket long, raw long, target long, known long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "target", "known")]).toArrow()  # 2 * buckets rows at most
     seen = np.zeros((3, 2 * buckets))
-    seen[:, counts["bucket"]] = counts[["raw", "target", "known"]].to_numpy(dtype=float).T
+    for row, c in zip(seen, ("raw", "target", "known"), strict=True):
+        row[counts["bucket"].to_numpy()] = counts[c].to_numpy()
+    del counts
     first = Sampler(log_ratios(*seen), 0.0, 0.0, 0, 0.0)
     weights = cut(marked.select("id", "good", first.log_weight(F.col("text")).alias("log_weight"), gumbel(F.col("id"), F.col("text")).alias("noise")))
-    sample = weights.where("good is not null").limit(2 * rows).select("log_weight", "good").toPandas()
-    slope, intercept = fit_scale(sample["log_weight"].to_numpy(dtype=float), sample["good"].to_numpy(dtype=bool))
+    sample = weights.where("good is not null").limit(2 * rows).select("log_weight", "good").toArrow()
+    slope, intercept = fit_scale(sample["log_weight"].to_numpy(), sample["good"].to_numpy())
     odds = F.col("log_weight") * slope + intercept
     k = weights.agg(F.round(F.sum(1 / (1 + F.exp(-odds))))).first()[0]
     keyed = weights.select("id", "good", "log_weight", (odds + F.col("noise")).alias("key"))
