@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import names, parts
+from offerloom.functions import names, parts, storage
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
@@ -206,6 +206,20 @@ def part_paths(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("p_partkey", parts.gpu_path(n).alias("gpu"), parts.gpu_sku_key(n).alias("sku"), parts.motherboard_path(n).alias("board"), parts.cpu_path(n).alias("cpu"))
 
 
+_STORES = "SELECT p_partkey, concat(p_name, ' ', CAST(p_size AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'TB' ELSE 'GB' END, CASE p_partkey % 4 WHEN 0 THEN ' DDR4 3200' WHEN 1 THEN ' EXOS' WHEN 2 THEN ' SATA' ELSE ' 金牌 850W' END) AS name FROM part"
+
+
+@query(f"""WITH x AS ({_STORES}), c AS (SELECT *, regexp_extract(name, '([0-9]+)[TG]B', 1) AS n, CASE p_partkey % 3 WHEN 0 THEN 'TB' ELSE 'GB' END AS u, p_partkey % 4 AS k FROM x)
+SELECT p_partkey, '桌上型 UDIMM > ' || CASE k WHEN 0 THEN 'DDR4' ELSE 'DDR5' END || CASE WHEN u = 'GB' THEN ' > ' || n || 'G' || CASE k WHEN 0 THEN ' > 3200MHz' ELSE '' END ELSE '' END AS ram,
+  CASE k WHEN 2 THEN 'SATA 2.5吋 > ' || n || u ELSE 'M.2 NVMe SSD > PCIe 4.0 > ' || n || u END AS ssd,
+  CASE WHEN regexp_matches(name, '(?i)(^| )RED( |$)') THEN 'NAS 專用碟 > 3.5 吋 > ' || n || u WHEN k = 1 THEN '企業級硬碟 > 3.5 吋 > ' || n || u || ' > 7200轉' ELSE '桌上型硬碟 > 3.5 吋 > ' || n || u END AS hdd,
+  CASE k WHEN 3 THEN 'ATX 電源 > 750W~1000W > 80+ 金牌' WHEN 0 THEN 'ATX 電源 > 未標瓦數' ELSE 'ATX 電源 > 未標瓦數' END AS psu FROM c""")
+def storage_paths(spark: SparkSession, folder: str) -> DataFrame:
+    x = tables.view(spark, folder, _STORES, "part")
+    n = F.col("name")
+    return x.select("p_partkey", storage.ram_path(n).alias("ram"), storage.ssd_path(n).alias("ssd"), storage.hdd_path(n).alias("hdd"), storage.psu_path(n).alias("psu"))
+
+
 # Matching ------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from offerloom.functions import names, parts
+from offerloom.functions import names, parts, storage
 from offerloom.functions.text import has, path, path_skip
 from offerloom.operators import audit, groups, history, ingest, match
 from offerloom.sources import feeds, pages
@@ -82,6 +82,17 @@ def test_processor_and_board_paths(spark):
     assert each(spark, parts.motherboard_path(F.col("x")), boards) == ["AMD AM5 > B650E > ASUS", "AMD AM5 > X870 > MSI", "Intel LGA1700 > B760 > GIGABYTE", "AMD AM5", "Intel LGA1700", None]
 
 
+def test_storage_and_power_paths(spark):
+    ram = ["Foo DDR5-6000 16GB*2", "Bar D4 8G 3200 筆電用", "KSM64R52BD4 ECC 64G", "plain"]
+    assert each(spark, storage.ram_path(F.col("x")), ram) == ["桌上型 UDIMM > DDR5 > 32G (16G*2) > 6000MHz", "筆電用 SO-DIMM > DDR4 > 8G > 3200MHz", "伺服器記憶體 > DDR5 > 64G", "桌上型 UDIMM > DDR5"]
+    ssd = ["Foo 1TB/Gen5 2280", "Foo 480GB/2.5吋 SATA", "外接式 USB10G 2T", "Foo M.2"]
+    assert each(spark, storage.ssd_path(F.col("x")), ssd) == ["M.2 NVMe SSD > PCIe 5.0 > 1TB > 2280", "SATA 2.5吋 > 480GB", "行動外接式 > 2TB", "M.2 NVMe SSD > PCIe 4.0 > 未標容量"]
+    hdd = ["新梭魚 4TB 5400轉", "EXOS 16T", "那嘶狼 8TB 2.5吋"]
+    assert each(spark, storage.hdd_path(F.col("x")), hdd) == ["桌上型硬碟 > 3.5 吋 > 4TB > 5400轉", "企業級硬碟 > 3.5 吋 > 16TB > 7200轉", "NAS 專用碟 > 2.5 吋 > 8TB"]
+    psu = ["Foo UD750GM 金牌 全模組", "SFX-L 1000W 白金", "Foo 550瓦 銅牌 直出", "SFX x"]
+    assert each(spark, storage.psu_path(F.col("x")), psu) == ["ATX 電源 > 750W~1000W > 80+ 金牌 > 全模組", "SFX-L 電源 > 1000W 以上 > 80+ 白金牌", "ATX 電源 > 600W 以下 > 80+ 銅牌 > 直出非模組", "SFX 電源 > 未標瓦數"]
+
+
 def listing(i, source, name, price=1000, category="ram", brand="Kingston", model=None, specs=None, raw=None):
     return (i, source, name, raw or name, price, category, brand, model, specs or {})
 
