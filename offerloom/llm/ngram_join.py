@@ -27,13 +27,12 @@ with a larger member use lists.  Sets just below the boundary do both.
 by an exact intersection.  Equal sets are one node from the start.  A list of
 few sets proposes all its pairs; a longer one proposes its smallest member,
 the hub, with each other, and each set meets the smallest of its hubs.  Where the sets of such a list do not end in one
-component, tasks hold the sets outside the largest component against all
-members by 2048 parities of each set, whose difference is a lower bound of the
-sets' difference.  Pairs of different components that this lets link are
-verified too, at first the likeliest two for each set and component, then, with
-the components that gives, all.  So a group of thousands of near copies gives
-rows in proportion to its size and no link that joins different texts is
-lost.
+component, tasks scan the inverted lists of its n-grams with the sets outside
+the largest component, counting overlaps with all members at once; they return
+links that join components and no others.  Sets whose 2048 parities show that
+they link with no set of another component are left out of that beforehand.  So a group of thousands of near
+copies gives rows in proportion to its size and no link that joins different
+texts is lost.
 
 Work: three passes over the texts (sizes, keys, sets of proposed documents),
 one exchange of packed keys by key range, joins by set for verification.  The
@@ -62,7 +61,7 @@ from offerloom.llm.components import components
 from offerloom.llm.lineage import cut
 
 #: Lists of at most this many sets propose all their pairs at once.
-SHORT_LIST = 2
+SHORT_LIST = 6
 #: Keys that one task of the exchange takes, about.
 KEYS_PER_RANGE = 1_500_000
 #: Sets of long lists that one task scans together, about; parities kept of each.
@@ -286,72 +285,112 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: in
     chosen = cut(sized.where("n > 0").groupBy("set").agg(F.min("id").alias("id")).join(member, "set", "left_semi").where("id is not null"))
     if chosen.count() <= BROADCAST_IDS:
         chosen = F.broadcast(chosen)
-    sets = base.join(chosen, "id").select("set", "text").mapInArrow(_sets(width), "set long, grams binary, bits binary, n long")
+    grams = base.join(chosen, "id").select("set", "text").mapInArrow(_sets(width), "set long, grams binary, bits binary, n long")
     if not sized.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["set"])
-    sets = cut(sets)
+        grams = grams.dropDuplicates(["set"])
+    grams = cut(grams)
     # Of long lists each set meets its smallest hub first; what that leaves apart is scanned below.
     hubs = pairs.where("long").groupBy("b").agg(F.min("a").alias("a"))
-    linked = _verified(pairs.where("not long").select("a", "b").union(hubs.select("a", "b")), sets, percent)
+    linked = _verified(pairs.where("not long").select("a", "b").union(hubs.select("a", "b")), grams, percent)
     label = components(linked)
-    for most in (2, None):
-        found = cut(_across(pairs, label, sets, percent, most).distinct())
-        if found.isEmpty():
-            break
-        linked = linked.union(_verified(found, sets, percent))
-        label = components(linked)
+    more = cut(_across(pairs, label, grams, percent))
+    if not more.isEmpty():
+        label = components(linked.union(more))
     return sized, label
 
 
-def _across(pairs: DataFrame, label: DataFrame, sets: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """(a, b): pairs of sets of one long list, in different components, that their parities let link.
+def _across(pairs: DataFrame, label: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between components among the sets of long lists, enough of them to join all that belong together.
 
-    A list stands under its hub.  Of more than GROUP_SETS sets under a hub,
-    blocks are made, and every pair of blocks is a task of its own.  most: as
-    many pairs, the likeliest, for each set and other component; None: all.
+    The sets that share their smallest hub are scanned together, each sent
+    once; sets of one list with different smallest hubs are scanned by list.
+    A group of more than GROUP_SETS sets is dealt into blocks, and every pair
+    of its blocks is a task of its own.
     """
     hub = pairs.where("long").select("a", "b")
     hub = hub.union(hub.select("a", F.col("a").alias("b")).distinct())
     named = hub.join(label.select(F.col("node").alias("b"), "label"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label"))
-    mixed = named.groupBy("a").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("m")).where("l <> h").select("a", F.ceil(F.col("m") / GROUP_SETS).cast("int").alias("blocks"))
-    dealt = named.join(mixed, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("a", "b", "label", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    mixed = named.groupBy("a").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("a")
+    split = cut(named.join(mixed, "a", "left_semi"))
+    own = split.groupBy("b").agg(F.min("a").alias("c"), F.first("label").alias("label"))
+    by_hub = own.select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", "label", F.col("b").alias("c"))
+    listed = split.join(own.select("b", "c"), "b")
+    several = listed.groupBy("a").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("a")
+    by_list = listed.join(several, "a", "left_semi").select(F.lit(1).alias("kind"), F.col("a").alias("g"), "b", "label", "c")
+    rows = cut(by_hub.union(by_list))
+    size = rows.groupBy("kind", "g").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("kind", "g", F.ceil(F.col("m") / GROUP_SETS).cast("int").alias("blocks"))
+    dealt = rows.join(size, ["kind", "g"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("kind", "g", "b", "label", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    loaded = dealt.join(sets.select(F.col("set").alias("b"), "bits", "n"), "b")
-    return loaded.groupBy("a", "i", "j").applyInArrow(_scan(percent, most), "a long, b long")
+    dealt = cut(dealt)
+    # N-grams are sent of those sets alone that parities let link with some set of another component.
+    light = dealt.join(grams.select(F.col("set").alias("b"), "bits", "n"), "b")
+    open_ = light.groupBy("kind", "g", "i", "j").applyInArrow(_open(percent), "kind int, g long, i int, j int, b long")
+    loaded = dealt.join(open_, ["kind", "g", "i", "j", "b"]).join(grams.select(F.col("set").alias("b"), "grams"), "b")
+    return loaded.groupBy("kind", "g", "i", "j").applyInArrow(_scan(percent), "a long, b long")
 
 
-def _scan(percent: int, most: int | None):
+def _open(percent: int):
     def run(t: pa.Table) -> pa.Table:
-        """Hold the sets outside the largest component against all of the group."""
-        block, label, n, name = (t[x].to_numpy() for x in ("block", "label", "n", "b"))
+        """The sets of a group that may link with one of another component."""
+        block, label, c, n, name = (t[x].to_numpy() for x in ("block", "label", "c", "n", "b"))
         i, j = t["i"][0].as_py(), t["j"][0].as_py()
         bits = np.stack([np.frombuffer(x.as_buffer(), tb.U64) for x in t["bits"]])
         kinds, count = np.unique(label, return_counts=True)
         main = kinds[count.argmax()]
-        a, b = [], []
+        flag = np.zeros(len(name), dtype=bool)
         for query, held in {(i, j), (j, i)}:
             index = np.flatnonzero(block == held)
             for k in np.flatnonzero((block == query) & (label != main)):
                 differ = np.bitwise_count(bits[index] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                fit = could_link(int(n[k]), n[index], differ, percent) & (label[index] != label[k])
-                found, differ = index[fit], differ[fit]
-                if most is not None and len(found):
-                    order = np.lexsort((differ, label[found]))
-                    found = found[order]
-                    first = np.flatnonzero(np.append(True, label[found][1:] != label[found][:-1]))
-                    rank = np.arange(len(found)) - np.repeat(first, np.diff(np.append(first, len(found))))
-                    found = found[rank < most]
-                a.append(np.minimum(name[k], name[found]))
-                b.append(np.maximum(name[k], name[found]))
-        none = np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+                fit = could_link(int(n[k]), n[index], differ, percent) & (label[index] != label[k]) & (c[index] != c[k])
+                flag[index[fit]] = True
+                flag[k] |= fit.any()
+        return t.select(["kind", "g", "i", "j", "b"]).filter(pa.array(flag))
+
+    return run
+
+
+def _scan(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Scan the inverted lists of a group's sets; links that join two components, each joined once."""
+        block, label, c = (t[x].to_numpy() for x in ("block", "label", "c"))
+        name, i, j = t["b"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        sets = [np.frombuffer(x.as_buffer(), tb.U64) for x in t["grams"]]
+        kinds, count = np.unique(label, return_counts=True)
+        main = kinds[count.argmax()]
+        root = {int(x): int(x) for x in kinds}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        a, b = [], []
+        for query, held in {(i, j), (j, i)}:
+            index = np.flatnonzero(block == held)
+            size = np.array([len(sets[k]) for k in index], dtype=np.int64)
+            gram = np.concatenate([sets[k] for k in index]) if len(index) else np.zeros(0, tb.U64)
+            order = np.argsort(gram, kind="stable")
+            gram, owner = gram[order], np.repeat(np.arange(len(index)), size)[order]
+            for k in np.flatnonzero((block == query) & (label != main)):
+                lo, hi = np.searchsorted(gram, sets[k], "left"), np.searchsorted(gram, sets[k], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(index))
+                linked = 100 * both >= percent * (len(sets[k]) + size - both)
+                for y in index[linked & (label[index] != label[k]) & (c[index] != c[k])]:
+                    p, q = find(int(label[k])), find(int(label[y]))
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        a.append(name[k])
+                        b.append(name[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by exact intersection."""
     x = grams.select(F.col("set").alias("a"), F.col("grams").alias("x"))
     y = grams.select(F.col("set").alias("b"), F.col("grams").alias("y"))
     return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
