@@ -3,8 +3,9 @@
 Texts and benchmark items are brought to letters, digits, non-ASCII bytes and
 single spaces, A-Z lower-cased.  A document is contaminated by an item if it
 holds some window of ``min(item length, WINDOW)`` bytes of the item within an
-edit distance of ``k = floor(RATE * window length)``; windows begin every half
-WINDOW, so every shared passage of one and a half windows holds a whole one.
+edit distance of ``k = floor(RATE * window length)``; windows begin at every
+byte of the item.  Windows of under 80 bytes may have an edit or two fewer
+(``budget``), so that the lemma still asks for a q-gram.
 
 *Filter.*  A window that aligns within k edits shares at least
 ``length + 1 - q (k + 1)`` of its q-grams with the text, all within k
@@ -13,9 +14,11 @@ twice the largest k (rounded up) that overlap by half, so some band holds them
 all; shared q-grams are counted by (document, item, band) and bands below the
 bound are dropped.  With q = 8 a q-gram is one 64-bit number, no hash.
 
-*Verification.*  In each retained region the windows of the item that its
-hits touch are aligned against the text by dynamic programming inside the
-band, until one is within its budget.
+*Verification.*  In each retained region every window of the item that the
+hits within it allow is looked for: exactly where all its q-grams are hits,
+then by dynamic programming inside the band, until one is within its budget.
+Windows one byte apart differ by one edit at most, so a window that is ``x``
+edits beyond its budget settles the next ``x - 1`` too.
 
 Work: one pass over the texts for each block of benchmark items
 (``BLOCK_CHARS`` characters, fixed, so what is sent to the executors is
@@ -174,6 +177,32 @@ def banded(pattern: bytes, text: bytes, most: int) -> int | None:
     return None
 
 
+def nearest(pattern: bytes, text: bytes, most: int) -> int:
+    """The least edit distance of pattern to a substring of text, or the first found that is within `most`."""
+    masks, m = _masks(pattern), len(pattern)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    rise, fall, distance, least = full, 0, m, m
+    rest = len(text)
+    for c in text:
+        if least <= most or distance - rest >= least:
+            break
+        eq = masks.get(c, 0)
+        x = (((eq & rise) + rise) ^ rise) | eq | fall
+        up = fall | ~(x | rise) & full
+        down = rise & x
+        if up & top:
+            distance += 1
+        elif down & top:
+            distance -= 1
+        rest -= 1
+        least = min(least, distance)
+        up = up << 1 & full
+        down = down << 1 & full
+        rise = down | ~((eq | fall) | up) & full
+        fall = up & (eq | fall)
+    return least
+
+
 def _regions(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, np.ndarray]]:
     """(document, item, lowest and highest diagonal in the document and item, item offsets of the hits)."""
     if not len(index.grams) or len(data) < Q:
@@ -222,20 +251,33 @@ def _verified(index: Index, it: int, text: bytes, low: int, high: int, hits: np.
     """(edits, start, stop) of a window of the item in the text."""
     whole = index.texts[it]
     m = min(len(whole), WINDOW)
-    most = budget(m)
-    starts = sorted({*range(0, len(whole) - m + 1, max(1, WINDOW // 2)), len(whole) - m})
-    for s in starts:
-        touched = np.unique(hits[(hits >= s) & (hits <= s + m - Q)])
-        if len(touched) < shared(m):
-            continue
+    most, grams = budget(m), m - Q + 1
+    base = max(0, int(hits.min()) - grams + 1)
+    last = min(len(whole) - m, int(hits.max()))
+    if last < base:
+        return None
+    hit = np.zeros(last - base + grams, dtype=bool)
+    hit[hits[hits < base + len(hit)] - base] = True
+    upto = np.concatenate(([0], np.cumsum(hit)))
+    touched = upto[grams:] - upto[:-grams]  # of the windows from base to last
+
+    def piece(s: int) -> tuple[int, bytes]:
         begin = max(0, s + low - most)
-        piece = text[begin : max(0, s + m + high + most)]
-        window = whole[s : s + m]
-        if (exact := piece.find(window)) >= 0:
+        return begin, text[begin : max(0, s + m + high + most)]
+
+    for s in np.flatnonzero(touched == grams) + base:
+        begin, part = piece(int(s))
+        if (exact := part.find(whole[s : s + m])) >= 0:
             return 0, begin + exact, begin + exact + m
-        edits = banded(window, piece, most)
-        if edits is not None:
-            return edits, begin, begin + len(piece)
+    free = 0
+    for s in np.flatnonzero(touched >= shared(m)) + base:
+        if s < free:
+            continue
+        begin, part = piece(int(s))
+        edits = nearest(whole[s : s + m], part, most)
+        if edits <= most:
+            return edits, begin, begin + len(part)
+        free = s + edits - most  # a window that starts one byte later is one edit nearer at most
     return None
 
 

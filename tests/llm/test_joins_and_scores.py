@@ -166,3 +166,35 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == [] and decontaminate.leaks(docs.limit(0), bench).collect() == []
     split = decontaminate.blocks(bench, chars=100)
     assert sum(len(x.ids) for x in split) == 4
+
+
+@pytest.mark.parametrize(("at", "length", "every"), [(20, 120, 0), (30, 130, 0), (20, 140, 0), (15, 150, 20), (37, 125, 11)])
+def test_leaks_of_windows_anywhere(at, length, every):
+    r = random.Random(at)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnoprst ") for _ in range(n))
+    items = [" ".join(noise(700).split()) for _ in range(6)]
+    index = decontaminate.Index.of(list(enumerate(items)))
+    edited = lambda t: "".join("0" if every and k % every == 3 else c for k, c in enumerate(t))
+    docs = [noise(400) + edited(t[at : at + length]) + noise(400) for t in items] + [noise(1500)]
+    data, _, clean_at = decontaminate.normalised(*decontaminate.tb.buffer_of(pa.array(docs)))
+    got = {}
+    for d, it, low, high, hits in decontaminate._regions(index, data, clean_at):
+        own = data[clean_at[d] : clean_at[d + 1]].tobytes()
+        if (hit := decontaminate._verified(index, it, own, low, high, hits)) is not None:
+            got[d] = (it, *hit)
+    assert {d: x[0] for d, x in got.items()} == {k: k for k in range(6)}
+    m = decontaminate.WINDOW
+    for d, (it, edits, start, stop) in got.items():
+        piece = data[clean_at[d] + start : clean_at[d] + stop].tobytes()
+        least = min(distance_within(index.texts[it][s : s + m], piece) for s in range(at - 12, at + length - m + 12, 6))
+        assert least <= decontaminate.budget(m) + 6 and edits <= decontaminate.budget(m)
+        assert every or edits == 0
+
+
+def test_nearest_equals_dynamic_programming():
+    r = random.Random(4)
+    for _ in range(800):
+        p, t = (bytes(r.choice(b"abc") for _ in range(r.randrange(1, n))) for n in (15, 22))
+        most, want = r.randrange(6), distance_within(p, t)
+        got = decontaminate.nearest(p, t, most)
+        assert want <= got <= most if want <= most else got == want
