@@ -128,6 +128,25 @@ def test_mined_rules_equal_brute_force(spark):
     assert sum(x.verdict == "block" for x in got) >= 40
 
 
+@pytest.mark.parametrize("mark", ["http://a.site.org/a/b/casino/{i}", "http://a.site.org/a/b?x={i}&aff=spam", "http://a.site.org/a/x{w}-casino-y/{i}", "http://a.casino.a.site.org/{i}", "http://a.site.org/a/b?casino={i}"])
+def test_marks_anywhere_in_a_url_are_mined(spark, mark):
+    spell = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    rows = [(i, mark.format(i=spell(i), w=spell(i)) if i % 4 == 0 else f"http://a.x.a.site.org/a/b/{spell(i)}?x={spell(i)}") for i in range(240)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(0, 240, 2)], "doc_id long, quality int, toxic int")
+    assert {x.id: x.verdict for x in url_filter.judge(pages, labels, rules=()).collect()} == {i: "block" if i % 4 == 0 else "allow" for i in range(240)}
+
+
+def test_long_repeated_urls_do_not_multiply_rules(spark):
+    long = "http://a.site.org/" + "/".join(f"{a}{b}" for a in "bcdfgh" for b in "aeiouxyz")
+    rows = [(i, long if i % 4 == 0 else f"http://{'bc'[i % 2]}.site.org/a") for i in range(120)] + [(500, "http://c.site.org/x/he/y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    got = {x.id: (x.verdict, x.mined) for x in url_filter.judge(pages, labels, rules=()).collect()}
+    assert {i for i, x in got.items() if x[0] == "block"} == {*range(0, 120, 4), 500}
+    assert got[500][1] in ("part=he", "word=he")
+
+
 def test_mining_without_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
