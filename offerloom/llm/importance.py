@@ -215,9 +215,11 @@ def fit_sampler(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     first = Sampler(log_ratios(*seen), 0.0, 0.0, 0, 0.0)
     weights = cut(marked.select("id", "good", first.log_weight(F.col("text")).alias("log_weight"), gumbel(F.col("id"), F.col("text")).alias("noise")))
     sample = weights.where("good is not null").limit(2 * rows).select("log_weight", "good").toArrow()
-    slope, intercept = fit_scale(sample["log_weight"].to_numpy(), sample["good"].to_numpy())
+    good = sample["good"].to_numpy()
+    slope, intercept = fit_scale(sample["log_weight"].to_numpy(), good)
     odds = F.col("log_weight") * slope + intercept
-    k = weights.agg(F.round(F.sum(1 / (1 + F.exp(-odds))))).first()[0]
+    whole = not len(good) or good.all() or not good.any()  # one class says nothing of the other
+    k = weights.agg(F.count("*") if whole else F.round(F.sum(1 / (1 + F.exp(-odds))))).first()[0]
     keyed = weights.select("id", "good", "log_weight", (odds + F.col("noise")).alias("key"))
     k = int(k or 0)
     return Sampler(first.ratios, slope, intercept, k, kth_largest(keyed, "key", k)), keyed

@@ -133,6 +133,14 @@ def test_importance_defined_cases(spark):
     assert importance.classify(docs.limit(0), empty).collect() == []
 
 
+@pytest.mark.parametrize("quality", [None, 0, 1])
+def test_importance_keeps_all_with_one_class(spark, quality):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i}") for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, quality, 0) for i in range(0, 900, 3)], "doc_id long, quality int, toxic int")
+    assert importance.keep_target_like(docs, labels).count() == 900
+    assert importance.classify(docs, labels).where("kept").count() == 900
+
+
 def test_kth_largest(spark):
     r = random.Random(8)
     for values in ([r.random() for _ in range(500)], [1.0] * 50, [float(k // 10) for k in range(100)], [-1e9, 1e9, *[r.gauss(0, 1) for _ in range(98)]]):
