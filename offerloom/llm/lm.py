@@ -1,4 +1,4 @@
-"""Language-model scoring with a weighted backoff automaton.
+"""Language-model scoring with the values of a weighted backoff automaton.
 
 The model is an n-gram model with Dirichlet smoothing, order by order:
 
@@ -7,17 +7,15 @@ The model is an n-gram model with Dirichlet smoothing, order by order:
 
 As an automaton, every history seen in training is a state, every seen n-gram
 an arc with weight log10 Pk, and each state has a failure arc of weight
-log10(K / (c(h) + K)) to the state of h'.  A text is read once from left to
-right: the automaton carries the longest seen history of at most order - 1
-words, follows failure arcs until an arc for the next word exists, and adds
-the weights it passes.
+log10(K / (c(h) + K)) to the state of h'.  Neither states nor arcs are built:
+Pk is computed from P(k-1) over arrays of all tokens of a block, order by
+order, which gives the weights that such an automaton would add.
 
 Nobody holds the whole model.  Documents fall into blocks of about
 BLOCK_BYTES; a block sends the hashes of the n-grams it holds, with their
 counts in its training documents, to the key range of each hash; a key range
 adds the counts of all blocks and answers each block with totals in the order
-of its keys; the block builds the part of the automaton that its own texts can
-reach and reads them.  What is gathered grows with the distinct n-grams of the
+of its keys; the block computes the weights of its own texts from them.  What is gathered grows with the distinct n-grams of the
 blocks; a word that makes up a third of all tokens is one entry per block.
 
 Tokens are whole words, A-Z lower-cased, and one end for each text.
@@ -138,7 +136,7 @@ def _answer(sent: pa.Table) -> pa.Table:
 
 def _read(order: int, pull: float, n: int, v: int):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        """The part of the automaton that a block's texts reach, and one traversal of them."""
+        """The scores of a block's texts, order by order over arrays of its tokens."""
         texts = block["text"].combine_chunks() if block.num_rows else pa.array([], pa.string())
         value, at = tokens(texts)
         by = sorted(zip(answers["k"].to_pylist(), answers["part"].to_pylist(), answers["counts"].to_pylist(), strict=True), key=lambda x: x[:2])
