@@ -39,8 +39,18 @@ def retain_listings(df: DataFrame, retained: tuple[str, ...] = R.RETAINED) -> Da
     return df.where(F.col("category").isin(*retained) & ((F.col("category") != "package") | bundle | price_condition(F.col("raw_name")).isNotNull()))
 
 
+def with_price_condition(df: DataFrame) -> DataFrame:
+    """df with the price condition that raw_name states in specs; one that is there already stays where it states none."""
+    found = price_condition(F.col("raw_name"))
+    named = F.create_map(F.lit("priceCondition"), found)
+    if "specs" not in df.columns:
+        return df.withColumn("specs", F.when(found.isNotNull(), named))
+    kept = F.map_filter("specs", lambda k, _: k != "priceCondition")
+    return df.withColumn("specs", F.when(found.isNull(), F.col("specs")).when(F.col("specs").isNull(), named).otherwise(F.map_concat(kept, named)))
+
+
 def process_batch(df: DataFrame) -> DataFrame:
-    return retain_listings(drop_junk_prices(normalize_listings(df)))
+    return with_price_condition(retain_listings(drop_junk_prices(normalize_listings(df))))
 
 
 def upsert(current: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -86,7 +96,8 @@ COMPARED = ("name", "brand", "model", "category", "subcategory", "specs")
 def rebuild(products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Products after cleaning anew, and one row with the number of rows that changed or went."""
     again = process_batch(products)
-    columns = [c for c in COMPARED if c in products.columns and not products.schema[c].dataType.simpleString().startswith("map")]
+    is_map = lambda c: products.schema[c].dataType.simpleString().startswith("map")
+    columns = [F.array_sort(F.map_entries(c)).alias(c) if is_map(c) else F.col(c) for c in COMPARED if c in products.columns]
     state = lambda df, name: df.select("id", F.struct(*columns).alias(name))
     both = state(products, "before").join(state(again, "after"), "id", "left")
     return again, both.agg(F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))

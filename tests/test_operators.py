@@ -232,3 +232,15 @@ def test_rebuild_counts_changes(spark):
     df = spark.createDataFrame([(*listing("a", "s1", "old name", raw="Kingston new name"),), (*listing("b", "s1", "Kingston same"),), (*listing("c", "s1", "Kingston x", 3),)], SCHEMA)
     again, changed = ingest.rebuild(df)
     assert changed.first()[0] == 2 and {r.id for r in again.collect()} == {"a", "b"}
+
+
+def test_price_conditions_reach_specs_and_count_as_changes(spark):
+    rows = [listing("a", "s1", "Kingston same"), listing("b", "s2", "Kingston same", raw="Kingston same 搭板價", specs={"x": "1"}), listing("c", "s2", "Kingston same", specs={"priceCondition": "加購價"})]
+    df = spark.createDataFrame([(*x[:2], "Kingston same", *x[3:]) for x in rows], SCHEMA)
+    want = {"a": {}, "b": {"x": "1", "priceCondition": "搭板價"}, "c": {"priceCondition": "加購價"}}
+    batch = ingest.process_batch(df)
+    assert {r.id: r.specs for r in batch.collect()} == want
+    assert [r.id for r in match.unconditioned(batch).collect()] == ["a"]
+    assert [r.id for r in match.unconditioned(ingest.process_batch(df.drop("specs"))).collect()] == ["a", "c"]
+    named = batch.withColumn("specs", F.when(F.col("id") == "b", F.create_map(F.lit("x"), F.lit("1"))).otherwise(F.col("specs")))
+    assert ingest.rebuild(named)[1].first()[0] == 1
