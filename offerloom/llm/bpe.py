@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 #: Words whose ids a worker keeps; beyond, those of the generation before go.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 #: Lists of at least so many places are merged as arrays.
 LONG_LIST = 40
 _models: dict[str, Model] = {}

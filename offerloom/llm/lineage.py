@@ -23,3 +23,12 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written to the shared folder and read back: lost executors lose none of it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def free_name(df: DataFrame, like: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = like
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name

@@ -23,29 +23,40 @@ each range that holds its size.
 to the largest size for which subsets are no dearer use subsets, and pairs
 with a larger member use lists.  Sets just below the boundary do both.
 
-*Verification.*  Lists only propose pairs, and each proposed pair is verified
-by an exact intersection.  Equal sets are one node from the start.  A list of
-few sets proposes all its pairs; a longer one proposes its smallest member,
-the hub, with each other, and each set meets the smallest of its hubs.  Where the sets of such a list do not end in one
-component, tasks scan the inverted lists of its n-grams with the sets outside
-the largest component, counting overlaps with all members at once; they return
-links that join components and no others.  So a group of thousands of near
-copies gives rows in proportion to its size and no link that joins different
-texts is lost.
-
-Work: three passes over the texts (sizes, keys, sets of proposed documents),
-one exchange of packed keys by key range, joins by set for verification.  The
-number of key ranges follows the total size of the sets.
+*Verification.*  Lists only propose pairs; a link is what an exact intersection
+confirms.  Equal sets are one node from the start.  A list of few sets proposes
+all its pairs; a longer one proposes its smallest member, the hub, with each
+other.  Every set carries a sketch, the parities of its elements in buckets:
+two sketches differ in no more buckets than the sets do in elements, so a pair
+whose sketches differ too much goes without a look at the sets.  What is left
+is verified hub by hub: the text of a hub and the texts of its sets meet in one
+task, hubs of many sets in several, so that a text is sent once for a set's
+smallest hub and again only for pairs that would still join two components.
+
+Where the sets of a long list do not end in one component, tasks compare the
+sketches of those outside its largest component with all others, and propose
+the nearest few of every other component; rounds with ever more follow until
+no near one was left out.  Lists of more than ``SCANNED`` sets are dealt anew
+first, by blocks with another salt within the list: linked sets agree in a
+block under any salt, others seldom do again.  A list that ``RESALTED`` salts
+leave as long is scanned by pairs of parts of it.
+
+Work: passes over the texts (sizes and sketches, keys, and one for each round
+of verification), one exchange of packed keys by key range, joins of pairs with
+sketches, texts of verified pairs.  The number of key ranges and of groups
+follows the total size of the sets.
 
 Defined cases: a null, empty or blank text has the empty set and links with
-nothing; a text with fewer words than the n-gram is one n-gram; repeated rows
-are one set; a null id is kept and never the smallest id of a component that
-has others; extra columns are not looked at.
+nothing; a text with fewer words than the n-gram is one n-gram; a very long
+text is one set like any other; repeated rows are one set; a row with a null
+id links like any other, its id is never the smallest of a component that has
+others, and a component without any has null; extra columns are not looked
+at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import ceil, comb
 
@@ -57,17 +68,20 @@ from pyspark.sql.functions import arrow_udf
 
 from offerloom.llm import textbuf as tb
 from offerloom.llm.components import components
-from offerloom.llm.lineage import cut
+from offerloom.llm.lineage import cut, free_name
 
 #: Lists of at most this many sets propose all their pairs at once.
 SHORT_LIST = 6
 #: Keys that one task of the exchange takes, about.
 KEYS_PER_RANGE = 1_500_000
-#: Sets of long lists that one task scans together, about.
-GROUP_SETS = 1024
-#: Proposed documents up to which their ids are broadcast (8 bytes each); beyond, a shuffled join finds them.
-BROADCAST_IDS = 500_000
-
+#: Bytes of n-grams that one task of verification takes, about.
+GROUP_BYTES = 12 << 20
+#: Sets of a list whose sketches one task compares; lists beyond are dealt anew with other salts, so often at most.
+SCANNED, RESALTED = 8192, 3
+#: Near sets of another component that a scan proposes for a set, round by round; at last all.
+NEAREST = (16, 1024, None)
+#: Rows up to which a table of row keys and names is broadcast (48 bytes each); beyond, a shuffled join does it.
+BROADCAST_ROWS = 300_000
 
 def ngram_sets(text: pa.Array, width: int):
     """For each text of a column, in order: the sorted distinct 64-bit hashes of its word n-grams."""
@@ -81,9 +95,37 @@ def ngram_sets(text: pa.Array, width: int):
                 yield tb.ngram_hash(w.hash[lo:hi], int(hi - lo)) if hi > lo else grams[:0]
 
 
-def set_key(s: np.ndarray) -> np.uint64:
-    """A hash of a whole set."""
-    return tb.mix(tb.mix(s).sum(dtype=tb.U64)[None] + tb.U64(len(s)))[0]
+def set_name(s: np.ndarray) -> bytes:
+    """A 128-bit hash of a whole set."""
+    n = tb.U64(len(s))
+    sums = np.array([tb.mix(s).sum(dtype=tb.U64) + n, tb.mix(s ^ tb.U64(0xC2B2AE3D27D4EB4F)).sum(dtype=tb.U64) ^ n], dtype=tb.U64)
+    return tb.mix(sums).astype(">u8").tobytes()
+
+
+def sketch_bits(n: int) -> int:
+    """Buckets of the sketch of n elements: a power of two, 64 at least and 1.5 to 3 times n."""
+    return max(64, 1 << int(np.ceil(np.log2(1.5 * n))))
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The parity of the number of elements in each bucket; halves of a sketch added give that of half the buckets."""
+    bits = sketch_bits(len(s))
+    odd = np.bincount((tb.mix(s ^ tb.U64(0x165667B19E3779F9)) & tb.U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, brought to fewer words."""
+    while x.shape[1] > words:
+        half = x.shape[1] // 2
+        x = x[:, :half] ^ x[:, half:]
+    return x
+
+
+def may_link(nx: np.ndarray, ny: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of nx and ny elements that differ in `apart` elements at least can link."""
+    need = -(-percent * (nx + ny) // (100 + percent))
+    return (need <= np.minimum(nx, ny)) & (apart <= nx + ny - 2 * need)
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -132,8 +174,8 @@ def boundary(percent: int) -> int:
         n += 1
 
 
-def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
-    """All keys of a set."""
+def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
+    """All keys of a set; another salt deals its elements to other blocks."""
     n, out = len(s), []
     limit = boundary(percent)
     if n <= limit:
@@ -148,7 +190,7 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
         value = tb.mix(s ^ tb.U64(0x94D049BB133111EB))
         low, high = (value & tb.U64(0xFFFFFFFF)).astype(float), (value >> tb.U64(32)).astype(float)
         for r, blocks in ranges_of(n, percent):
-            where = (s % tb.U64(blocks)).astype(np.int64)
+            where = ((tb.mix(s + tb.U64(salt)) if salt else s) % tb.U64(blocks)).astype(np.int64)
             size = np.bincount(where, minlength=blocks)
             sums = np.bincount(where, low, blocks).astype(tb.U64) + (np.bincount(where, high, blocks).astype(tb.U64) << tb.U64(32))
             which = np.arange(blocks, dtype=tb.U64)
@@ -160,32 +202,32 @@ def keys_of(s: np.ndarray, percent: int) -> np.ndarray:
 
 
 def set_numbers(text: Column, width: int) -> Column:
-    """struct(n, set): the size of a text's set and the set's hash."""
+    """struct(n, set, sketch): the size of a text's set, its name and its sketch; null both where n is 0."""
 
     def run(texts: pa.Array) -> pa.Array:
-        n, key = np.zeros(len(texts), np.int64), np.zeros(len(texts), tb.U64)
-        for i, s in enumerate(ngram_sets(texts, width)):
-            n[i] = len(s)
-            key[i] = set_key(s) if len(s) else 0
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(key.view(np.int64))], names=["n", "set"])
+        sets = [(len(s), set_name(s), sketch(s)) if len(s) else (0, None, None) for s in ngram_sets(texts, width)]
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary()), pa.array([x[2] for x in sets], pa.binary())], names=["n", "set", "sketch"])
 
-    return arrow_udf(run, "struct<n:bigint,set:bigint>").asNondeterministic()(text)
+    return arrow_udf(run, "struct<n:bigint,set:binary,sketch:binary>").asNondeterministic()(text)
 
 
-def _packed_keys(width: int, percent: int, ranges: int):
+def _packed_keys(width: int, percent: int, ranges: int, salt: int):
     def run(batches):
-        """A row for each key range that a batch fills: the sets, how many keys each has there, and the keys."""
+        """A row for each key range that a batch fills: the sets, how many keys each has there, and the keys.
+
+        Columns of a batch: text, and the number of the list that the text's keys belong to (0: all texts)."""
         for batch in batches:
-            sets, keys, owner, done = [], [], [], set()
-            for s in ngram_sets(batch.column(0), width):
-                if len(s) and (k := int(set_key(s))) not in done:
+            names, keys, owner, done = [], [], [], set()
+            for s, of in zip(ngram_sets(batch.column(0), width), batch.column(1).to_pylist(), strict=True):
+                if len(s) and (k := (set_name(s), of)) not in done:
                     done.add(k)
-                    keys.append(keys_of(s, percent))
-                    owner.append(np.full(len(keys[-1]), len(sets)))
-                    sets.append(k)
-            if not sets:
+                    own = keys_of(s, percent, salt)
+                    keys.append(tb.mix(own ^ tb.U64(of % (1 << 64))) if of else own)
+                    owner.append(np.full(len(own), len(names)))
+                    names.append(k[0])
+            if not names:
                 continue
-            key, who, name = np.concatenate(keys), np.concatenate(owner), np.array(sets, dtype=tb.U64)
+            key, who, name = np.concatenate(keys), np.concatenate(owner), np.array(names, dtype="S16").view("V16")
             part = ((key >> tb.U64(32)) * tb.U64(ranges) >> tb.U64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             key, who, part = key[order], who[order], part[order]
@@ -203,8 +245,15 @@ def _packed_keys(width: int, percent: int, ranges: int):
 
 def _proposals(table: pa.Table) -> pa.Table:
     """Pairs of sets that share a list, of one key range; long: the list is longer than SHORT_LIST."""
-    name = np.concatenate([np.repeat(np.frombuffer(s, tb.U64), np.frombuffer(c, np.uint32)) for s, c in zip(table["sets"].to_pylist(), table["counts"].to_pylist(), strict=True)])
+    named = np.frombuffer(b"".join(table["sets"].to_pylist()), ">u8").reshape(-1, 2)
+    count = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()])
     key = np.concatenate([np.frombuffer(k, tb.U64) for k in table["keys"].to_pylist()])
+    # Names as ranks: equal names one number, in the order of their bytes.
+    order = np.lexsort((named[:, 1], named[:, 0]))
+    new = np.append(True, (named[order][1:] != named[order][:-1]).any(axis=1))
+    rank = np.empty(len(named), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    distinct, name = named[order][new], np.repeat(rank, count)
     order = np.lexsort((name, key))
     key, name = key[order], name[order]
     fresh = np.ones(len(key), dtype=bool)
@@ -219,153 +268,270 @@ def _proposals(table: pa.Table) -> pa.Table:
         for i, j in combinations(range(m), 2):
             a.append(name[at + i])
             b.append(name[at + j])
-            is_long.append(np.zeros(len(at), bool))
+            is_long.append(np.zeros(len(at), np.int64))
     at, m = first[size > SHORT_LIST], size[size > SHORT_LIST] - 1
     others = np.repeat(at + 1, m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
     a.append(np.repeat(name[at], m))
     b.append(name[others])
-    is_long.append(np.ones(len(others), bool))
-    pairs = np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(is_long).astype(tb.U64)], axis=1)
+    is_long.append(np.ones(len(others), np.int64))
+    pairs = np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(is_long)], axis=1)
     pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-    return pa.table({"a": pa.array(pairs[:, 0].view(np.int64)), "b": pa.array(pairs[:, 1].view(np.int64)), "long": pa.array(pairs[:, 2] == 1)})
-
-
-def _sets(width: int):
-    def run(batches):
-        for batch in batches:
-            # An id may stand on several rows with different texts: the set's own text is asked for.
-            names = batch.column(0).to_numpy().view(tb.U64)
-            found = [(k, s) for k, s in zip(names, ngram_sets(batch.column(1), width), strict=True) if len(s) and set_key(s) == k]
-            for at in range(0, len(found), 256):
-                some = found[at : at + 256]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in some]).view(np.int64)), pa.array([s.tobytes() for _, s in some], pa.binary())], names=["set", "grams"])
-
-    return run
-
-
-def _verify(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = np.frombuffer(x.as_buffer(), tb.U64), np.frombuffer(y.as_buffer(), tb.U64)
+    return pa.table({"a": _names(distinct[pairs[:, 0]]), "b": _names(distinct[pairs[:, 1]]), "long": pa.array(pairs[:, 2] == 1)})
+
+
+def _names(x: np.ndarray) -> pa.Array:
+    """Rows of two big-endian numbers as names of 16 bytes."""
+    at = np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
+
+
+class _Join:
+    """The join of one table: rows (id, r, text), their sets, and the links found so far."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str, width: int, percent: int) -> None:
+        i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+        self.width, self.percent = width, percent
+        self.base = docs.select(row_key(i, t).alias("r"), t.alias("text"))
+        numbered = docs.select(i.alias("id"), row_key(i, t).alias("r"), set_numbers(t, width).alias("s"))
+        self.sized = cut(numbered.select("id", "r", "s.n", "s.set", "s.sketch"))
+        #: One row for each distinct set: its size, sketch and a row that holds it.
+        one = self.sized.where("n > 0").groupBy("set", "r").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("c"))
+        self.sets = cut(one.groupBy("set").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("r", "c")).alias("at")).select("set", "n", "sketch", "at.r", "at.c"))
+        total, self.repeated = self.sets.agg(F.sum("n"), F.max("c") > 1).first()
+        self.total = total or 0
+        self.label: DataFrame | None = None
+
+    def _named(self, rows: DataFrame) -> DataFrame:
+        """rows, sent to every task if they are few."""
+        return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+    def proposed(self, texts: DataFrame, total: int, salt: int) -> DataFrame:
+        """(b, first, hubs): the sets that share a list with a smaller one, with those (a, long) and the smallest; at most as many as b has keys, times SHORT_LIST.  texts: text, of."""
+        ranges = max(1, ceil(0.5 * total / KEYS_PER_RANGE))
+        packed = texts.mapInArrow(_packed_keys(self.width, self.percent, ranges, salt), "part int, sets binary, counts binary, keys binary")
+        pairs = packed.groupBy("part").applyInArrow(_proposals, "a binary, b binary, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
+        return cut(pairs.groupBy("b").agg(F.min("a").alias("first"), F.collect_list(F.struct("a", "long")).alias("hubs")))
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches do not forbid a link."""
+        of = self.sets.select("set", "n", "sketch")
+        x = of.select(F.col("set").alias("a"), F.col("n").alias("nx"), F.col("sketch").alias("x"))
+        y = of.select(F.col("set").alias("b"), F.col("n").alias("ny"), F.col("sketch").alias("y"))
+        return pairs.join(y, "b").join(x, "a").where(_near(self.percent)("nx", "ny", "x", "y")).select("a", "b", F.col("ny").alias("n"))
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Add the pairs (a, b, n) that link; n: elements of b.  Each a is a hub; its sets go to one task or, if large, to several."""
+        pairs = cut(pairs)
+        parts = pairs.groupBy("a").agg(F.ceil(F.sum("n") * 8 / GROUP_BYTES).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+        rows = dealt.select("a", "part", F.col("b").alias("set")).union(dealt.select("a", "part", F.col("a").alias("set")).distinct())
+        rows = cut(rows.join(self.sets.select("set", "n", "r"), "set"))
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        if not total:
+            return
+        groups = ceil(total * 8 / GROUP_BYTES)
+        asked = rows.select("r", "set", "a", F.pmod(F.xxhash64("a", "part"), F.lit(groups)).alias("g"))
+        texts = self.base.join(self._named(asked), "r")
+        if self.repeated:
+            texts = texts.dropDuplicates(["g", "a", "set"])
+        found = cut(texts.groupBy("g").applyInArrow(_links(self.width, self.percent), "a binary, b binary"))
+        if found.isEmpty():
+            return
+        known = [] if self.label is None else [self.label.select(F.col("node").alias("a"), F.col("label").alias("b"))]
+        self.label = cut(components(reduce(DataFrame.union, known, found)))
+
+    def labelled(self, rows: DataFrame, node: str, into: str) -> DataFrame:
+        """rows with the component of a set; a set without links is its own."""
+        if self.label is None:
+            return rows.withColumn(into, F.col(node))
+        return rows.join(self.label.select(F.col("node").alias(node), F.col("label").alias(into)), node, "left").withColumn(into, F.coalesce(into, node))
+
+    def spread(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a, long, b, lb): all proposed pairs; (a, la, long): the hubs whose sets do not all lie in the hub's component."""
+        pairs = self.labelled(found, "b", "lb").select("b", "lb", F.explode("hubs").alias("h")).select("h.a", "h.long", "b", "lb")
+        hubs = pairs.groupBy("a").agg(F.min("lb").alias("l"), F.max("lb").alias("h"), F.max("long").alias("long"))
+        return pairs, cut(self.labelled(hubs, "a", "la").where((F.col("l") != F.col("la")) | (F.col("h") != F.col("la"))).select("a", "la", "long"))
+
+    def settle(self, found: DataFrame) -> None:
+        """Verify proposed pairs: first each set with its smallest hub, then what would join components."""
+        self.verify(self.close(found.select(F.col("first").alias("a"), "b")))
+        pairs, open_ = self.spread(found)
+        self.verify(self.close(pairs.join(open_.select("a", "la"), "a").where("lb <> la").select("a", "b")))
+
+    def mixed(self, found: DataFrame) -> DataFrame:
+        """(kind, g, b, c, label, m, n, sketch): the sets of long lists that do not lie in one component.
+
+        Sets that share their smallest hub c are one group (kind 0); sets of one
+        list with different smallest hubs are a group by list (kind 1)."""
+        pairs, open_ = self.spread(found)
+        hubs = open_.where("long").select("a", "la")
+        split = pairs.where("long").join(hubs, "a").select("a", "b", F.col("lb").alias("label"))
+        split = cut(split.union(hubs.select("a", F.col("a").alias("b"), F.col("la").alias("label"))))
+        own = split.groupBy("b").agg(F.min("a").alias("c"), F.first("label").alias("label"))
+        by_hub = own.select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", F.col("b").alias("c"), "label")
+        listed = split.join(own.select("b", "c"), "b")
+        spread = listed.groupBy("a").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("a")
+        by_list = listed.join(spread, "a", "left_semi").select(F.lit(1).alias("kind"), F.col("a").alias("g"), "b", "c", "label")
+        rows = by_hub.union(by_list)
+        size = rows.groupBy("kind", "g").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("kind", "g", "m")
+        return cut(rows.join(size, ["kind", "g"]).join(self.sets.select(F.col("set").alias("b"), "n", "sketch"), "b"))
+
+    def scan(self, groups: DataFrame) -> None:
+        """Link the components that meet in groups, nearest sketches first."""
+        for most in NEAREST:
+            if groups.isEmpty():
+                return
+            dealt = groups.withColumn("blocks", F.ceil(F.col("m") / SCANNED).cast("int")).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+            near = cut(dealt.select("kind", "g", "i", "j", "block", "b", "c", "label", "n", "sketch").groupBy("kind", "g", "i", "j").applyInArrow(_scan(self.percent, most), "a binary, b binary, n long, more boolean"))
+            before = self.label
+            self.verify(near.where("not more").groupBy("a", "b").agg(F.max("n").alias("n")))
+            if near.where("more").isEmpty():
+                return
+            if self.label is not before:
+                named = self.labelled(groups.drop("label"), "b", "label")
+                several = named.groupBy("kind", "g").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("kind", "g")
+                groups = cut(named.join(several, ["kind", "g"], "left_semi"))
+
+    def run(self) -> None:
+        texts, total, salt = self.base.select("text", F.lit(0).cast("long").alias("of")), self.total, 0
+        while total:
+            found = self.proposed(texts, total, salt)
+            self.settle(found)
+            groups = self.mixed(found)
+            large = groups.where(F.col("m") > SCANNED) if salt < RESALTED else groups.limit(0)
+            self.scan(groups.where(F.col("m") <= SCANNED) if salt < RESALTED else groups)
+            salt += 1
+            again = cut(large.join(self.sets.select(F.col("set").alias("b"), "r"), "b").select("r", F.xxhash64("kind", "g").alias("of"), "n"))
+            total = again.agg(F.sum("n")).first()[0] or 0
+            texts = self.base.join(self._named(again), "r").select("text", "of")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A number of a row by which its text is found again; the text found is held against the set's name."""
+    return F.xxhash64(doc_id.cast("string"), text)
+
+
+def _near(percent: int):
+    def run(nx: pa.Array, ny: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        apart = np.zeros(len(x), np.int64)
+        for k, (p, q) in enumerate(zip(x, y, strict=True)):
+            p, q = (np.frombuffer(v.as_buffer(), tb.U64)[None, :] for v in (p, q))
+            words = min(p.shape[1], q.shape[1])
+            apart[k] = np.bitwise_count(folded(p, words) ^ folded(q, words)).sum()
+        return pa.array(may_link(nx.to_numpy(), ny.to_numpy(), apart, percent))
+
+    return arrow_udf(run, "boolean")
+
+
+def _links(width: int, percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        """Of the sets of some hubs, those that link with their hub."""
+        asked, hub = t["set"].to_pylist(), t["a"].to_pylist()
+        sets: dict[bytes, np.ndarray] = {}
+        for name, s in zip(asked, ngram_sets(t["text"].combine_chunks(), width), strict=True):
+            if len(s) and name not in sets and set_name(s) == name:
+                sets[name] = s
+        a, b = [], []
+        for h, name in set(zip(hub, asked, strict=True)):
+            if h != name and h in sets and name in sets:
+                p, q = sets[h], sets[name]
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * both >= percent * (len(p) + len(q) - both):
+                    a.append(h)
+                    b.append(name)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
 
-def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """(documents, classes): (id, n, set) of every row, and (node, label) of every set that has a link to another."""
-    base = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    sized = cut(base.withColumn("s", set_numbers(F.col("text"), width)).select("id", "s.n", "s.set"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    ranges = max(1, ceil(0.5 * total / KEYS_PER_RANGE))
-    packed = base.select("text").mapInArrow(_packed_keys(width, percent, ranges), "part int, sets binary, counts binary, keys binary")
-    proposed = packed.groupBy("part").applyInArrow(_proposals, "a long, b long, long boolean")
-    pairs = cut(proposed.groupBy("a", "b").agg(F.max("long").alias("long")))
-    member = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    chosen = cut(sized.where("n > 0").groupBy("set").agg(F.min("id").alias("id")).join(member, "set", "left_semi").where("id is not null"))
-    if chosen.count() <= BROADCAST_IDS:
-        chosen = F.broadcast(chosen)
-    grams = base.join(chosen, "id").select("set", "text").mapInArrow(_sets(width), "set long, grams binary")
-    if not sized.where("id is not null").groupBy("id").count().where("count > 1").isEmpty():
-        grams = grams.dropDuplicates(["set"])
-    grams = cut(grams)
-    # Of long lists each set meets its smallest hub first; what that leaves apart is scanned below.
-    hubs = pairs.where("long").groupBy("b").agg(F.min("a").alias("a"))
-    linked = _verified(pairs.where("not long").select("a", "b").union(hubs.select("a", "b")), grams, percent)
-    label = components(linked)
-    more = cut(_across(pairs, label, grams, percent))
-    if not more.isEmpty():
-        label = components(linked.union(more))
-    return sized, label
-
-
-def _across(pairs: DataFrame, label: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between components among the sets of long lists, enough of them to join all that belong together.
-
-    The sets that share their smallest hub are scanned together, each sent
-    once; sets of one list with different smallest hubs are scanned by list.
-    A group of more than GROUP_SETS sets is dealt into blocks, and every pair
-    of its blocks is a task of its own.
-    """
-    hub = pairs.where("long").select("a", "b")
-    hub = hub.union(hub.select("a", F.col("a").alias("b")).distinct())
-    named = hub.join(label.select(F.col("node").alias("b"), "label"), "b", "left").select("a", "b", F.coalesce("label", "b").alias("label"))
-    mixed = named.groupBy("a").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("a")
-    split = cut(named.join(mixed, "a", "left_semi"))
-    own = split.groupBy("b").agg(F.min("a").alias("c"), F.first("label").alias("label"))
-    by_hub = own.select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", "label", F.col("b").alias("c"))
-    listed = split.join(own.select("b", "c"), "b")
-    several = listed.groupBy("a").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("a")
-    by_list = listed.join(several, "a", "left_semi").select(F.lit(1).alias("kind"), F.col("a").alias("g"), "b", "label", "c")
-    rows = cut(by_hub.union(by_list))
-    size = rows.groupBy("kind", "g").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("kind", "g", F.ceil(F.col("m") / GROUP_SETS).cast("int").alias("blocks"))
-    dealt = rows.join(size, ["kind", "g"]).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
-    dealt = dealt.select("kind", "g", "b", "label", "c", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("other")
-    loaded = dealt.join(grams.withColumnRenamed("set", "b"), "b")
-    return loaded.groupBy("kind", "g", "i", "j").applyInArrow(_scan(percent), "a long, b long")
-
-
-def _scan(percent: int):
+def _scan(percent: int, most: int | None):
     def run(t: pa.Table) -> pa.Table:
-        """Scan the inverted lists of a group's sets; links that join two components, each joined once."""
-        block, label, c = (t[x].to_numpy() for x in ("block", "label", "c"))
-        name, i, j = t["b"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
-        sets = [np.frombuffer(x.as_buffer(), tb.U64) for x in t["grams"]]
-        kinds, count = np.unique(label, return_counts=True)
-        main = kinds[count.argmax()]
-        root = {int(x): int(x) for x in kinds}
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        a, b = [], []
-        for query, held in {(i, j), (j, i)}:
-            index = np.flatnonzero(block == held)
-            size = np.array([len(sets[k]) for k in index], dtype=np.int64)
-            gram = np.concatenate([sets[k] for k in index]) if len(index) else np.zeros(0, tb.U64)
-            order = np.argsort(gram, kind="stable")
-            gram, owner = gram[order], np.repeat(np.arange(len(index)), size)[order]
-            for k in np.flatnonzero((block == query) & (label != main)):
-                lo, hi = np.searchsorted(gram, sets[k], "left"), np.searchsorted(gram, sets[k], "right")
-                n = hi - lo
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                both = np.bincount(owner[at], minlength=len(index))
-                linked = 100 * both >= percent * (len(sets[k]) + size - both)
-                for y in index[linked & (label[index] != label[k]) & (c[index] != c[k])]:
-                    p, q = find(int(label[k])), find(int(label[y]))
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        a.append(name[k])
-                        b.append(name[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        """Compare the sketches of a group's sets; for each set outside the main component the nearest of each other one."""
+        block, n = t["block"].to_numpy(), t["n"].to_numpy()
+        name, c = t["b"].to_pylist(), np.unique(np.array(t["c"].to_pylist(), dtype="S16"), return_inverse=True)[1]
+        _, label, count = np.unique(np.array(t["label"].to_pylist(), dtype="S16"), return_inverse=True, return_counts=True)
+        outside = label != count.argmax()
+        sketches = [np.frombuffer(x.as_buffer(), tb.U64) for x in t["sketch"]]
+        words = np.array([len(x) for x in sketches])
+        held = {w: (at := np.flatnonzero(words == w), np.stack([sketches[k] for k in at])) for w in np.unique(words)}
+        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        a, b, m, more = [], [], [], False
+        for w, (xs, x) in held.items():
+            for v, (ys, y) in held.items():
+                # Of sketches of two lengths the longer is folded; beyond twice, no two such sets link.
+                if max(w, v) > 2 * min(w, v):
+                    continue
+                p, q = folded(x, min(w, v)), folded(y, min(w, v))
+                step = max(1, (1 << 20) // q.size)
+                asks = np.flatnonzero(outside[xs])
+                for at in range(0, len(asks), step):
+                    some = asks[at : at + step]
+                    apart = np.bitwise_count(p[some][:, None, :] ^ q[None, :, :]).sum(axis=2, dtype=np.int64)
+                    ok = may_link(n[xs[some]][:, None], n[ys][None, :], apart, percent)
+                    ok &= (label[xs[some]][:, None] != label[ys][None, :]) & (c[xs[some]][:, None] != c[ys][None, :])
+                    if i != j:
+                        ok &= block[xs[some]][:, None] != block[ys][None, :]
+                    for k in np.flatnonzero(ok.any(axis=1)):
+                        near = np.flatnonzero(ok[k])
+                        near = near[np.lexsort((apart[k, near], label[ys[near]]))]
+                        of = label[ys[near]]
+                        first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                        rank = np.arange(len(near)) - np.repeat(first, np.diff(np.append(first, len(near))))
+                        if most is not None:
+                            more |= bool((rank >= most).any())
+                            near = near[rank < most]
+                        for z in ys[near]:
+                            (h, _), (o, size) = sorted(((name[y], int(n[y])) for y in (xs[some[k]], z)))
+                            a.append(h)
+                            b.append(o)
+                            m.append(size)
+        if more:
+            a, b, m = ([*x, None] for x in (a, b, m))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "n": pa.array(m, pa.int64()), "more": pa.array([x is None for x in a], pa.bool_())})
 
     return run
 
 
-def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    x = grams.select(F.col("set").alias("a"), F.col("grams").alias("x"))
-    y = grams.select(F.col("set").alias("b"), F.col("grams").alias("y"))
-    return cut(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"))
+def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): id, r, n and set of every row; set, class and component (smallest id) of every set."""
+    join = _Join(docs, text, doc_id, width, percent)
+    join.run()
+    least = join.sized.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
+    if join.label is None:
+        return join.sized, cut(least.select("set", F.col("set").alias("class"), F.col("least").alias("component")))
+    classed = least.join(join.label.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("label", "set"))
+    # A class may hold a third of all sets: its smallest id comes from partial minima and goes out to SALTS tasks.
+    salts = 16
+    of = classed.where("label is not null").groupBy("class").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    several = classed.where("label is not null").withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(salts)).cast("int")).join(of, ["class", "salt"])
+    single = classed.where("label is null")
+    return join.sized, cut(several.select("set", "class", "component").union(single.select("set", "class", F.col("least").alias("component"))))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 4, percent: int = 85) -> DataFrame:
     """id, n and component (smallest id reachable by links) of every row of docs."""
-    sized, label = links(docs, text, doc_id, width, percent)
-    named = sized.join(label.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("label", "set"))
-    least = named.where("n > 0").groupBy("class").agg(F.min("id").alias("component"))
-    full = named.where("n > 0").join(least, "class").select("id", "n", "component")
-    return full.union(named.where("n = 0").select("id", "n", F.col("id").alias("component")))
+    sized, sets = links(docs, text, doc_id, width, percent)
+    full = sized.where("n > 0").join(sets, "set").select("id", "n", "component")
+    return full.union(sized.where("n = 0").select("id", "n", F.col("id").alias("component")))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, one row for each id; rows without id stay."""
-    first = near_duplicates(docs, text, doc_id, width, percent).where("id = component").select(F.col("id").alias(doc_id)).distinct()
-    named = docs.where(F.col(f"`{doc_id}`").isNotNull()).join(first, doc_id, "left_semi").dropDuplicates([doc_id])
-    return named.unionByName(docs.where(F.col(f"`{doc_id}`").isNull()))
+    """One row of docs for each component, with the columns of docs: that of the smallest id (null last), set and row key.
+
+    Rows without words are no one's copies and all stay; of repeated rows one stays.
+    """
+    sized, sets = links(docs, text, doc_id, width, percent)
+    ranked = sized.where("n > 0").groupBy("set").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "r")).alias("row"), F.count("*").alias("c"))
+    first = ranked.join(sets.select("set", "class"), "set").groupBy("class").agg(F.min(F.struct("row.none", "row.id", "set", "row.r")).alias("row"), F.max("c").alias("c"))
+    key = free_name(docs, "r")
+    kept = cut(first.select(F.col("row.r").alias(key), "c").union(sized.where("n = 0").select("r", F.lit(0)).distinct()))
+    keyed = docs.withColumn(key, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    found = keyed.join(F.broadcast(kept.select(key)) if kept.count() <= BROADCAST_ROWS else kept.select(key), key, "left_semi")
+    # Only rows that occur several times can bring a second row of one key.
+    twice = kept.where("c > 1").select(key).join(sized.groupBy(F.col("r").alias(key)).count().where("count > 1").select(key), key, "left_semi")
+    if not twice.isEmpty():
+        many = F.broadcast(cut(twice)) if twice.count() <= BROADCAST_ROWS else cut(twice)
+        found = found.join(many, key, "left_anti").unionByName(found.join(many, key, "left_semi").dropDuplicates([key]))
+    return found.drop(key)

@@ -6,6 +6,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,64 @@ def test_join_equals_brute_force(spark, seed, width, percent):
     assert got == want
 
 
+@pytest.mark.parametrize(("scanned", "nearest"), [(8, (1, None)), (20, (16, 1024, None))])
+def test_long_lists_are_dealt_anew_and_scanned_by_parts(spark, monkeypatch, scanned, nearest):
+    monkeypatch.setattr(ngram_join, "SCANNED", scanned)
+    monkeypatch.setattr(ngram_join, "NEAREST", nearest)
+    # A passage that all share, groups of drifting copies of it, and chains in which only neighbours link.
+    r = random.Random(8)
+    shared = [f"p{k}" for k in range(30)]
+    texts = []
+    for g in range(6):
+        base = shared + [f"g{g}x{k}" for k in range(30)]
+        for _ in range(15):
+            text = list(base)
+            for _ in range(r.randrange(4)):
+                text[r.randrange(30, 60)] = f"n{r.randrange(10**6)}"
+            texts.append(" ".join(text))
+            base[r.randrange(30, 60)] = f"d{r.randrange(10**6)}"
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.id, x.n, x.component) for x in ngram_join.near_duplicates(docs, width=2, percent=80).collect())
+    assert got == brute_components(rows, 2, 80)[0]
+
+
+def test_links_through_rows_without_id(spark):
+    words_ = [f"w{k}" for k in range(60)]
+    a, b, c = (" ".join(["x"] * 0 + words_[k : k + 56]) for k in (0, 2, 4))
+    docs = spark.createDataFrame([(1, a), (None, b), (3, c)], "doc_id long, text string")
+    assert sorted((x.component, x.n) for x in ngram_join.near_duplicates(docs, width=2, percent=92).collect()) == [(1, 55)] * 3
+    kept = ngram_join.keep_one(docs, width=2, percent=92).collect()
+    assert [x.doc_id for x in kept] == [1]
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    one, other = "one text with quite enough words in it", "another one that has nothing in common at all"
+    rows = [(1, one), (1, other), (2, one), (None, other), (None, None), (None, None), (4, ""), (4, ""), (5, "alone is this one here today too"), (5, "alone is this one here today too")]
+    docs = spark.createDataFrame([(i, t, 7, "x") for i, t in rows], "doc_id long, text string, r int, R_ string")
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((x.doc_id, x.text) for x in kept.collect())
+    assert got == Counter({(1, one): 1, (1, other): 1, (None, None): 2, (4, ""): 2, (5, rows[-1][1]): 1})
+
+
+def test_sketches_never_forbid_a_link():
+    r = random.Random(3)
+    for _ in range(300):
+        n = r.randrange(1, 400)
+        x = [r.randrange(1 << 63) for _ in range(n)]
+        y = x[r.randrange(0, 1 + n // 8) :] + [r.randrange(1 << 63) for _ in range(r.randrange(0, 1 + n // 8))]
+        if not y:
+            continue
+        p, q = (np.frombuffer(ngram_join.sketch(np.array(v, dtype=np.uint64)), np.uint64)[None, :] for v in (x, y))
+        width = min(p.shape[1], q.shape[1])
+        apart = int(np.bitwise_count(ngram_join.folded(p, width) ^ ngram_join.folded(q, width)).sum())
+        assert apart <= len(set(x) ^ set(y))
+        if 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)):
+            assert ngram_join.may_link(np.array([len(x)]), np.array([len(y)]), np.array([apart]), 80)[0]
+
+
 def test_keep_one_leaves_one_of_each_component(spark):
     rows = list(enumerate(corpus(5)))
     docs = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, set string")
