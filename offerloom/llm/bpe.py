@@ -41,6 +41,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from tokenizers import Tokenizer
 
 #: Words whose ids a worker keeps; beyond, those of the generation before go.
 KEPT_WORDS = 120_000
@@ -74,21 +75,42 @@ class Model:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.library = Tokenizer.from_file(path)
+        self.checked: set[str] = set()  # characters met so far, and those that the library's edition of Unicode knows otherwise
+        self.strange: set[str] = set()
         self.known: dict[str | int, tuple[int, ...]] = {}
         self.older: dict[str | int, tuple[int, ...]] = {}
 
     def split(self, text: str) -> list[str | int]:
         """Words of a text in order; special tokens as their ids."""
         if self.specials is None or not any(s in text for s in self.special):
-            return self.words.findall(self.normal(text))
+            return self.words_in(text)
         out: list[str | int] = []
         for piece in self.specials.split(text):
             if piece in self.special:
                 out.append(self.special[piece])
             else:
-                out += self.words.findall(self.normal(piece))
+                out += self.words_in(piece)
         return out
 
+    def words_in(self, text: str) -> list[str]:
+        """Words of a text without special tokens.
+
+        Each character is once held against the library's normaliser and
+        splitter; texts with one that it treats otherwise are split by them.
+        """
+        if not text.isascii():
+            if new := set(text) - self.checked:
+                self.checked |= new
+                self.strange |= {c for c in new if unicodedata.category(c) == "Cn" or self.words.findall(self.normal(f"a{c}b 1{c} .{c}.")) != self.library_words(f"a{c}b 1{c} .{c}.")}
+            if self.strange and not self.strange.isdisjoint(text):
+                return self.library_words(text)
+        return self.words.findall(self.normal(text))
+
+    def library_words(self, text: str) -> list[str]:
+        plain = self.library.normalizer.normalize_str(text)
+        return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]
+
     @staticmethod
     def normal(text: str) -> str:
         """NFC and lower case character by character (a capital sigma is never a final one)."""

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from offerloom.llm import textbuf as tb
+from offerloom.llm.lineage import free_name
 
 Q, WINDOW, RATE, LEAST, BLOCK_CHARS = 8, 120, 0.1, 24, 1_000_000
 _TYPE = "array<struct<item:bigint,edits:int,start:bigint,stop:bigint>>"
@@ -333,5 +334,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item, with the columns of docs."""
-    into = "__leaks"
+    into = free_name(docs, "leaks")
     return contamination(docs, benchmark, text, into).where(F.size(into) == 0).drop(into)

@@ -31,7 +31,7 @@ calibration; a text of one endless token has one n-gram; a label row with a
 null label or id is no example, of several rows for one id the worst counts;
 equal rows get equal results, and rows that tie at the cut all stay; an empty
 table gives an empty result; with no example of one of the classes everything
-is kept; a column of the input with the name of the result column is replaced.
+is kept; extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from offerloom.llm import textbuf as tb
-from offerloom.llm.lineage import cut
+from offerloom.llm.lineage import cut, free_name
 
 #: Hash buckets of n-grams for each of two hashes; labelled rows that are looked at, at most.
 BUCKETS, LABELLED_ROWS = 1 << 18, 40_000
@@ -235,5 +235,6 @@ def keep_target_like(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """The rows of docs that the sampler draws, with the columns of docs."""
     sampler, _ = fit_sampler(docs, labels, doc_id, text, **options)
     i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
-    weighed = docs.withColumn("__log_weight", sampler.log_weight(t))
-    return weighed.where(sampler.key(F.col("__log_weight"), i, t) >= sampler.cut).drop("__log_weight")
+    own = free_name(docs, "log_weight")
+    weighed = docs.withColumn(own, sampler.log_weight(t))
+    return weighed.where(sampler.key(F.col(own), i, t) >= sampler.cut).drop(own)

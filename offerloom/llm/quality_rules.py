@@ -28,12 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from offerloom.llm import textbuf as tb
+from offerloom.llm.lineage import free_name
 
 #: The fixed numbers of a text that the base rules read, then those only votes read.
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NUMBERS = (*BASE, "n_lines", "n_upper", "n_letters", "n_bangs", "n_marked_words", "n_bars")
 _TYPE = "struct<" + ",".join(f"{c}:bigint" for c in NUMBERS) + ">"
 
+#: The share of bad texts that the fit starts from and is drawn to; the most bad texts on which one rule votes bad.
+SHARE_BAD, MOST_HITS = 0.2, 0.75
+
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _LETTER = np.zeros(256, dtype=bool)
@@ -161,23 +165,27 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, n_rules: int, rounds: in
     """Expectation-maximisation over counts of vote patterns.
 
     The classes keep their meaning because a rule's bad vote is held to be at
-    least three times as likely on a bad text as on a good one, and one bad
-    text in two is the most the prior may reach.  Each rate starts from
-    pseudo-counts, so rules that never vote keep their starting values.
+    least three times as likely on a bad text as on a good one, because no
+    rule may vote bad on more than MOST_HITS of the bad texts (else one rule
+    becomes the class), and because the share of bad texts is drawn to
+    SHARE_BAD by a Beta prior that weighs a tenth of the texts, and is one in
+    two at most.  Each rate starts from pseudo-counts, so rules that never
+    vote keep their starting values.
     """
     votes = (patterns[:, None] // 3 ** np.arange(n_rules)) % 3
     bad, good = votes == 2, votes == 1
-    prior, hit, clear = 0.2, np.full(n_rules, 0.4), np.full(n_rules, 0.99)
+    prior, hit, clear = SHARE_BAD, np.full(n_rules, 0.4), np.full(n_rules, 0.99)
     for _ in range(rounds):
         odds = np.log(prior / (1 - prior)) + bad @ np.log(hit / (1 - clear)) + good @ np.log((1 - hit) / clear)
         p = counts / (1 + np.exp(-odds))
         q = counts - p
         before = (prior, hit, clear)
-        prior = float(np.clip((p.sum() + 2) / (counts.sum() + 10), 1e-4, 0.5))
+        held = 10 + 0.1 * counts.sum()
+        prior = float(np.clip((p.sum() + SHARE_BAD * held) / (counts.sum() + held), 1e-4, 0.5))
         hit = (p @ bad + 4) / (p @ (bad | good) + 10)
         clear = (q @ good + 19.8) / (q @ (bad | good) + 20)
         clear = np.clip(clear, 0.9, 0.9995)
-        hit = np.clip(hit, 3 * (1 - clear), 0.98)
+        hit = np.clip(hit, 3 * (1 - clear), MOST_HITS)
         if max(abs(prior - before[0]), np.abs(hit - before[1]).max(), np.abs(clear - before[2]).max()) < 1e-9:
             break
     return Fit(prior, tuple(hit), tuple(clear))
@@ -207,13 +215,15 @@ def quality_rules(
     for r, (b, g) in zip(rules, each, strict=True):
         odds = odds + F.when(F.expr(_qualified(r.bad, into)), b).when(F.expr(_qualified(r.good, into)), g).otherwise(0.0)
     # Each step is a projection of its own, so that no long expression is repeated in the next.
-    judged = numbers.withColumn("__pattern", votes).withColumn("__p_good", 1 / (1 + F.exp(-odds))).withColumn("__failed", base_failed(into))
+    own = [free_name(numbers, c) for c in ("pattern", "p_good", "failed")]
+    judged = numbers.withColumn(own[0], votes).withColumn(own[1], 1 / (1 + F.exp(-odds))).withColumn(own[2], base_failed(into))
+    voted, p_good, failed = map(F.col, own)
     fields = [F.col(f"{into}.{c}").alias(c) for c in NUMBERS]
-    fields += [F.col("__pattern").alias("pattern"), F.col("__p_good").alias("p_good"), F.col("__failed").alias("base_failed"), (~F.col("__failed") & (F.col("__p_good") >= least)).alias("kept")]
-    return judged.withColumn(into, F.struct(*fields)).drop("__pattern", "__p_good", "__failed")
+    fields += [voted.alias("pattern"), p_good.alias("p_good"), failed.alias("base_failed"), (~failed & (p_good >= least)).alias("kept")]
+    return judged.withColumn(into, F.struct(*fields)).drop(*own)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that quality_rules keeps, with the columns of docs."""
-    into = "__quality"
+    into = free_name(docs, "quality_")
     return quality_rules(docs, into=into, **options).where(F.col(f"{into}.kept")).drop(into)

@@ -4,11 +4,13 @@ Counts are those of a byte-level BPE vocabulary.  A text of at most ``chunk``
 characters is encoded at once.  A longer one is encoded in overlapping chunks:
 each chunk's tokens give the byte offsets at which tokens begin, and two
 neighbouring chunks are spliced at an offset in their overlap where both begin
-a token and the text goes from a printed character to white space.  No piece
-of the splitting pattern reaches across such a place, nor does a special token
-hold one, so on either side the tokens are those of the whole text: a common
-boundary of this kind is stable.  If an overlap holds none, it is widened,
-doubling up to the rest of the text.
+a token and the text goes from a printed character, of whatever script, to
+white space.  No piece of the splitting pattern reaches across such a place,
+nor does a special token hold one, so on either side the tokens are those of
+the whole text: a common boundary of this kind is stable.  If an overlap holds
+none, it is widened, doubling up to the whole left chunk; a left chunk without
+any goes on by its own length, so that a text without blanks is encoded in
+chunks of doubling size, under three times its length in all.
 
 The tokens come from the rank file of the same vocabulary as the JSON file
 (the two are published side by side and give equal tokens, which the tests and
@@ -26,6 +28,7 @@ column is replaced.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from offerloom.llm.lineage import free_name
+
 CHUNK, OVERLAP = 64_000, 512
+#: Characters that a stable place keeps from the end of the left chunk, so that blanks behind it are whole or go on alike.
+MARGIN = 16
+#: Read backwards: a blank, then a printed character before it.
+_BLANK_AFTER = re.compile(r"[ \n\t](?=\S)")
 _encodings: dict[tuple, Encoder] = {}
 
 
@@ -67,40 +76,39 @@ class Encoder:
             return self.ids(text)
         out: list[int] = []
         begin = 0  # the text from here on is not yet in out
-        stop = min(len(text), chunk)
-        left = self.ids(text[begin:stop])
+        stop = chunk
+        left = self.ids(text[:stop])
         while stop < len(text):
-            width = overlap
+            width, after = overlap, min(len(text), stop + chunk)
             while True:
                 # The right chunk takes in the overlap and goes on by a chunk; a wider overlap reaches back further.
                 at = max(begin, stop - width)
-                after = min(len(text), stop + chunk)
-                right = self.ids(text[at:after])
-                if (cut := self._common(text, begin, at, stop, left, right)) is not None:
-                    break
-                if at == begin:  # the whole left chunk is the overlap: take both as one
-                    cut = (0, 0)
-                    right = right if at == begin else self.ids(text[begin:after])
+                if (place := self._stable(text, at, stop)) is not None:
+                    right = self.ids(text[at:after])
+                    if (cut := self._common(text, begin, at, place, left, right)) is not None:
+                        out += left[: cut[0]]
+                        left, begin, stop = right[cut[1] :], place, after
+                        break
+                if at == begin:  # the left chunk has no stable place: it goes on by as much as it is long, so each doubling is encoded once
+                    stop = min(len(text), stop + max(chunk, stop - begin))
+                    left = self.ids(text[begin:stop])
                     break
                 width *= 2
-            out += left[: cut[0]]
-            left = right[cut[1] :]
-            begin = at + len(text[at:after].encode()[: int(self.starts(right)[cut[1]])].decode())
-            stop = after
         return out + left
 
-    def _common(self, text: str, begin: int, at: int, stop: int, left: list[int], right: list[int]) -> tuple[int, int] | None:
-        """Indexes of the tokens of both chunks that begin at the last stable offset in the overlap."""
-        shift = len(text[begin:at].encode())
-        a, b = self.starts(left), self.starts(right) + shift
-        raw = text[begin:stop].encode()
-        both = np.intersect1d(a[:-1], b[:-1])
-        for offset in both[::-1].tolist():
-            # The tokens left of the offset must not depend on where the left chunk was cut: it goes on behind the blank.
-            if offset > shift and raw[offset : offset + 1] in (b" ", b"\n", b"\t") and raw[offset - 1] > 0x20 and raw[offset - 1] < 0x7F and offset + 4 < len(raw):
-                return int(np.searchsorted(a, offset)), int(np.searchsorted(b, offset))
+    def _stable(self, text: str, at: int, stop: int) -> int | None:
+        """The last place in text[at:stop] between a printed character and a blank behind it, away from the ends."""
+        for m in _BLANK_AFTER.finditer(text[at + 1 : stop - MARGIN][::-1]):
+            return stop - MARGIN - m.start() - 1
         return None
 
+    def _common(self, text: str, begin: int, at: int, place: int, left: list[int], right: list[int]) -> tuple[int, int] | None:
+        """Indexes of the tokens of both chunks that begin at a place of the text; None unless both have one."""
+        a, b = self.starts(left), self.starts(right)
+        x, y = len(text[begin:place].encode()), len(text[at:place].encode())
+        i, j = int(np.searchsorted(a, x)), int(np.searchsorted(b, y))
+        return (i, j) if i < len(left) and j < len(right) and a[i] == x and b[j] == y else None
+
 
 def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...]) -> Encoder:
     """Read once in each Python worker."""
@@ -123,5 +131,8 @@ def with_counts(docs: DataFrame, path: str, pattern: str, special: tuple[tuple[s
     """docs with a struct column: n_bytes, n_tokens and over_limit."""
     t = F.col(f"`{text}`")
     rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()]
-    n = docs.select(*rest, counts(t, path, pattern, special, **options).alias("__n"), F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias("__b"))
-    return n.withColumn(into, F.struct(F.col("__b").alias("n_bytes"), F.col("__n").alias("n_tokens"), (F.col("__n") > limit).alias("over_limit"))).drop("__n", "__b")
+    own = free_name(docs, into)
+    n = docs.select(*rest, F.coalesce(F.octet_length(t), F.lit(0)).cast("long").alias(free_name(docs, "n_bytes")), counts(t, path, pattern, special, **options).alias(own))
+    *_, b, k = n.columns
+    made = F.struct(F.col(f"`{b}`").alias("n_bytes"), F.col(f"`{k}`").alias("n_tokens"), (F.col(f"`{k}`") > limit).alias("over_limit"))
+    return n.select(*rest, made.alias(into))

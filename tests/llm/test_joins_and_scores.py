@@ -154,7 +154,7 @@ def test_every_linkable_pair_of_sizes_shares_a_range():
 
 def test_lm_equals_brute_force(spark):
     r = random.Random(4)
-    texts = [" ".join(r.choice(["A", "b", "c", "the", "The", "x1", "é"]) for _ in range(r.randrange(0, 60))) for _ in range(60)] + [None, "", " \n", "rare"]
+    texts = [" ".join(r.choice(["A", "b", "c", "the", "The", "x1", "é"]) for _ in range(r.randrange(0, 60))) for _ in range(60)] + [None, "", " \n", "rare", " ".join(f"t{k % 13}" for k in range(1500))]
     rows = [(i, t, i % 5 != 1, i) for i, t in enumerate(texts)] + [(3, texts[3], True, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean, block int")
     for order in (2, 3):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -33,6 +34,36 @@ def test_bpe_equals_the_library():
         assert own.decode(g) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_bpe_equals_the_library_on_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.Model(path)
+    texts = [f"a{chr(c)}b {chr(c)}" for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    got = own.encode(texts)
+    assert [g.tolist() for g in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_bpe_digests(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, texts = Tokenizer.from_file(path), [*documents(40), *ODD]
+    docs = spark.createDataFrame([*enumerate(texts), (-1, None)], "doc_id long, text string")
+    got = {r.doc_id: r.d for r in docs.select("doc_id", bpe.digests(F.col("text"), path).alias("d")).collect()}
+    for i, t in enumerate([*texts, ""]):
+        ids = library.encode(t, add_special_tokens=False).ids
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+        assert tuple(got[i if i < len(texts) else -1]) == want
+
+
+@pytest.mark.parametrize("unit", ["中文文本没有空格但有句号结束。\n", "слово за словом идёт ", "a b ", "无空格", "x"])
+def test_long_texts_are_encoded_in_linear_work(unit):
+    own = token_counts.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, SPECIAL)
+    text = unit * (40_000 // len(unit)) if len(unit) > 1 else "xyz" * 4000
+    want, sent = own.ids(text), []
+    plain = own.ids
+    own.ids = lambda t: sent.append(len(t)) or plain(t)
+    assert own.all_ids(text, 2000, 64) == want
+    assert sum(sent) <= (1.2 if any(c.isspace() for c in unit) else 3) * len(text)
+
+
 def test_bpe_with_a_small_table_of_words(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 10)
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -94,7 +125,7 @@ def test_base_numbers_equal_brute_force(spark):
 
 def test_rules_find_junk_and_keep_the_rest(spark):
     r = random.Random(3)
-    clean = [" ".join(r.choice(["some", "plain", "words", "about", "things", f"k{r.randrange(999)}"]) for _ in range(120)) + "." for _ in range(90)]
+    clean = [" ".join(r.choice(["some", "plain", "words", "about", "things", *(f"{c}{r.randrange(9999)}" for c in "klm")]) for _ in range(120)) + "." for _ in range(90)]
     junk = [" ".join(x.upper() + "!!" for x in t.split()) for t in clean[:10]] + [" ".join(x + "***" for x in t.split()) for t in clean[10:20]]
     docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(clean + junk)], "doc_id long, text string, quality boolean")
     kept = quality_rules.keep_good(docs)
