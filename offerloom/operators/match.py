@@ -15,12 +15,13 @@ from offerloom.functions import rules as R
 from offerloom.functions.names import compared_colour, keyboard_switch
 from offerloom.functions.parts import gpu_sku_key
 from offerloom.functions.text import extract, first_label, has, let, replace
-from offerloom.operators.graph import components
+from offerloom.operators.graph import components, cut
 
 THRESHOLD, MAX_RATIO = 0.7, 1.6
 #: Categories in which black is what an unnamed colour means.
 IMPLICIT_BLACK = ("keyboard", "mouse", "cooler", "fan", "headset", "speaker", "case")
-#: Listings of one component that one greedy task takes in one piece of memory, about.
+#: Listings that one greedy task takes, about; a component is never split.
+MEMBERS_PER_TASK = 4000
 _FIELDS = "id string, group_key string"
 
 
@@ -97,7 +98,8 @@ def unconditioned(df: DataFrame) -> DataFrame:
 
 def exact_groups(df: DataFrame) -> DataFrame:
     """(id, group_key) of listings whose exact key occurs in two sources or more."""
-    keyed = unconditioned(df).select("id", "source", exact_match_key(df).alias("group_key")).where("group_key is not null")
+    # Written once: the optimiser would copy the long key expression into the filter and both sides of the join.
+    keyed = cut(unconditioned(df).select("id", "source", exact_match_key(df).alias("group_key"))).where("group_key is not null")
     shared = keyed.groupBy("group_key").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b").select("group_key")
     return keyed.join(shared, "group_key", "left_semi").select("id", "group_key")
 
@@ -122,7 +124,7 @@ def candidate_pairs(df: DataFrame, threshold: float = THRESHOLD, max_ratio: floa
     never pair anything by themselves.
     """
     base = unconditioned(df).select("id", "source", "category", "price", match_tokens(F.col("name")).alias("t"), F.when(F.col("category").isin(*R.COLOUR_CATEGORIES), compared_colour(F.col("name"))).alias("colour"), F.when(F.col("category") == "keyboard", F.upper(keyboard_switch(F.col("name")))).alias("switch"))
-    base = base.where(F.size("t") > 0)
+    base = cut(base).where(F.size("t") > 0)
     token = base.select("id", "category", F.size("t").alias("n"), F.explode("t").alias("token"))
     often = token.groupBy("category", "token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
@@ -139,16 +141,17 @@ def candidate_pairs(df: DataFrame, threshold: float = THRESHOLD, max_ratio: floa
 
 def _greedy(max_ratio: float):
     def run(members: pd.DataFrame) -> pd.DataFrame:
-        """Groups of one component: each seed takes later neighbours, one a source, while prices stay near."""
+        """Groups of whole components: each seed takes later neighbours, one a source, while prices stay near."""
         rows = members.sort_values(["keyless", "id"], kind="stable").to_dict("records")
+        place = {row["id"]: k for k, row in enumerate(rows)}
         taken, out = set(), []
         for k, seed in enumerate(rows):
             if seed["id"] in taken:
                 continue
             group, sources, low, high = [seed["id"]], {seed["source"]}, seed["price"], seed["price"]
-            near = set(seed["neighbours"])
-            for other in rows[k + 1 :]:
-                if other["id"] in taken or other["id"] not in near or other["source"] in sources:
+            for at in sorted(place[i] for i in seed["neighbours"] if i in place and place[i] > k):
+                other = rows[at]
+                if other["id"] in taken or other["source"] in sources:
                     continue
                 if max(high, other["price"]) > max_ratio * min(low, other["price"]):
                     continue
@@ -166,15 +169,19 @@ def _greedy(max_ratio: float):
 def fuzzy_groups(df: DataFrame, pairs: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
     """(id, group_key) of greedy groups, in the order of exact-keyed listings first, then by id.
 
-    Greedy choices interact only through candidate pairs, so each connected
-    component is settled by itself; only listings with a candidate take part.
+    Greedy choices interact only through candidate pairs, so a task settles
+    some connected components by themselves; only listings with a candidate
+    take part.
     """
+    pairs = cut(pairs)
     label = components(pairs)
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("neighbours"))
-    order = exact_match_key(df).isNull().alias("keyless")
-    members = df.select("id", "source", F.col("price").cast("double").alias("price"), order).join(near, "id").join(label.withColumnRenamed("node", "id"), "id")
-    return members.groupBy("label").applyInPandas(_greedy(max_ratio), _FIELDS)
+    keyed = cut(df.select("id", "source", F.col("price").cast("double").alias("price"), exact_match_key(df).isNull().alias("keyless")))
+    members = cut(keyed.join(near, "id").join(label.withColumnRenamed("node", "id"), "id"))
+    tasks = max(1, members.count() // MEMBERS_PER_TASK)
+    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(tasks))).repartition(tasks, "bucket")
+    return dealt.groupBy("bucket").applyInPandas(_greedy(max_ratio), _FIELDS)
 
 
 def group_id(key: Column) -> Column:

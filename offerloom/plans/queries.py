@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import names, parts, storage
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
+from offerloom.operators.graph import cut
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
 
@@ -26,15 +27,15 @@ SOURCES = ["s0", "s1", "s2"]
 
 
 def offers(spark: SparkSession, folder: str) -> DataFrame:
-    """Listings with the columns that matching and serving read; names are cleaned by the generic steps."""
+    """Listings with the columns that matching and serving read; names are cleaned by the generic steps, once."""
     raw = tables.listings(spark, folder)
-    return raw.withColumns({"name": names.generic_clean(F.col("raw_name")), "model": F.lit(None).cast("string"), "in_stock": F.col("price") % 5 != 0, "updated_at": F.col("scraped_at"), "specs": F.create_map(F.lit("size"), F.regexp_extract("raw_name", "([0-9]+)GB?", 1))})
+    return cut(raw.withColumns({"name": names.generic_clean(F.col("raw_name")), "model": F.lit(None).cast("string"), "in_stock": F.col("price") % 5 != 0, "updated_at": F.col("scraped_at"), "specs": F.create_map(F.lit("size"), F.regexp_extract("raw_name", "([0-9]+)GB?", 1))}))
 
 
 def grouped(spark: SparkSession, folder: str) -> DataFrame:
     """Offers with one group for each part that two sources or more have, and their own for the rest."""
     o = offers(spark, folder)
-    return match.assign_group_ids(o, match.exact_groups(o))
+    return cut(match.assign_group_ids(o, match.exact_groups(o)))
 
 
 _CLEAN = "trim(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_name, '<[^>]+>', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '\\$\\s*[\\d,]+', ' ', 'g'), '\\s+', ' ', 'g')), '^[\\s,\\-、]+|[\\s,\\-、]+$', '', 'g'))"
@@ -250,10 +251,10 @@ FROM ({tables.LISTINGS_SQL}) listing JOIN part ON p_partkey = pk"""
 
 
 def _near(spark: SparkSession, folder: str) -> DataFrame:
-    near = tables.view(spark, folder, _NEAR, "lineitem", "part")
+    near = tables.spread(tables.view(spark, folder, _NEAR, "lineitem", "part"), "id")
     # The part number keeps parts apart: a name has about six tokens, one of them its own.
     name = F.concat_ws(" ", names.generic_clean(F.col("raw_name")), F.concat(F.lit("PN"), F.col("pk").cast("string")), F.concat(F.lit("MK"), F.col("pk").cast("string")), F.concat(F.lit("QX"), F.col("pk").cast("string")))
-    return near.withColumns({"name": name, "model": F.lit(None).cast("string")})
+    return cut(near.withColumns({"name": name, "model": F.lit(None).cast("string")}))
 
 
 _PAIRS = f"""t AS (SELECT id, source, category, price, pk, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(upper({_CLEAN} || ' PN' || pk || ' MK' || pk || ' QX' || pk), '[^A-Z0-9]+', ' ', 'g'), ' +'), lambda w: length(w) > 1))) AS w FROM ({_NEAR}) near),
@@ -542,8 +543,6 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def _drained(df: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over what has arrived and return what it wrote last."""
-    from offerloom.operators.graph import cut
-
     spark = df.sparkSession
     cut(spark.range(1))
     top = spark.sparkContext.getCheckpointDir()

@@ -48,7 +48,14 @@ def _named(sql: str, tables: tuple[str, ...]) -> str:
 
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, LISTINGS_SQL, "lineitem", "part")
+    return spread(view(spark, folder, LISTINGS_SQL, "lineitem", "part"), "id")
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to all cores: names are costly to clean for their few bytes, by which Spark would merge partitions."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *by)
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
