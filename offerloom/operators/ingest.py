@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from offerloom.functions import detect, parts, storage
 from offerloom.functions import rules as R
 from offerloom.functions.names import choose_brand, clean_name, extract_brand, extract_cpu_model
+from offerloom.operators.graph import cut
 
-_KEPT_FROM_OLD = ("match_group_id", "created_at")
+#: First level of the path of a part that is sold under a condition.
+OFFERED = "搭購價單品"
+PART_PATHS = {"cpu": parts.cpu_path, "motherboard": parts.motherboard_path, "gpu": parts.gpu_path, "ram": storage.ram_path, "ssd": storage.ssd_path, "hdd": storage.hdd_path, "psu": storage.psu_path}
+
+
+def free_name(df: DataFrame, like: str) -> str:
+    while like in df.columns:
+        like += "_"
+    return like
 
 
 def price_condition(c: Column) -> Column:
@@ -35,7 +45,10 @@ def drop_junk_prices(df: DataFrame, least: int = R.MIN_PRICE) -> DataFrame:
 
 def retain_listings(df: DataFrame, retained: tuple[str, ...] = R.RETAINED) -> DataFrame:
     """Listings of retained categories; packages only with a bundle reason or a price condition."""
-    bundle = F.col("bundle_reason").isNotNull() if "bundle_reason" in df.columns else F.lit(False)
+    if "bundle_reason" not in df.columns:
+        # Written first: a filter on the reason would be pushed into the projections that find it, each copied many times.
+        return retain_listings(cut(detect.bundle_reason(df)), retained).drop("bundle_reason")
+    bundle = F.col("bundle_reason").isNotNull()
     return df.where(F.col("category").isin(*retained) & ((F.col("category") != "package") | bundle | price_condition(F.col("raw_name")).isNotNull()))
 
 
@@ -49,8 +62,36 @@ def with_price_condition(df: DataFrame) -> DataFrame:
     return df.withColumn("specs", F.when(found.isNull(), F.col("specs")).when(F.col("specs").isNull(), named).otherwise(F.map_concat(kept, named)))
 
 
+def part_path(category: Column, raw: Column) -> Column:
+    """The path of a part in its category, null for categories without one."""
+    return F.coalesce(*[F.when(category == c, path(raw)) for c, path in PART_PATHS.items()])
+
+
+def categorize_listings(df: DataFrame, paths: bool = True) -> DataFrame:
+    """df with category, subcategory and bundle_reason from raw_name, and the price condition in specs.
+
+    Complete systems and bundles are packages.  A category is found anew where
+    it is not kept, is package, or where the title says otherwise.  A part
+    with a price condition is a package too, with the label of its category
+    and the condition as its path.
+    """
+    t = detect.Titles("exempt", *[r for _, r in detect.BUNDLE + detect.CATEGORY + detect.DOUBT], into=free_name(df, "seen"))
+    read, c = t.see(df, F.col("raw_name")), F.col("category")
+    doubtful = F.coalesce(~c.isin(*R.RETAINED) | (c == "package") | F.coalesce(*[F.when(c == k, t.holds(r)) for k, r in detect.DOUBT], F.lit(False)), F.lit(True))
+    own, said = free_name(read, "found"), free_name(read, "condition")
+    read = read.withColumns({"bundle_reason": t.bundle_reason(), own: F.when(doubtful, t.category()).otherwise(c), said: price_condition(F.col("raw_name"))})
+    offer = F.col(said).isNotNull() & (F.col(own) != "other")
+    label = F.create_map(*[F.lit(x) for k, (name, _) in R.CATEGORIES.items() for x in (k, name)])
+    steps = {"category": F.when(F.col("bundle_reason").isNotNull() | offer, "package").otherwise(F.col(own))}
+    if paths:
+        in_package = F.when(F.col("bundle_reason").isNull() & offer, F.concat_ws(" > ", F.lit(OFFERED), F.try_element_at(label, F.col(own)), F.col(said)))
+        steps["subcategory"] = F.when(steps["category"] == "package", in_package).otherwise(part_path(F.col(own), F.col("raw_name")))
+    return with_price_condition(t.forget(read.withColumns(steps)).drop(own, said))
+
+
 def process_batch(df: DataFrame) -> DataFrame:
-    return with_price_condition(retain_listings(drop_junk_prices(normalize_listings(df))))
+    """N10, C2, F6 and F7: names, categories, prices, retention."""
+    return retain_listings(drop_junk_prices(cut(categorize_listings(normalize_listings(df)))))
 
 
 def upsert(current: DataFrame, batch: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

@@ -13,9 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import names, parts, storage
+from offerloom.functions import detect, detect_rules, names, parts, storage
+from offerloom.functions import rules as R
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
 from offerloom.operators.graph import cut
+from offerloom.plans.titles import TITLES_SQL
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
 
@@ -221,6 +223,73 @@ def storage_paths(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("p_partkey", storage.ram_path(n).alias("ram"), storage.ssd_path(n).alias("ssd"), storage.hdd_path(n).alias("hdd"), storage.psu_path(n).alias("psu"))
 
 
+# Categories ----------------------------------------------------------------
+
+_T = f"({TITLES_SQL}) t"
+
+
+def _titles(spark: SparkSession, folder: str) -> DataFrame:
+    return tables.spread(tables.view(spark, folder, TITLES_SQL, "part"), "p_partkey").withColumnRenamed("title", "raw_name")
+
+
+@query(f"SELECT p_partkey, {detect.first_sql(detect.CATEGORY, chr(39) + 'other' + chr(39))} AS category FROM ({detect.rules_sql(_T, [r for _, r in detect.CATEGORY])}) x")
+def detect_category(spark: SparkSession, folder: str) -> DataFrame:
+    return detect.detect_category(_titles(spark, folder)).select("p_partkey", "category")
+
+
+@query(f"SELECT p_partkey, CASE WHEN NOT exempt THEN {detect.first_sql(detect.BUNDLE)} END AS bundle_reason FROM ({detect.rules_sql(_T, ['exempt'] + [r for _, r in detect.BUNDLE])}) x")
+def bundle_reason(spark: SparkSession, folder: str) -> DataFrame:
+    return detect.bundle_reason(_titles(spark, folder)).select("p_partkey", "bundle_reason")
+
+
+_NOT = [*(r for r in detect_rules.RULES if r.startswith("not_")), "furniture", "laptop_like"]
+_LOOKS = [*(r for r in detect_rules.RULES if r.startswith("looks_")), "psu_model"]
+
+
+@query(f"SELECT p_partkey, {', '.join(_NOT)} FROM ({detect.rules_sql(_T, _NOT)}) x")
+def contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    return detect.flagged(_titles(spark, folder), _NOT).select("p_partkey", *_NOT)
+
+
+@query(f"SELECT p_partkey, {', '.join(_LOOKS)} FROM ({detect.rules_sql(_T, _LOOKS)}) x")
+def looks_like(spark: SparkSession, folder: str) -> DataFrame:
+    return detect.flagged(_titles(spark, folder), _LOOKS).select("p_partkey", *_LOOKS)
+
+
+@query(f"SELECT p_partkey, t_cleaned AS title FROM ({detect.rules_sql(_T, ['exempt'])}) x")
+def neutralize_plus(spark: SparkSession, folder: str) -> DataFrame:
+    return _titles(spark, folder).select("p_partkey", detect.neutral_plus(F.col("raw_name")).alias("title"))
+
+
+_GIVEN = "CASE p_partkey % 23 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(R.CATEGORIES)) + " ELSE 'optical_drive' END"
+_CONDITION = "CASE WHEN regexp_matches(title, '限組裝|限整機') THEN '限組裝' WHEN regexp_matches(title, '組裝價') THEN '組裝價' WHEN regexp_matches(title, '搭板|搭版|任搭主機板|任搭板|任搭CPU|板U價|搭機價') THEN '搭板價' WHEN regexp_matches(title, '搭購價|搭購優惠|套裝搭購|U版專案') THEN '搭購價' WHEN regexp_matches(title, '加購優惠|限加購|加購價') THEN '加購價' END"
+_CATEGORIZED = f"""f AS (SELECT *, {_GIVEN} AS given, {_CONDITION} AS condition, CASE WHEN NOT exempt THEN {detect.first_sql(detect.BUNDLE)} END AS bundle_reason,
+  {detect.first_sql(detect.CATEGORY, chr(39) + 'other' + chr(39))} AS found FROM ({detect.rules_sql(_T, ['exempt'] + [r for _, r in detect.BUNDLE + detect.CATEGORY + detect.DOUBT])}) x),
+o AS (SELECT *, CASE WHEN given IN ('other', 'optical_drive', 'package') OR {' OR '.join(f"(given = '{c}' AND {chr(34)}{r}{chr(34)})" for c, r in detect.DOUBT)} THEN found ELSE given END AS own FROM f),
+c AS (SELECT *, CASE WHEN bundle_reason IS NOT NULL OR (condition IS NOT NULL AND own <> 'other') THEN 'package' ELSE own END AS category FROM o)"""
+
+
+def _categorized(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.categorize_listings(_titles(spark, folder).withColumn("category", F.expr(_GIVEN)))
+
+
+@query(f"""WITH {_CATEGORIZED} SELECT p_partkey, category, bundle_reason, condition, CASE WHEN bundle_reason IS NULL AND condition IS NOT NULL AND own <> 'other' THEN '搭購價單品 > ' || {"CASE own " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in R.CATEGORIES.items()) + " END"} || ' > ' || condition END AS offer_path FROM c""")
+def categorize_listings(spark: SparkSession, folder: str) -> DataFrame:
+    found = _categorized(spark, folder)
+    offer = F.when((F.col("category") == "package") & F.col("bundle_reason").isNull(), F.col("subcategory"))
+    return found.select("p_partkey", "category", "bundle_reason", F.try_element_at("specs", F.lit("priceCondition")).alias("condition"), offer.alias("offer_path"))
+
+
+_AUDITED = f"""given AS (SELECT p_partkey, title AS raw_name, title AS name, {_GIVEN} AS category, CASE p_partkey % 3 WHEN 0 THEN '空冷 > 155mm > x' WHEN 1 THEN '第 ' || CAST(p_partkey % 12 AS VARCHAR) || ' 代' END AS subcategory FROM {_T})"""
+
+
+@query(f"WITH {_AUDITED} " + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", count(*) AS count FROM given WHERE {c}" for n, c in audit.sql_checks().items()) + f""" UNION ALL
+SELECT 'non_bundles', count(*) FROM ({detect.rules_sql(_T, ['exempt'] + [r for _, r in detect.BUNDLE])}) x WHERE {_GIVEN} = 'package' AND (CASE WHEN NOT exempt THEN {detect.first_sql(detect.BUNDLE)} END) IS NULL""")
+def audit_titles(spark: SparkSession, folder: str) -> DataFrame:
+    given = _titles(spark, folder).withColumns({"category": F.expr(_GIVEN), "name": F.col("raw_name"), "subcategory": F.expr("CASE p_partkey % 3 WHEN 0 THEN '空冷 > 155mm > x' WHEN 1 THEN concat('第 ', CAST(p_partkey % 12 AS STRING), ' 代') END")})
+    return audit.count_listings(given, [*audit.sql_checks(), "non_bundles"])
+
+
 # Matching ------------------------------------------------------------------
 
 
@@ -461,9 +530,9 @@ def drop_source(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.drop_source(offers(spark, folder), "s1").select("id", "source")
 
 
-@query(f"WITH {_OFFERS} SELECT count(*) AS changed FROM o WHERE category NOT IN ('economy', 'small') OR price < 10")
+@query(f"WITH {_OFFERS} SELECT count(*) AS changed FROM o WHERE subcategory LIKE '% > %' AND subcategory NOT LIKE '%UDIMM%'")
 def rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    # Every second pass leaves a cleaned name as it is: only rows of categories that are not retained go.
+    # Every row changes: memory gets a path of its own, the rest another category or none.
     o = offers(spark, folder).withColumns({"category": F.when(F.col("category").isin("economy", "small"), "ram").otherwise("other"), "name": names.generic_clean(F.col("raw_name"))})
     return ingest.rebuild(o)[1]
 
@@ -474,6 +543,8 @@ def rebuild(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_GROUPS} SELECT 'price_spread' AS "check", count(*) FILTER (highest_price > 1.8 * lowest_price AND has_multiple_sources = 1) AS count, count(*) FILTER (highest_price > 1.8 * lowest_price AND has_multiple_sources = 1) = 0 AS passed FROM grp
 UNION ALL SELECT 'category_other', count(*) FILTER (category = 'other'), count(*) FILTER (category = 'other') = 0 FROM g
 UNION ALL SELECT 'category_removed', count(*), count(*) = 0 FROM g
+""" + "".join(f"""UNION ALL SELECT '{n}', count(*), count(*) = 0 FROM g WHERE {c}
+""" for n, c in audit.sql_checks().items()) + """UNION ALL SELECT 'non_bundles', count(*), count(*) = 0 FROM g WHERE category = 'package'
 UNION ALL SELECT 'package_without_subcategory', 0, true UNION ALL SELECT 'cable_without_subcategory', 0, true UNION ALL SELECT 'condition_outside_package', 0, true
 UNION ALL SELECT 'key_split', CAST(count(*) AS BIGINT), count(*) = 0 FROM (SELECT key FROM g WHERE length(name) >= 8 GROUP BY key HAVING count(DISTINCT gid) > 1)
 UNION ALL SELECT 'model_split', CAST(count(*) AS BIGINT), count(*) = 0 FROM (SELECT 1 FROM g WHERE false)""")
