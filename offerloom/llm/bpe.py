@@ -43,8 +43,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from tokenizers import Tokenizer
 
+from offerloom.llm import textbuf as tb
+
 #: Words whose ids a worker keeps; beyond, those of the generation before go.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 80_000
 #: Lists of at least so many places are merged as arrays.
 LONG_LIST = 40
 _models: dict[str, Model] = {}
@@ -75,7 +77,8 @@ class Model:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.library = Tokenizer.from_file(path)
+        # The file's normaliser and splitter alone: its model stays empty.
+        self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": {**{k: v for k, v in model.items() if k not in ("vocab", "merges")}, "unk_token": None, "vocab": {}, "merges": []}}))
         self.checked: set[str] = set()  # characters met so far, and those that the library's edition of Unicode knows otherwise
         self.strange: set[str] = set()
         self.known: dict[str | int, tuple[int, ...]] = {}
@@ -262,7 +265,7 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-def _pieces(texts: pa.Array, chars: int = 4 << 20):
+def _pieces(texts: pa.Array, chars: int = 1 << 20):
     """Runs of texts of about so many characters."""
     some, size = [], 0
     for t in texts:
@@ -283,6 +286,8 @@ def encode(text: Column, path: str) -> Column:
         found = [ids for some in _pieces(texts) for ids in model(path).encode(some)]
         ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
         flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+        del found
+        tb.released()
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
     return arrow_udf(run, "array<int>").asNondeterministic()(text)
@@ -293,7 +298,9 @@ def decode(ids: Column, path: str) -> Column:
 
     def run(column: pa.Array) -> pa.Array:
         m = model(path)
-        return pa.array([m.decode(np.array(x.as_py() or [], dtype="<u4")) for x in column], pa.string())
+        out = pa.array([m.decode(np.array(x.as_py() or [], dtype="<u4")) for x in column], pa.string())
+        tb.released()
+        return out
 
     return arrow_udf(run, "string").asNondeterministic()(ids)
 
@@ -309,6 +316,7 @@ def digests(text: Column, path: str) -> Column:
                 n.append(len(ids))
                 a.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 b.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+        tb.released()
         return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>").asNondeterministic()(text)

@@ -135,7 +135,7 @@ def shared(m: int) -> int:
     return max(1, m + 1 - Q * (budget(m) + 1))
 
 
-@lru_cache(maxsize=65_536)
+@lru_cache(maxsize=2048)
 def _masks(pattern: bytes) -> dict[int, int]:
     """For each byte of a pattern, the bits of its places."""
     out: dict[int, int] = {}
@@ -301,6 +301,7 @@ def matches(text: Column, index: Index) -> Column:
                     found[i + d][index.ids[it]] = (index.ids[it], edits, int(back[a]), int(back[b - 1]) + 1)
         rows = [[dict(zip(("item", "edits", "start", "stop"), x, strict=True)) for x in f.values()] for f in found]
         kind = pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
+        tb.released()
         return pa.array(rows, kind)
 
     return arrow_udf(run, _TYPE).asNondeterministic()(text)

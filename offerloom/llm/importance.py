@@ -99,6 +99,7 @@ def _count(buckets: int):
                     if mask.any():
                         into += np.bincount(bucket[:, mask].ravel(), minlength=2 * buckets)
             at = np.flatnonzero(total)
+            tb.released()
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (at, total[at], target[at], known[at])], names=["bucket", "raw", "target", "known"])
 
     return run
@@ -187,6 +188,7 @@ class Sampler:
                 r = np.concatenate(([0.0], np.cumsum(np.where(np.abs(a) < np.abs(b), a, b))))
                 n = one_at[-1]
                 out[i : i + len(one_at) - 1] = r[one_at[1:]] - r[one_at[:-1]] + r[n + two_at[1:]] - r[n + two_at[:-1]]
+            tb.released()
             return pa.array(np.round(out, 6))
 
         return arrow_udf(weigh, "double").asNondeterministic()(text)

@@ -206,6 +206,7 @@ def set_numbers(text: Column, width: int) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         sets = [(len(s), set_name(s), sketch(s)) if len(s) else (0, None, None) for s in ngram_sets(texts, width)]
+        tb.released()
         return pa.StructArray.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary()), pa.array([x[2] for x in sets], pa.binary())], names=["n", "set", "sketch"])
 
     return arrow_udf(run, "struct<n:bigint,set:binary,sketch:binary>").asNondeterministic()(text)
@@ -238,6 +239,8 @@ def _packed_keys(width: int, percent: int, ranges: int, salt: int):
                     first = np.flatnonzero(np.diff(who[lo:hi], prepend=-1))
                     count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
                     rows.append((r, name[who[lo:hi][first]].tobytes(), count.tobytes(), key[lo:hi].tobytes()))
+            del key, who, keys, owner
+            tb.released()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sets", "counts", "keys"])
 
     return run
@@ -441,6 +444,8 @@ def _links(width: int, percent: int):
                 if 100 * both >= percent * (len(p) + len(q) - both):
                     a.append(h)
                     b.append(name)
+        sets.clear()
+        tb.released()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run

@@ -11,6 +11,7 @@ do not depend on process, batch or machine.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,16 @@ _BASE = U64(0xD6E8FEB86659FD93)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 
 
+_libc = ctypes.CDLL(None)
+
+
+def released() -> None:
+    """Give memory that a batch no longer needs back to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, elementwise."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
