@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.llm import bpe, decontaminate, importance, ngram_join, quality_rules
-from offerloom.llm.lineage import shared_folder
+from offerloom.llm.lineage import free_name, shared_folder
 from offerloom.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,11 +36,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their ids, the number of ids, and the digest of the text decoded from them."""
-    path = vocabulary("word_bpe_49k.json")
-    with_ids = bpe.encoded(docs, path)
-    read_back = bpe.decoded(with_ids, path)
-    return read_back.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+    """All documents with ids, n_tokens and decoded_sha256 (of the text decoded from the ids); columns of these names are replaced."""
+    made = ("ids", "n_tokens", "decoded_sha256")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
+    own = free_name(docs, "trip")
+    read = docs.select(*rest, bpe.trips(F.col("text"), vocabulary("word_bpe_49k.json")).alias(own))
+    return read.select(*rest, f"{own}.ids", F.size(f"{own}.ids").cast("long").alias("n_tokens"), f"{own}.decoded_sha256")
 
 
 STAGES: list[tuple[str, Stage]] = [

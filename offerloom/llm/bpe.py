@@ -322,6 +322,22 @@ def digests(text: Column, path: str) -> Column:
     return arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>").asNondeterministic()(text)
 
 
+def trips(text: Column, path: str) -> Column:
+    """struct(ids, decoded_sha256): the ids of a text and the digest of what they decode to, in one pass."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        m, found, digest = model(path), [], []
+        for some in _pieces(texts):
+            for ids in m.encode(some):
+                found.append(ids)
+                digest.append(hashlib.sha256(m.decode(ids).encode()).hexdigest())
+        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(digest, pa.string())], names=["ids", "decoded_sha256"])
+
+    return arrow_udf(tb.tidy(run), "struct<ids:array<int>,decoded_sha256:string>").asNondeterministic()(text)
+
+
 def _with(docs: DataFrame, into: str, column: Column) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()], column.alias(into))
 

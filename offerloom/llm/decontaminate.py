@@ -301,10 +301,9 @@ def matches(text: Column, index: Index) -> Column:
                     found[i + d][index.ids[it]] = (index.ids[it], edits, int(back[a]), int(back[b - 1]) + 1)
         rows = [[dict(zip(("item", "edits", "start", "stop"), x, strict=True)) for x in f.values()] for f in found]
         kind = pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32()), ("start", pa.int64()), ("stop", pa.int64())]))
-        tb.released()
         return pa.array(rows, kind)
 
-    return arrow_udf(run, _TYPE).asNondeterministic()(text)
+    return arrow_udf(tb.tidy(run), _TYPE).asNondeterministic()(text)
 
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", chars: int = BLOCK_CHARS) -> Iterator[Index]:

@@ -73,9 +73,11 @@ from offerloom.llm.lineage import cut, free_name
 #: Lists of at most this many sets propose all their pairs at once.
 SHORT_LIST = 6
 #: Keys that one task of the exchange takes, about.
-KEYS_PER_RANGE = 1_500_000
+KEYS_PER_RANGE = 800_000
+#: Bytes of text whose keys are packed together.
+PACK_BYTES = 8 << 20
 #: Bytes of n-grams that one task of verification takes, about.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 6 << 20
 #: Sets of a list whose sketches one task compares; lists beyond are dealt anew with other salts, so often at most.
 SCANNED, RESALTED = 8192, 3
 #: Near sets of another component that a scan proposes for a set, round by round; at last all.
@@ -217,7 +219,7 @@ def _packed_keys(width: int, percent: int, ranges: int, salt: int):
         """A row for each key range that a batch fills: the sets, how many keys each has there, and the keys.
 
         Columns of a batch: text, and the number of the list that the text's keys belong to (0: all texts)."""
-        for batch in batches:
+        for batch in (p for b in batches for p in tb.parts(b, "text", PACK_BYTES)):
             names, keys, owner, done = [], [], [], set()
             for s, of in zip(ngram_sets(batch.column(0), width), batch.column(1).to_pylist(), strict=True):
                 if len(s) and (k := (set_name(s), of)) not in done:
@@ -312,7 +314,7 @@ class _Join:
         """(b, first, hubs): the sets that share a list with a smaller one, with those (a, long) and the smallest; at most as many as b has keys, times SHORT_LIST.  texts: text, of."""
         ranges = max(1, ceil(0.5 * total / KEYS_PER_RANGE))
         packed = texts.mapInArrow(_packed_keys(self.width, self.percent, ranges, salt), "part int, sets binary, counts binary, keys binary")
-        pairs = packed.groupBy("part").applyInArrow(_proposals, "a binary, b binary, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
+        pairs = packed.groupBy("part").applyInArrow(tb.tidy(_proposals), "a binary, b binary, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
         return cut(pairs.groupBy("b").agg(F.min("a").alias("first"), F.collect_list(F.struct("a", "long")).alias("hubs")))
 
     def close(self, pairs: DataFrame) -> DataFrame:
@@ -337,7 +339,7 @@ class _Join:
         texts = self.base.join(self._named(asked), "r")
         if self.repeated:
             texts = texts.dropDuplicates(["g", "a", "set"])
-        found = cut(texts.groupBy("g").applyInArrow(_links(self.width, self.percent), "a binary, b binary"))
+        found = cut(texts.groupBy("g").applyInArrow(tb.tidy(_links(self.width, self.percent)), "a binary, b binary"))
         if found.isEmpty():
             return
         known = [] if self.label is None else [self.label.select(F.col("node").alias("a"), F.col("label").alias("b"))]
@@ -387,7 +389,7 @@ class _Join:
             dealt = groups.withColumn("blocks", F.ceil(F.col("m") / SCANNED).cast("int")).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-            near = cut(dealt.select("kind", "g", "i", "j", "block", "b", "c", "label", "n", "sketch").groupBy("kind", "g", "i", "j").applyInArrow(_scan(self.percent, most), "a binary, b binary, n long, more boolean"))
+            near = cut(dealt.select("kind", "g", "i", "j", "block", "b", "c", "label", "n", "sketch").groupBy("kind", "g", "i", "j").applyInArrow(tb.tidy(_scan(self.percent, most)), "a binary, b binary, n long, more boolean"))
             before = self.label
             self.verify(near.where("not more").groupBy("a", "b").agg(F.max("n").alias("n")))
             if near.where("more").isEmpty():
@@ -444,8 +446,6 @@ def _links(width: int, percent: int):
                 if 100 * both >= percent * (len(p) + len(q) - both):
                     a.append(h)
                     b.append(name)
-        sets.clear()
-        tb.released()
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run

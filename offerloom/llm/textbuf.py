@@ -37,6 +37,24 @@ def released() -> None:
         _libc.malloc_trim(0)
 
 
+def tidy(f):
+    """f of one argument, after which memory goes back to the machine."""
+
+    def run(x):
+        out = f(x)
+        released()
+        return out
+
+    return run
+
+
+def parts(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about so many bytes of text."""
+    at = buffer_of(batch[text])[1]
+    for i, j in slices(at, limit):
+        yield batch.slice(i, j - i)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, elementwise."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
