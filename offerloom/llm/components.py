@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.lineage import cut
-
-#: Edges (of two names each) that one task takes.
-ONE_TASK = 200_000
+from offerloom.llm.lineage import ONE_TASK, cut
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

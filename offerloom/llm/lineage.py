@@ -32,3 +32,13 @@ def free_name(df: DataFrame, like: str) -> str:
     while name.lower() in taken:
         name = f"{name}_"
     return name
+
+
+#: Rows of names and numbers up to which a table lies in one partition, so that steps on it need no shuffle.
+ONE_TASK = 200_000
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df, cut; a table of at most ONE_TASK rows in one partition, a larger one as it is."""
+    df = cut(df)
+    return df.coalesce(1) if df.count() <= ONE_TASK else df

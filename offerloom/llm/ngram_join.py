@@ -68,7 +68,7 @@ from pyspark.sql.functions import arrow_udf
 
 from offerloom.llm import textbuf as tb
 from offerloom.llm.components import components
-from offerloom.llm.lineage import cut, free_name
+from offerloom.llm.lineage import cut, free_name, gathered
 
 #: Lists of at most this many sets propose all their pairs at once.
 SHORT_LIST = 6
@@ -315,7 +315,7 @@ class _Join:
         ranges = max(1, ceil(0.5 * total / KEYS_PER_RANGE))
         packed = texts.mapInArrow(_packed_keys(self.width, self.percent, ranges, salt), "part int, sets binary, counts binary, keys binary")
         pairs = packed.groupBy("part").applyInArrow(tb.tidy(_proposals), "a binary, b binary, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
-        return cut(pairs.groupBy("b").agg(F.min("a").alias("first"), F.collect_list(F.struct("a", "long")).alias("hubs")))
+        return gathered(pairs.groupBy("b").agg(F.min("a").alias("first"), F.collect_list(F.struct("a", "long")).alias("hubs")))
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches do not forbid a link."""
@@ -326,7 +326,7 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b, n) that link; n: elements of b.  Each a is a hub; its sets go to one task or, if large, to several."""
-        pairs = cut(pairs)
+        pairs = gathered(pairs)
         parts = pairs.groupBy("a").agg(F.ceil(F.sum("n") * 8 / GROUP_BYTES).cast("int").alias("parts"))
         dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
         rows = dealt.select("a", "part", F.col("b").alias("set")).union(dealt.select("a", "part", F.col("a").alias("set")).distinct())
@@ -343,7 +343,7 @@ class _Join:
         if found.isEmpty():
             return
         known = [] if self.label is None else [self.label.select(F.col("node").alias("a"), F.col("label").alias("b"))]
-        self.label = cut(components(reduce(DataFrame.union, known, found)))
+        self.label = gathered(components(reduce(DataFrame.union, known, found)))
 
     def labelled(self, rows: DataFrame, node: str, into: str) -> DataFrame:
         """rows with the component of a set; a set without links is its own."""
@@ -355,7 +355,7 @@ class _Join:
         """(a, long, b, lb): all proposed pairs; (a, la, long): the hubs whose sets do not all lie in the hub's component."""
         pairs = self.labelled(found, "b", "lb").select("b", "lb", F.explode("hubs").alias("h")).select("h.a", "h.long", "b", "lb")
         hubs = pairs.groupBy("a").agg(F.min("lb").alias("l"), F.max("lb").alias("h"), F.max("long").alias("long"))
-        return pairs, cut(self.labelled(hubs, "a", "la").where((F.col("l") != F.col("la")) | (F.col("h") != F.col("la"))).select("a", "la", "long"))
+        return pairs, gathered(self.labelled(hubs, "a", "la").where((F.col("l") != F.col("la")) | (F.col("h") != F.col("la"))).select("a", "la", "long"))
 
     def settle(self, found: DataFrame) -> None:
         """Verify proposed pairs: first each set with its smallest hub, then what would join components."""
@@ -371,7 +371,7 @@ class _Join:
         pairs, open_ = self.spread(found)
         hubs = open_.where("long").select("a", "la")
         split = pairs.where("long").join(hubs, "a").select("a", "b", F.col("lb").alias("label"))
-        split = cut(split.union(hubs.select("a", F.col("a").alias("b"), F.col("la").alias("label"))))
+        split = gathered(split.union(hubs.select("a", F.col("a").alias("b"), F.col("la").alias("label"))))
         own = split.groupBy("b").agg(F.min("a").alias("c"), F.first("label").alias("label"))
         by_hub = own.select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", F.col("b").alias("c"), "label")
         listed = split.join(own.select("b", "c"), "b")
