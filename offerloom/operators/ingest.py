@@ -6,14 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from offerloom.functions import detect, parts, storage
+from offerloom.functions import detect, gear, parts, storage
 from offerloom.functions import rules as R
 from offerloom.functions.names import choose_brand, clean_name, extract_brand, extract_cpu_model
 from offerloom.operators.graph import cut
 
+#: Bundle reasons of complete systems of parts.
+COMPLETE = ("prebuilt-os", "slash-build", "complete-spec", "ai-workstation")
 #: First level of the path of a part that is sold under a condition.
 OFFERED = "搭購價單品"
-PART_PATHS = {"cpu": parts.cpu_path, "motherboard": parts.motherboard_path, "gpu": parts.gpu_path, "ram": storage.ram_path, "ssd": storage.ssd_path, "hdd": storage.hdd_path, "psu": storage.psu_path}
+PART_PATHS = {"cpu": parts.cpu_path, "motherboard": parts.motherboard_path, "gpu": parts.gpu_path, "ram": storage.ram_path, "ssd": storage.ssd_path, "hdd": storage.hdd_path, "psu": storage.psu_path, **gear.PATHS}
 
 
 def free_name(df: DataFrame, like: str) -> str:
@@ -73,9 +75,9 @@ def categorize_listings(df: DataFrame, paths: bool = True) -> DataFrame:
     Complete systems and bundles are packages.  A category is found anew where
     it is not kept, is package, or where the title says otherwise.  A part
     with a price condition is a package too, with the label of its category
-    and the condition as its path.
+    and the condition as its path; other packages have that of package_path.
     """
-    t = detect.Titles("exempt", *[r for _, r in detect.BUNDLE + detect.CATEGORY + detect.DOUBT], into=free_name(df, "seen"))
+    t = detect.Titles("exempt", "laptop_like", *[r for _, r in detect.BUNDLE + detect.CATEGORY + detect.DOUBT], into=free_name(df, "seen"))
     read, c = t.see(df, F.col("raw_name")), F.col("category")
     doubtful = F.coalesce(~c.isin(*R.RETAINED) | (c == "package") | F.coalesce(*[F.when(c == k, t.holds(r)) for k, r in detect.DOUBT], F.lit(False)), F.lit(True))
     own, said = free_name(read, "found"), free_name(read, "condition")
@@ -84,7 +86,10 @@ def categorize_listings(df: DataFrame, paths: bool = True) -> DataFrame:
     label = F.create_map(*[F.lit(x) for k, (name, _) in R.CATEGORIES.items() for x in (k, name)])
     steps = {"category": F.when(F.col("bundle_reason").isNotNull() | offer, "package").otherwise(F.col(own))}
     if paths:
-        in_package = F.when(F.col("bundle_reason").isNull() & offer, F.concat_ws(" > ", F.lit(OFFERED), F.try_element_at(label, F.col(own)), F.col(said)))
+        in_package = F.when(offer, F.concat_ws(" > ", F.lit(OFFERED), F.try_element_at(label, F.col(own)), F.col(said)))
+        raw, complete = F.col("raw_name"), F.greatest(*[t.holds(f"bundle:{r}") for r in COMPLETE])
+        bundled = gear.package_path(raw, detect.neutral_plus(raw), t.holds("bundle:server-workstation"), t.holds("laptop_like"), complete)
+        in_package = F.when(F.col("bundle_reason").isNull() & offer, in_package).otherwise(bundled)
         steps["subcategory"] = F.when(steps["category"] == "package", in_package).otherwise(part_path(F.col(own), F.col("raw_name")))
     return with_price_condition(t.forget(read.withColumns(steps)).drop(own, said))
 

@@ -50,8 +50,8 @@ def test_categorize_and_process(spark):
     got = {r.id: (r.category, r.subcategory, r.bundle_reason, r.specs.get("priceCondition")) for r in ingest.categorize_listings(df).collect()}
     assert got[1] == ("package", "搭購價單品 > CPU 處理器 > 搭板價", None, "搭板價")
     assert got[2][:2] == ("cpu", "Intel > 第 14 代 > Core i5")
-    assert got[3][0] == got[6][0] == got[9][0] == "other" and got[4] == ("package", None, "bundle-keyword", None)
-    assert got[5][0] == "monitor" and got[8][0] == "cable"
+    assert got[3][0] == got[6][0] == got[9][0] == "other" and got[4] == ("package", "零件組合 > 周邊套裝", "bundle-keyword", None)
+    assert got[5][:2] == ("monitor", "27吋 > LG") and got[8][0] == "cable"
     assert sorted(r.id for r in ingest.process_batch(df).collect()) == [1, 2, 4, 5, 8]
 
 
