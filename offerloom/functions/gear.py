@@ -135,6 +135,10 @@ COMBOS = (
 OTHER_COMBO = "其他組合"
 
 
+def _brand(name: Column, known: Column | None) -> Column:
+    return extract_brand(name) if known is None else known
+
+
 def _tier(name: Column) -> Column:
     """Millimetres of a tower by what stands behind the word for height; small bare numbers are centimetres."""
     ways = (r"高\s*(\d+(?:\.\d+)?)\s*(cm|mm)?", r"(?:高度|Height)\s*[：:]?\s*(\d+(?:\.\d+)?)\s*(cm|mm)?")
@@ -152,10 +156,10 @@ def cooler_path(name: Column) -> Column:
     return let(choose(name, COOLER_TYPES, ONE_TOWER), shown)
 
 
-def case_path(name: Column) -> Column:
+def case_path(name: Column, brand: Column | None = None) -> Column:
     """Largest board > brand > series of the brand."""
-    series = lambda b: F.coalesce(*[F.when(b == brand, first_label(name, table)) for brand, table in CASE_SERIES.items()])
-    return let(extract_brand(name), lambda b: path(choose(name, CASE_FORMS, NO_FORM), b, series(b)))
+    series = lambda b: F.coalesce(*[F.when(b == maker, first_label(name, table)) for maker, table in CASE_SERIES.items()])
+    return let(_brand(name, brand), lambda b: path(choose(name, CASE_FORMS, NO_FORM), b, series(b)))
 
 
 def monitor_inch(name: Column) -> Column:
@@ -175,7 +179,7 @@ def monitor_inch(name: Column) -> Column:
     return F.coalesce(explicit, best)
 
 
-def monitor_path(name: Column) -> Column:
+def monitor_path(name: Column, brand: Column | None = None) -> Column:
     """Size [> inches] > brand."""
 
     def size(n: Column) -> Column:
@@ -184,38 +188,38 @@ def monitor_path(name: Column) -> Column:
         under = lambda label: F.concat(F.lit(f"{label} > "), inches)
         return F.coalesce(wide, F.when(n.isin(*MAINSTREAM_INCHES), inches).when(n <= 21, under("可攜 / 小尺寸")).when(n >= 43, under("大型顯示器")).when(n.isNotNull(), under("其他尺寸")), F.lit("其他尺寸 > 未標吋數"))
 
-    return path_skip(let(monitor_inch(name), size), extract_brand(name))
+    return path_skip(let(monitor_inch(name), size), _brand(name, brand))
 
 
 def _link(name: Column) -> Column:
     return F.when(has(name, WIRELESS), "無線").otherwise("有線")
 
 
-def keyboard_path(name: Column) -> Column:
+def keyboard_path(name: Column, brand: Column | None = None) -> Column:
     """Mechanism > [switch] > wired or wireless > brand."""
-    mechanical = path(F.lit("機械式鍵盤"), F.coalesce(keyboard_switch(name), F.lit("未標軸")), _link(name), extract_brand(name))
-    return F.when(holds(name, MECHANICAL), mechanical).otherwise(path(F.lit("薄膜鍵盤"), _link(name), extract_brand(name)))
+    kind = F.when(holds(name, MECHANICAL), F.concat(F.lit("機械式鍵盤 > "), F.coalesce(keyboard_switch(name), F.lit("未標軸")))).otherwise("薄膜鍵盤")
+    return path(kind, _link(name), _brand(name, brand))
 
 
-def mouse_path(name: Column) -> Column:
+def mouse_path(name: Column, brand: Column | None = None) -> Column:
     """Use > wired or wireless > brand."""
-    return path(choose(name, MICE, "一般滑鼠"), _link(name), extract_brand(name))
+    return path(choose(name, MICE, "一般滑鼠"), _link(name), _brand(name, brand))
 
 
-def headset_path(name: Column) -> Column:
-    return path(choose(name, HEADSETS, "有線耳機"), extract_brand(name))
+def headset_path(name: Column, brand: Column | None = None) -> Column:
+    return path(choose(name, HEADSETS, "有線耳機"), _brand(name, brand))
 
 
-def speaker_path(name: Column) -> Column:
-    return path(choose(name, SPEAKERS, "其他喇叭"), extract_brand(name))
+def speaker_path(name: Column, brand: Column | None = None) -> Column:
+    return path(choose(name, SPEAKERS, "其他喇叭"), _brand(name, brand))
 
 
 def fan_path(name: Column) -> Column:
     return choose(name, FANS, "其他尺寸風扇")
 
 
-def network_path(name: Column) -> Column:
-    return path(choose(name, NETWORK, "其他網通設備"), extract_brand(name))
+def network_path(name: Column, brand: Column | None = None) -> Column:
+    return path(choose(name, NETWORK, "其他網通設備"), _brand(name, brand))
 
 
 def cable_path(name: Column) -> Column:
@@ -245,14 +249,17 @@ def combo_type(name: Column, neutral: Column) -> Column:
 
 def package_path(name: Column, neutral: Column, server: Column, laptop_like: Column, complete: Column) -> Column:
     """Server, handheld, laptop, small and complete systems with their brand or vendor, else the kind of bundle."""
-    return (
-        F.when(server, path(F.lit("伺服器 / 工作站"), system_brand(name))).when(has(name, HANDHELD), path(F.lit("掌機"), system_brand(name)))
-        .when(laptop_like & has(name, D.STORAGE), path(F.lit("筆電"), system_brand(name))).when(has(name, SMALL_PC), path(F.lit("準系統 / 迷你 PC"), package_vendor(name)))
-        .when(complete | has(name, FULL_PC), path(F.lit("整機電腦"), package_vendor(name))).otherwise(path(F.lit("零件組合"), combo_type(name, neutral)))
+    kind = (
+        F.when(server, "伺服器 / 工作站").when(has(name, HANDHELD), "掌機").when(laptop_like & has(name, D.STORAGE), "筆電").when(has(name, SMALL_PC), "準系統 / 迷你 PC").when(complete | has(name, FULL_PC), "整機電腦")
+        .otherwise("零件組合")
     )
+    vendor = lambda k: F.when(k.isin("準系統 / 迷你 PC", "整機電腦"), choose(name, VENDORS))
+    return let(kind, lambda k: path(k, F.when(k == "零件組合", combo_type(name, neutral)).otherwise(F.coalesce(vendor(k), system_brand(name)))))
 
 
 PATHS = {
     "cooler": cooler_path, "case": case_path, "monitor": monitor_path, "keyboard": keyboard_path, "mouse": mouse_path, "headset": headset_path, "speaker": speaker_path, "fan": fan_path,
     "network": network_path, "cable": cable_path, "os": os_path,
-}
+}
+#: Categories whose path names the brand.
+BRANDED = ("case", "monitor", "keyboard", "mouse", "headset", "speaker", "network")

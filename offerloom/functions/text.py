@@ -50,6 +50,15 @@ def extract(c: Column, text: str, group: int = 0, ignore_case: bool = True) -> C
     return F.when(c.rlike(p), F.regexp_extract(c, p, group))
 
 
+def table(rows: Sequence[dict[str, str | bool]]) -> Column:
+    """An array of structs of literals, made in one call however long it is."""
+
+    def literal(v: str | bool) -> str:
+        return str(v).lower() if isinstance(v, bool) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in row.items()) + ")" for row in rows) + ")")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.transform(F.array(value), body)[0]

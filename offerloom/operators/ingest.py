@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from offerloom.functions import detect, gear, parts, storage
 from offerloom.functions import rules as R
+from offerloom.functions.facets import finalize_specs
 from offerloom.functions.names import choose_brand, clean_name, extract_brand, extract_cpu_model
 from offerloom.operators.graph import cut
 
@@ -64,13 +65,14 @@ def with_price_condition(df: DataFrame) -> DataFrame:
     return df.withColumn("specs", F.when(found.isNull(), F.col("specs")).when(F.col("specs").isNull(), named).otherwise(F.map_concat(kept, named)))
 
 
-def part_path(category: Column, raw: Column) -> Column:
-    """The path of a part in its category, null for categories without one."""
-    return F.coalesce(*[F.when(category == c, path(raw)) for c, path in PART_PATHS.items()])
+def part_path(category: Column, raw: Column, brand: Column | None = None) -> Column:
+    """The path of a part in its category, null for categories without one; a brand found before saves looking again."""
+    found = lambda c, path: path(raw, brand) if c in gear.BRANDED else path(raw)
+    return F.coalesce(*[F.when(category == c, found(c, path)) for c, path in PART_PATHS.items()])
 
 
 def categorize_listings(df: DataFrame, paths: bool = True) -> DataFrame:
-    """df with category, subcategory and bundle_reason from raw_name, and the price condition in specs.
+    """df with category, subcategory and bundle_reason from raw_name, and facets and the price condition in specs.
 
     Complete systems and bundles are packages.  A category is found anew where
     it is not kept, is package, or where the title says otherwise.  A part
@@ -80,8 +82,8 @@ def categorize_listings(df: DataFrame, paths: bool = True) -> DataFrame:
     t = detect.Titles("exempt", "laptop_like", *[r for _, r in detect.BUNDLE + detect.CATEGORY + detect.DOUBT], into=free_name(df, "seen"))
     read, c = t.see(df, F.col("raw_name")), F.col("category")
     doubtful = F.coalesce(~c.isin(*R.RETAINED) | (c == "package") | F.coalesce(*[F.when(c == k, t.holds(r)) for k, r in detect.DOUBT], F.lit(False)), F.lit(True))
-    own, said = free_name(read, "found"), free_name(read, "condition")
-    read = read.withColumns({"bundle_reason": t.bundle_reason(), own: F.when(doubtful, t.category()).otherwise(c), said: price_condition(F.col("raw_name"))})
+    own, said, maker = free_name(read, "found"), free_name(read, "condition"), free_name(read, "maker")
+    read = read.withColumns({maker: extract_brand(F.col("raw_name")), "bundle_reason": t.bundle_reason(), own: F.when(doubtful, t.category()).otherwise(c), said: price_condition(F.col("raw_name"))})
     offer = F.col(said).isNotNull() & (F.col(own) != "other")
     label = F.create_map(*[F.lit(x) for k, (name, _) in R.CATEGORIES.items() for x in (k, name)])
     steps = {"category": F.when(F.col("bundle_reason").isNotNull() | offer, "package").otherwise(F.col(own))}
@@ -90,8 +92,8 @@ def categorize_listings(df: DataFrame, paths: bool = True) -> DataFrame:
         raw, complete = F.col("raw_name"), F.greatest(*[t.holds(f"bundle:{r}") for r in COMPLETE])
         bundled = gear.package_path(raw, detect.neutral_plus(raw), t.holds("bundle:server-workstation"), t.holds("laptop_like"), complete)
         in_package = F.when(F.col("bundle_reason").isNull() & offer, in_package).otherwise(bundled)
-        steps["subcategory"] = F.when(steps["category"] == "package", in_package).otherwise(part_path(F.col(own), F.col("raw_name")))
-    return with_price_condition(t.forget(read.withColumns(steps)).drop(own, said))
+        steps["subcategory"] = F.when(steps["category"] == "package", in_package).otherwise(part_path(F.col(own), raw, F.col(maker)))
+    return with_price_condition(finalize_specs(t.forget(read.withColumns(steps)).drop(own, said, maker)))
 
 
 def process_batch(df: DataFrame) -> DataFrame:
