@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerloom.functions import rules as R
+from offerloom.functions.order import subcategory_sort_key
 from offerloom.functions.text import SEPARATOR
 
 #: (column, aggregate) of a group that is the largest of its members'.
@@ -46,6 +48,13 @@ def subcategory_counts(groups: DataFrame, category: str) -> DataFrame:
     return groups.where((F.col("category") == category) & (F.col("subcategory") != "")).groupBy("subcategory").agg(F.count("*").alias("n"))
 
 
+def ordered_subcategories(groups: DataFrame) -> DataFrame:
+    """Groups at each path of each category, and the place of the path in the order in which its category shows them."""
+    counts = groups.where(F.col("subcategory") != "").groupBy("category", "subcategory").agg(F.count("*").alias("n"))
+    shown = Window.partitionBy("category").orderBy(subcategory_sort_key(F.col("category"), F.col("subcategory")))
+    return counts.withColumn("position", F.row_number().over(shown))
+
+
 def subcategory_tree(groups: DataFrame, category: str | None = None) -> DataFrame:
     """node, depth, own and total: the groups at every prefix of a path, and at it or below."""
     one = groups.where(F.col("subcategory") != "")

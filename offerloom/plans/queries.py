@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import detect, detect_rules, names, parts, storage
+from offerloom.functions import detect, detect_rules, gear, names, parts, storage
 from offerloom.functions import rules as R
+from offerloom.functions.pick import choose_sql, holds_sql, tree_sql
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
 from offerloom.operators.graph import cut
-from offerloom.plans.titles import TITLES_SQL
+from offerloom.plans.titles import GEAR_SQL, NODES, NODES_SQL, TITLES_SQL
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
 
@@ -280,6 +281,41 @@ def categorize_listings(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("p_partkey", "category", "bundle_reason", F.try_element_at("specs", F.lit("priceCondition")).alias("condition"), offer.alias("offer_path"))
 
 
+_GEAR_BRAND = "CASE " + " ".join("WHEN " + (f"regexp_matches(upper(title), '(^|[^A-Z0-9]){n}([^A-Z0-9]|$)')" if names.is_short(n) else f"contains(upper(title), '{n}')") + f" THEN '{b}'" for n, b in names.brand_needles()) + " END"
+_SERIES_SQL = "CASE brand " + " ".join(f"WHEN '{b}' THEN {choose_sql('title', tuple((label, p) for p, label in series))}" for b, series in gear.CASE_SERIES.items()) + " END"
+_LINK_SQL = f"CASE WHEN {holds_sql('title', (gear.WIRELESS,))} THEN '無線' ELSE '有線' END"
+_HIGH = ("(?i)高\\s*(\\d+(?:\\.\\d+)?)\\s*(cm|mm)?", "(?i)(?:高度|Height)\\s*[：:]?\\s*(\\d+(?:\\.\\d+)?)\\s*(cm|mm)?")
+_MM = "CASE " + " ".join(f"WHEN regexp_matches(title, '{p}') THEN CAST(regexp_extract(title, '{p}', 1) AS DOUBLE) * CASE WHEN lower(regexp_extract(title, '{p}', 2)) = 'cm' OR (regexp_extract(title, '{p}', 2) = '' AND CAST(regexp_extract(title, '{p}', 1) AS DOUBLE) < 30) THEN 10 ELSE 1 END" for p in _HIGH) + " END"
+
+
+@query(f"""WITH t AS ({GEAR_SQL}), b AS (SELECT *, {_GEAR_BRAND} AS brand, {choose_sql('title', gear.COOLER_TYPES, gear.ONE_TOWER)} AS kind, {choose_sql('title', gear.LIGHTS, gear.NO_LIGHT)} AS light, {_MM} AS mm, {_LINK_SQL} AS link FROM t)
+SELECT p_partkey, CASE WHEN kind LIKE '{gear.PASTE}%' THEN kind WHEN kind LIKE '一體式%' THEN kind || ' > ' || coalesce(nullif(regexp_extract(title, '(?:^|\\D)(120|240|280|360|420)(?:\\D|$)', 1), '') || 'mm', '{gear.NO_SIZE}') || ' > ' || light
+  ELSE kind || ' > ' || CASE WHEN mm IS NULL THEN '{gear.NO_SIZE}' {" ".join(f"WHEN mm <= {m} THEN '{x}'" for m, x in gear.HEIGHT_TIERS)} ELSE '161mm 以上' END || ' > ' || light END AS cooler,
+  concat_ws(' > ', {choose_sql('title', gear.CASE_FORMS, gear.NO_FORM)}, brand, {_SERIES_SQL}) AS "case",
+  concat_ws(' > ', CASE WHEN {holds_sql('title', gear.MECHANICAL)} THEN '機械式鍵盤 > ' || coalesce(nullif(regexp_extract(title, '{R.KEYBOARD_SWITCHES}'), ''), '未標軸') ELSE '薄膜鍵盤' END, link, brand) AS keyboard,
+  concat_ws(' > ', {choose_sql('title', gear.MICE, '一般滑鼠')}, link, brand) AS mouse, concat_ws(' > ', {choose_sql('title', gear.HEADSETS, '有線耳機')}, brand) AS headset, concat_ws(' > ', {choose_sql('title', gear.SPEAKERS, '其他喇叭')}, brand) AS speaker,
+  {choose_sql('title', gear.FANS, '其他尺寸風扇')} AS fan, concat_ws(' > ', {choose_sql('title', gear.NETWORK, '其他網通設備')}, brand) AS network, {tree_sql('title', gear.CABLES, gear.OTHER_CABLE)} AS cable, {choose_sql('title', gear.SOFTWARE, '應用軟體 > 其他軟體')} AS os FROM b""")
+def gear_paths(spark: SparkSession, folder: str) -> DataFrame:
+    t = tables.spread(tables.view(spark, folder, GEAR_SQL, "part"), "p_partkey").withColumn("maker", names.extract_brand(F.col("title")))
+    found = {c: path(F.col("title"), F.col("maker")) if c in gear.BRANDED else path(F.col("title")) for c, path in gear.PATHS.items() if c != "monitor"}
+    return t.select("p_partkey", *[p.alias(c) for c, p in found.items()])
+
+
+@query(f"WITH t AS (SELECT p_partkey, t_raw AS title, t_cleaned AS neutral FROM ({detect.rules_sql(f'({GEAR_SQL}) t', ['exempt'])}) x) SELECT p_partkey, {choose_sql('title', gear.COMBOS, gear.OTHER_COMBO, 'neutral')} AS combo, {choose_sql('title', gear.VENDORS)} AS vendor FROM t")
+def combo_types(spark: SparkSession, folder: str) -> DataFrame:
+    t = tables.view(spark, folder, GEAR_SQL, "part").withColumn("neutral", detect.neutral_plus(F.col("title")))
+    return t.select("p_partkey", gear.combo_type(F.col("title"), F.col("neutral")).alias("combo"), gear.choose(F.col("title"), gear.VENDORS).alias("vendor"))
+
+
+_SHOWN = ", ".join(f"({k}, '{c}', '{n}')" for k, (c, n) in enumerate(NODES))
+
+
+@query(f"""WITH o(k, category, subcategory) AS (VALUES {_SHOWN}), c AS (SELECT category, subcategory, count(*) AS n FROM ({NODES_SQL}) v GROUP BY category, subcategory)
+SELECT category, subcategory, n, CAST(row_number() OVER (PARTITION BY category ORDER BY k) AS INT) AS position FROM c JOIN o USING (category, subcategory)""")
+def ordered_subcategories(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.ordered_subcategories(tables.view(spark, folder, NODES_SQL, "part"))
+
+
 _AUDITED = f"""given AS (SELECT p_partkey, title AS raw_name, title AS name, {_GIVEN} AS category, CASE p_partkey % 3 WHEN 0 THEN '空冷 > 155mm > x' WHEN 1 THEN '第 ' || CAST(p_partkey % 12 AS VARCHAR) || ' 代' END AS subcategory FROM {_T})"""
 
 
