@@ -101,6 +101,11 @@ def page_groups(groups: DataFrame, sort: str = "default", page: int = 1, limit:
     return _page(groups, [*orders.get(sort, [F.desc("has_multiple_sources"), F.desc("updated_at")]), F.asc("id")], page, limit)
 
 
+def total(df: DataFrame) -> DataFrame:
+    """One row with the number of all rows of which a page shows some."""
+    return df.agg(F.count("*").alias("total"))
+
+
 def groups_with_members(groups: DataFrame, listings: DataFrame) -> DataFrame:
     """Each group with its members, cheapest first; groups without members are left out."""
     member = F.struct("price", "id", "source", "name")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.functions import detect, detect_rules, gear, names, parts, storage
+from offerloom.functions import detect, detect_rules, facets, gear, names, parts, storage
 from offerloom.functions import rules as R
 from offerloom.functions.pick import choose_sql, holds_sql, tree_sql
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
@@ -277,7 +277,7 @@ def _categorized(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""WITH {_CATEGORIZED} SELECT p_partkey, category, bundle_reason, condition, CASE WHEN bundle_reason IS NULL AND condition IS NOT NULL AND own <> 'other' THEN '搭購價單品 > ' || {"CASE own " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in R.CATEGORIES.items()) + " END"} || ' > ' || condition END AS offer_path FROM c""")
 def categorize_listings(spark: SparkSession, folder: str) -> DataFrame:
     found = _categorized(spark, folder)
-    offer = F.when((F.col("category") == "package") & F.col("bundle_reason").isNull(), F.col("subcategory"))
+    offer = F.when((F.col("category") == "package") & F.col("subcategory").startswith(ingest.OFFERED), F.col("subcategory"))
     return found.select("p_partkey", "category", "bundle_reason", F.try_element_at("specs", F.lit("priceCondition")).alias("condition"), offer.alias("offer_path"))
 
 
@@ -307,6 +307,17 @@ def combo_types(spark: SparkSession, folder: str) -> DataFrame:
     return t.select("p_partkey", gear.combo_type(F.col("title"), F.col("neutral")).alias("combo"), gear.choose(F.col("title"), gear.VENDORS).alias("vendor"))
 
 
+_RATE_SQL = "CAST(coalesce(" + ", ".join(f"nullif(regexp_extract(title, '(?i){p}', 1), '')" for p in facets.RATES) + ") AS INT)"
+
+
+@query(f"""WITH t AS ({TITLES_SQL}), f AS (SELECT *, {choose_sql('title', facets.BOARD_FORMS, facets.UNSTATED)} AS form, {_RATE_SQL} AS rate FROM t)
+SELECT p_partkey, {choose_sql('title', facets.PANELS, facets.UNSTATED)} AS panel, CASE WHEN rate BETWEEN 30 AND 100 THEN '100Hz 以下' WHEN rate BETWEEN 30 AND 165 THEN '120–165Hz' WHEN rate BETWEEN 30 AND 240 THEN '170–240Hz' WHEN rate BETWEEN 30 AND 1000 THEN '240Hz 以上' ELSE '{facets.UNSTATED}' END AS "refreshTier",
+  form AS "mbForm", coalesce({choose_sql('title', facets.BOARD_SLOTS)}, CASE WHEN form = 'Mini-ITX' THEN '2 槽' ELSE '{facets.UNSTATED}' END) AS "mbDimm", {choose_sql('title', facets.BOARD_WIFI, facets.UNSTATED)} AS "mbWifi", {choose_sql('title', facets.BOARD_LAN, facets.UNSTATED)} AS "mbLan" FROM f""")
+def title_facets(spark: SparkSession, folder: str) -> DataFrame:
+    t = _titles(spark, folder).select("p_partkey", facets.monitor_facets(F.col("raw_name")).alias("m"), facets.motherboard_facets(F.col("raw_name")).alias("b"))
+    return t.select("p_partkey", "m.panel", "m.refreshTier", "b.mbForm", "b.mbDimm", "b.mbWifi", "b.mbLan")
+
+
 _SHOWN = ", ".join(f"({k}, '{c}', '{n}')" for k, (c, n) in enumerate(NODES))
 
 
