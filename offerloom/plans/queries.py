@@ -7,8 +7,8 @@ themselves; the SQL says the same independently, over the same tables.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -664,7 +664,7 @@ def _drained(df: DataFrame, mode: str, name: str) -> DataFrame:
     spark = df.sparkSession
     cut(spark.range(1))
     top = spark.sparkContext.getCheckpointDir()
-    out = tempfile.mktemp(prefix=f"{name}-", dir="")
+    out = f"{name}-{uuid4().hex}"
     writer = df.writeStream.option("checkpointLocation", f"{top}/{out}/state").trigger(availableNow=True)
     if mode == "append":
         writer.outputMode("append").format("parquet").option("path", f"{top}/{out}/rows").start().awaitTermination()
