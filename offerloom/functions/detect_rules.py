@@ -52,7 +52,8 @@ RULES: dict[str, list] = {
     ],
     "not_motherboard": [
         r"延長線|【PCI-?E[^】]*】|PCI-?E.{0,16}(?:USB\s*\d+G|TYPE-?C)|\bGALILEO\d*\b|\bEDISON\b.{0,20}\bARDUINO\b", "@looks_case",
-        r"轉接|擴充|PCI-E to|E-key|M\.2 to|托盤|支架|相容|僅支援|燈效|套件|組合|大全配|螺絲|天線|擋板",
+        # "PCI-E to", "E-key" and "M.2 to" are no words of this list: titles are searched in upper case, where these never occur.
+        r"轉接|擴充|托盤|支架|相容|僅支援|燈效|套件|組合|大全配|螺絲|天線|擋板",
     ],
     "not_gpu": [
         "@laptop_like", r"ALLY|CLAW|DECK|RYZEN\s*Z[12]|播放器|電視盒|SHIELD\s*TV", (r"商用工作站|商用主機|準系統|迷你主機|套裝主機|套裝電腦|桌上型主機|MINI\s*PC", "!繪圖卡|顯示卡"), "@looks_fan", "@looks_psu",

@@ -61,6 +61,7 @@ COMPARED_COLOURS = (
     ("藍色|BLUE", "blue"), ("紅色|RED", "red"), ("綠色|GREEN", "green"), ("黃色|YELLOW", "yellow"), ("紫色|PURPLE", "purple"),
     ("灰色|GRAY|GREY", "gray"), ("銀色|SILVER", "silver"),
 )
+# Fixed value: switches of keyboards, longer names first.
 KEYBOARD_SWITCHES = "靜音紅軸|靜音茶軸|矮紅軸|矮茶軸|紅軸|茶軸|青軸|銀軸|黑軸|白軸|黃軸|綠軸|紫軸"
 
 # Words that a cleaned name loses.  (pattern, ignore case), in order; each match becomes a space.
@@ -72,6 +73,7 @@ NAME_NOISE = (
     (r"任搭\s*\d*|搭到\s*\d+|搭\s*\d+\s*元?省|搭機價|限組裝|組裝價", False),
     (r"熱賣|限量|限時|促銷|特價|下殺|爆殺|破盤|清倉|現省[\d,]*|省下?[\d,]+元?|免運|預購|現貨|缺貨|到貨|超值|優惠|福利品|拆封品?|展示機?|客訂|洽門市|洽小編|代理公司貨|公司貨|代理盒裝|盒裝|彩盒|平輸|水貨|終身保固|終身|全球保固|原廠保固|保固|代理商?[\d一二三四五六七八九十]+年|[\d一二三四五六七八九十]+年保固?|註冊?[\d一二三四五六七八九十]+年|吊卡式?", False),
 )
+# Fixed value: where the technical part of a name begins.
 SPEC_MARKER = r"\d+\s*核|\d+(?:\.\d+)?\s*GHz|\bTurbo\b|讀\s*[:取]?\s*\d|寫\s*[:入]?\s*\d|std\s*:|[單雙三四五六]?\s*風扇|導管|液晶|\d+(?:\.\d+)?\s*cm|[長高厚寬]\s*[:：]?\s*\d|\/"
 
 # Product lines that keep memory and disk keys apart, specific names first.
@@ -88,6 +90,7 @@ HDD_SERIES = (
     (r"金標|WD\s*GOLD", "GOLD"), (r"黑標|WD\s*BLACK", "BLACK"), (r"藍標|WD\s*BLUE", "BLUE"), (r"P300", "P300"), (r"X300", "X300"), (r"N300", "N300"),
     (r"S300", "S300"), (r"L200", "L200"),
 )
+# Fixed value: part numbers of three disk makers.
 HDD_PART_NUMBER = r"\b(ST\d{4,5}[A-Z]{2}\d{3}[A-Z0-9]{0,3}|WD\d{2,4}[A-Z]{4,5}|HDW[A-Z]{1,2}\d{2,4}[A-Z]{2,6})\b"
 
 # Processor models, in the order in which they are tried: (pattern, prefix of the model).

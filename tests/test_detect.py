@@ -13,7 +13,7 @@ CATEGORIES = {
     "海韻 FOCUS 850W 80+金牌 全模組": "psu", "FSP UD750GM 金牌 全模組": "psu", "那嘶狼 8TB 7200轉": "hdd", "東芝 外接硬碟 2TB": "hdd", "Razer Barracuda 耳機": "headset", "T700 1TB Gen5 PCIe 讀14500 TLC": "ssd",
     "M.2 SSD 外接盒 USB 10G": "other", "Noctua 120 PWM 1500 RPM": "fan", "機殼 顯卡長 400mm CPU高 165mm": "case", "掌機 收納包 TRAVEL CASE": "other", "塔散 雙塔 CPU散熱器": "cooler", "LG 27吋 螢幕 IPS 180Hz": "monitor",
     "螢幕掛燈 SCREENBAR": "other", "SMART M7 智慧 32型 含喇叭": "monitor", "HDMI 2.1 公-公 2米": "cable", "CAT.6A 扁線 3米": "cable", "TP-Link 路由器 Wi-Fi 7": "network", "印表機 無線": "other", "Windows 11 Home 隨機版 含DVD": "os",
-    "機械鍵盤 青軸": "keyboard", "升降桌 滑鼠墊": "other", "Intel Core i5-14400 處理器": "cpu", "CPU 防彎扣具": "other", "DDR5 6000 16G*2": "ram", "超值組 滑鼠": "package", "": "other", None: "other",
+    "機械鍵盤 青軸": "keyboard", "升降桌 滑鼠墊": "other", "ASRock B760M 主機板 M.2 E-Key WiFi": "motherboard", "華碩 Z890 主機板 PCI-E to M.2 插槽": "motherboard", "技嘉 B760 主機板 轉接板": "other", "Intel Core i5-14400 處理器": "cpu", "CPU 防彎扣具": "other", "DDR5 6000 16G*2": "ram", "超值組 滑鼠": "package", "": "other", None: "other",
 }
 REASONS = {
     "筆電 15.6吋 512G SSD": "laptop", "筆電 散熱墊": None, "ROG ALLY 掌機 512G": "handheld", "DeskMini B760 準系統": "barebone", "DeskMini 專用 WiFi 模組": None, "捷元 品牌電腦": "retail-system", "MINI PCIE 無線網卡": None,
