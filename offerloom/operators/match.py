@@ -6,7 +6,6 @@ specs map<string,string>, ...); only the columns that a function names are read.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,14 +14,13 @@ from offerloom.functions import rules as R
 from offerloom.functions.names import compared_colour, keyboard_switch
 from offerloom.functions.parts import gpu_sku_key
 from offerloom.functions.text import extract, first_label, has, let, replace
-from offerloom.operators.graph import components, cut
+from offerloom.operators.graph import ONE_TASK, cut
 
 THRESHOLD, MAX_RATIO = 0.7, 1.6
 #: Categories in which black is what an unnamed colour means.
 IMPLICIT_BLACK = ("keyboard", "mouse", "cooler", "fan", "headset", "speaker", "case")
-#: Listings that one greedy task takes, about; a component is never split.
-MEMBERS_PER_TASK = 4000
-_FIELDS = "id string, group_key string"
+#: Members that a seed takes before its group is written and looked at again; rounds of groups before these are written as one table.
+PICKS, KEPT_ROUNDS = 3, 24
 
 
 def brand_spellings() -> dict[str, list[str]]:
@@ -131,7 +129,8 @@ def candidate_pairs(df: DataFrame, threshold: float = THRESHOLD, max_ratio: floa
     first = token.join(often, ["category", "token"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
     block = first.select("category", "token", "id", "n").join(base.select("id", "source", "price"), "id")
     left, right = (block.select("category", "token", *[F.col(c).alias(c + s) for c in ("id", "n", "source", "price")]) for s in ("_a", "_b"))
-    near = (F.greatest("price_a", "price_b") <= F.least("price_a", "price_b") * max_ratio) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
+    low, high = F.least("price_a", "price_b"), F.greatest("price_a", "price_b")
+    near = ~((low > 0) & (high > low * max_ratio)) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
     pairs = left.join(right, ["category", "token"]).where((F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")) & near).select("id_a", "id_b").distinct()
     side = lambda s: base.select(*[F.col(c).alias(c + s) for c in ("id", "t", "colour", "switch")])
     full = pairs.join(side("_a"), "id_a").join(side("_b"), "id_b").withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b")))
@@ -139,49 +138,70 @@ def candidate_pairs(df: DataFrame, threshold: float = THRESHOLD, max_ratio: floa
     return full.where((F.col("similarity") >= threshold) & ~conflict).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
 
 
-def _greedy(max_ratio: float):
-    def run(members: pd.DataFrame) -> pd.DataFrame:
-        """Groups of whole components: each seed takes later neighbours, one a source, while prices stay near."""
-        rows = members.sort_values(["keyless", "id"], kind="stable").to_dict("records")
-        place = {row["id"]: k for k, row in enumerate(rows)}
-        taken, out = set(), []
-        for k, seed in enumerate(rows):
-            if seed["id"] in taken:
-                continue
-            group, sources, low, high = [seed["id"]], {seed["source"]}, seed["price"], seed["price"]
-            for at in sorted(place[i] for i in seed["neighbours"] if i in place and place[i] > k):
-                other = rows[at]
-                if other["id"] in taken or other["source"] in sources:
-                    continue
-                if max(high, other["price"]) > max_ratio * min(low, other["price"]):
-                    continue
-                group.append(other["id"])
-                sources.add(other["source"])
-                low, high = min(low, other["price"]), max(high, other["price"])
-            if len(group) > 1:
-                taken.update(group)
-                out += [(i, "-".join(group)) for i in group]
-        return pd.DataFrame(out, columns=["id", "group_key"])
-
-    return run
+def _settled(own: DataFrame, others: int, max_ratio: float) -> DataFrame:
+    """The groups of seeds (a) that nobody earlier can take anything from: a, source and price of each member, in order.
+
+    own holds the seeds' edges.  A seed takes its first neighbour of another
+    source whose price stays near, then the next; a neighbour turned down once
+    is turned down for good, as prices and sources of a group only add up.
+    """
+    state = own.groupBy("a").agg(F.first("source_a").alias("s"), F.first("price_a").alias("low")).select("a", F.array("s").alias("sources"), "low", F.col("low").alias("high"), F.array("a").alias("members"))
+    while others > 0:
+        for _ in range(min(others, PICKS)):
+            low, high = F.least("low", "price_b"), F.greatest("high", "price_b")
+            fits = own.join(state, "a").where(~F.array_contains("sources", F.col("source_b")) & ~((low > 0) & (high > low * max_ratio)))
+            pick = fits.groupBy("a").agg(F.min(F.struct("b", "source_b", "price_b")).alias("p"))
+            grown, p = state.join(pick, "a", "left"), F.col("p")
+            grows = lambda c, x: F.when(p.isNull(), F.col(c)).otherwise(F.concat(F.col(c), F.array(x))).alias(c)
+            state = grown.select("a", grows("sources", p["source_b"]), F.least("low", p["price_b"]).alias("low"), F.greatest("high", p["price_b"]).alias("high"), grows("members", p["b"]), p.isNotNull().alias("grew"))
+        others -= PICKS
+        state = cut(state)
+        if others > 0 and state.where("grew").isEmpty():
+            break
+        state = state.drop("grew") if others > 0 else state
+    return state
 
 
 def fuzzy_groups(df: DataFrame, pairs: DataFrame, max_ratio: float = MAX_RATIO) -> DataFrame:
     """(id, group_key) of greedy groups, in the order of exact-keyed listings first, then by id.
 
-    Greedy choices interact only through candidate pairs, so a task settles
-    some connected components by themselves; only listings with a candidate
-    take part.
+    The greedy choice takes listings in that order; each that is left seeds a
+    group of later neighbours, one of each source.  Here many seeds settle in
+    one round: a listing whose neighbours all have it as the smallest
+    undecided one among their own neighbours can be taken by nobody and shares
+    its neighbours with no earlier seed.  Such seeds take their groups, those and
+    the edges to them go, and the next round begins.  A round is a few joins
+    and aggregations over the edges that are left, which shrink with each; the number of
+    rounds is that of the longest row of groups each of which had to wait for the one before.
     """
-    pairs = cut(pairs)
-    label = components(pairs)
     both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("neighbours"))
     keyed = cut(df.select("id", "source", F.col("price").cast("double").alias("price"), exact_match_key(df).isNull().alias("keyless")))
-    members = cut(keyed.join(near, "id").join(label.withColumnRenamed("node", "id"), "id"))
-    tasks = max(1, members.count() // MEMBERS_PER_TASK)
-    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(tasks))).repartition(tasks, "bucket")
-    return dealt.groupBy("bucket").applyInPandas(_greedy(max_ratio), _FIELDS)
+    side = lambda s: keyed.select(F.col("id").alias(s), F.struct("keyless", "id").alias(f"at_{s}"), F.col("source").alias(f"source_{s}"), F.col("price").alias(f"price_{s}"))
+    edges = cut(both.join(side("a"), "a").join(side("b"), "b").select(F.col("at_a").alias("a"), F.col("at_b").alias("b"), "source_a", "price_a", "source_b", "price_b"))
+    others = keyed.select("source").distinct().count() - 1
+    found = []
+    while left := edges.count():
+        if left <= ONE_TASK:
+            edges = edges.coalesce(1)
+        near = edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("smallest"))
+        ready = edges.join(near.select(F.col("a").alias("b"), "smallest"), "b").groupBy("a").agg(F.min("smallest").alias("smallest")).where("smallest = a").select("a")
+        groups = _settled(cut(edges.join(ready, "a", "left_semi")), others, max_ratio)
+        found.append(groups.where(F.size("members") > 1).select("members"))
+        gone = groups.select(F.explode("members").alias("gone"))
+        edges = cut(edges.join(gone, F.col("a") == F.col("gone"), "left_anti").join(gone, F.col("b") == F.col("gone"), "left_anti"))
+        if len(found) >= KEPT_ROUNDS:
+            found = [cut(_all_of(found))]
+    if not found:
+        return keyed.where("false").select("id", F.lit("").alias("group_key"))
+    ids = F.transform("members", lambda m: m["id"])
+    return _all_of(found).select(F.explode(ids).alias("id"), F.array_join(ids, "-").alias("group_key"))
+
+
+def _all_of(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def group_id(key: Column) -> Column:
@@ -198,5 +218,25 @@ def assign_group_ids(df: DataFrame, groups: DataFrame) -> DataFrame:
 def match_listings(df: DataFrame, threshold: float = THRESHOLD, max_ratio: float = MAX_RATIO) -> DataFrame:
     """(id, group_key) of all groups: exact ones, then greedy ones among the rest."""
     exact = exact_groups(df)
-    rest = unconditioned(df).join(exact, "id", "left_anti")
+    rest = cut(unconditioned(df).join(exact, "id", "left_anti"))
     return exact.unionByName(fuzzy_groups(rest, candidate_pairs(rest, threshold, max_ratio), max_ratio))
+
+
+def match_groups(df: DataFrame, threshold: float = THRESHOLD, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """One row for each group of match_listings, the largest price difference first.
+
+    id, members (ids in the order of the greedy choice), sources, the shortest
+    name (the first of equally short ones) with its brand and model, lowest and
+    highest price and their difference.  Equal differences are in the order of
+    their groups' first members.
+    """
+    members = match_listings(df, threshold, max_ratio).join(df.drop("group_key"), "id")
+    keyless = exact_match_key(df).isNull()
+    at = F.struct(keyless.alias("keyless"), "id")
+    shown = F.min(F.struct(F.length("name").alias("n"), at.alias("at"), "name", "brand", "model"))
+    rows = members.groupBy("group_key").agg(
+        F.min(at).alias("first"), F.transform(F.array_sort(F.collect_list(at)), lambda m: m["id"]).alias("members"), F.count_distinct("source").alias("sources"),
+        shown.alias("shown"), F.min("price").alias("lowest_price"), F.max("price").alias("highest_price"),
+    )
+    out = rows.select(group_id(F.col("group_key")).alias("id"), "shown.name", "shown.brand", "shown.model", "members", "sources", "lowest_price", "highest_price", (F.col("highest_price") - F.col("lowest_price")).alias("price_diff"), "first")
+    return out.orderBy(F.desc("price_diff"), "first").drop("first")

@@ -153,6 +153,58 @@ def test_fuzzy_groups_equal_brute_force(spark, seed):
     assert sorted(map(sorted, found.values())) == groups_
 
 
+def greedy(nodes, pairs, ratio=1.6):
+    """Groups by one pass over all listings in order."""
+    near, taken, out = {}, set(), []
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for i in sorted(nodes):
+        if i in taken:
+            continue
+        group = [i]
+        for j in sorted(near.get(i, ())):
+            prices = [nodes[k][1] for k in [*group, j]]
+            if j > i and j not in taken and nodes[j][0] not in {nodes[k][0] for k in group} and not (min(prices) > 0 and max(prices) > ratio * min(prices)):
+                group.append(j)
+        if len(group) > 1:
+            taken |= set(group)
+            out.append("-".join(group))
+    return sorted(out)
+
+
+def graphs():
+    r = random.Random(5)
+    name = "{:03}".format
+    yield "chain", {name(k): (f"s{k % 3}", 100) for k in range(40)}, [(name(k), name(k + 1)) for k in range(39)]
+    yield "chain backwards", {name(k): (f"s{k % 2}", 100) for k in range(30)}, [(name(29 - k), name(28 - k)) for k in range(29)]
+    yield "star", {name(k): (f"s{k % 7}", 100 + k % 90) for k in range(60)}, [(name(30), name(k)) for k in range(60) if k != 30]
+    yield "one source", {name(k): ("s0", 100) for k in range(5)}, [("000", "001"), ("001", "004")]
+    yield "free", {name(k): (f"s{k}", 0 if k % 2 else 100) for k in range(6)}, [("000", "001"), ("001", "002"), ("003", "005")]
+    yield "none", {"000": ("s0", 1)}, []
+    for seed in range(3):
+        n = 60
+        nodes = {name(k): (f"s{r.randrange(2 + seed * 4)}", r.choice([100, 120, 150, 180])) for k in range(n)}
+        yield f"random {seed}", nodes, [(a, b) for a, b in itertools.combinations(sorted(nodes), 2) if r.random() < 0.08 and nodes[a][0] != nodes[b][0]]
+
+
+@pytest.mark.parametrize(("nodes", "pairs"), [g[1:] for g in graphs()], ids=[g[0] for g in graphs()])
+def test_groups_settled_in_rounds_equal_one_pass(spark, nodes, pairs):
+    df = spark.createDataFrame([listing(i, s, f"name of {i}", p) for i, (s, p) in nodes.items()], SCHEMA)
+    found = match.fuzzy_groups(df, spark.createDataFrame(pairs, "a string, b string")).collect()
+    assert sorted({r.group_key for r in found}) == greedy(nodes, pairs)
+    assert sorted((r.id, r.group_key) for r in found) == sorted((i, k) for k in {r.group_key for r in found} for i in k.split("-"))
+
+
+def test_match_groups_come_by_price_difference(spark):
+    rows = [
+        listing("a", "s1", "Card One Two Three longer", 100), listing("b", "s2", "Card One Two Three", 130), listing("c", "s3", "Three Two One Card", 150),
+        listing("d", "s1", "Disk Alpha Beta Gamma Delta", 50), listing("e", "s2", "Disk Alpha Beta Gamma Delta X1", 60), listing("f", "s1", "lonely thing here", 70),
+    ]
+    got = [(r.members, r.sources, r.name, r.lowest_price, r.highest_price, r.price_diff) for r in match.match_groups(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert got == [(["b", "c"], 2, "Card One Two Three", 130, 150, 20), (["d", "e"], 2, "Disk Alpha Beta Gamma Delta", 50, 60, 10)]
+
+
 def test_variants_do_not_pair(spark):
     rows = [listing("a", "s1", "Deck One Two Three 紅軸 BLACK", category="keyboard"), listing("b", "s2", "Deck One Two Three 茶軸 BLACK", category="keyboard"), listing("c", "s3", "Deck One Two Three 紅軸 WHITE", category="keyboard"), listing("d", "s4", "Deck One Two Three 紅軸 BLACK", category="keyboard")]
     got = {(p.a, p.b) for p in match.candidate_pairs(spark.createDataFrame(rows, SCHEMA), threshold=0.5).collect()}
