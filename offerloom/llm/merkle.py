@@ -20,7 +20,7 @@ it, and the join is by bucket and node: no key has more than BUCKET leaves.
 
 Work: rows are read once for their hashes, texts go no further.  Rows of about
 100 bytes are sorted once, and each level of the climb moves them once, with
-up to FANOUT digests beside.  Node rows are a fifteenth of the leaves, their repetitions one
+up to FANOUT digests beside, which neighbours share.  Node rows are a fifteenth of the leaves, their repetitions one
 for each bucket and level.  The offset table has one row for each range of
 RANGE_ROWS leaves.
 
@@ -49,6 +49,7 @@ FANOUT, BUCKET, RANGE_ROWS = 16, 4096, 50_000
 #: Heights of the tree over the subroots begin here; no tree of a source is as high.
 TOP = 100
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+_ALL = 1 << 20
 _FINE = 4096  # buckets that one row is repeated for at a time
 
 
@@ -175,49 +176,52 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, doc_id: str = "d
 
 
 _CLIMB = """
-WITH RECURSIVE climb(at, bucket, step, folded, place, up_height, up_at, siblings, subroot) AS (
-  SELECT at, bucket, 0, coalesce(changed, leaf), place, up_height, up_at, CAST(NULL AS BINARY), CASE WHEN sub THEN leaf END FROM {leaves}
+WITH RECURSIVE climb(at, bucket, step, folded, spot, kids, place, up_height, up_at, subroot) AS (
+  SELECT at, bucket, 0, coalesce(changed, leaf), -1, CAST(NULL AS BINARY), place, up_height, up_at, CASE WHEN sub THEN leaf END FROM {leaves}
   UNION ALL
   SELECT c.at, c.bucket, c.step + 1,
          unhex(sha2(lower(hex(concat(substring(p.kids, 1, 32 * c.place), c.folded, substring(p.kids, 32 * c.place + 33)))), 256)),
-         p.place, p.up_height, p.up_at,
-         concat(substring(p.kids, 1, 32 * c.place), substring(p.kids, 32 * c.place + 33)), CASE WHEN p.sub THEN p.hash END
+         c.place, p.kids, p.place, p.up_height, p.up_at, CASE WHEN p.sub THEN p.hash END
   FROM climb c JOIN {nodes} p ON p.bucket = c.bucket AND p.height = c.up_height AND p.node = c.up_at
 )
-SELECT at, bucket, step, folded, siblings, subroot FROM climb
+SELECT at, bucket, step, folded, spot, kids, subroot FROM climb
 """
+#: No row limit (the default stops at a million rows); rows keep their order when a step is written, so that nodes above neighbours compress.
+_SETTINGS = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.execution.sortBeforeRepartition": "false"}
 
 
-def climbed(m: Manifest) -> DataFrame:
-    """For each leaf number and step of its climb: the folded hash, the siblings appended there, and the subroot where it is passed."""
+def proofs(m: Manifest) -> DataFrame:
+    """id, leaf, subroot, root, proof_sha256, folded_root and verified of every leaf, all hashes as hex.
+
+    The recursive query gives, for each leaf and step of its climb, the folded
+    hash and the hashes that it met, of which all but its own at `spot` are
+    the siblings appended there.
+    """
     spark = m.leaves.sparkSession
     names = {k: f"merkle_{k}_{uuid4().hex}" for k in ("leaves", "nodes")}
     m.leaves.withColumn("at", F.col("first")).createOrReplaceTempView(names["leaves"])
     cut(spread(m.nodes, "first", "last")).createOrReplaceTempView(names["nodes"])
-    key = "spark.sql.cteRecursionRowLimit"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "-1")  # the default stops at a million rows
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
-        return cut(spark.sql(_CLIMB.format(**names)))
+        steps = spark.sql(_CLIMB.format(**names))
+        met = F.struct("step", "spot", "kids")
+        found = steps.groupBy("bucket", "at").agg(
+            F.max("subroot").alias("subroot"), F.max_by("folded", "step").alias("folded"), F.array_sort(F.collect_list(F.when(F.col("kids").isNotNull(), met))).alias("path")
+        )
+        text = lambda c: F.lower(F.hex(c))
+        siblings = lambda x: F.concat(F.substring(x["kids"], F.lit(1), x["spot"] * 32), F.substring(x["kids"], x["spot"] * 32 + 33, F.lit(_ALL)))
+        proof = F.sha2(F.aggregate("path", F.lit(""), lambda a, x: F.concat(a, text(siblings(x)))), 256)
+        got = cut(found.select("bucket", "at", F.unhex(proof).alias("proof"), "folded", "subroot"))
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
         for name in names.values():
             spark.catalog.dropTempView(name)
-
-
-def proofs(m: Manifest) -> DataFrame:
-    """id, leaf, subroot, root, proof_sha256, folded_root and verified of every leaf, all hashes as hex."""
-    steps = climbed(m)
-    own = m.leaves.select(F.col("first").alias("at"), "bucket", F.lit(-1).alias("step"), F.lit(None).cast("binary").alias("folded"), F.lit(None).cast("binary").alias("siblings"), F.lit(None).cast("binary").alias("subroot"), "id", "leaf")
-    both = steps.withColumns({"id": F.lit(None).cast(own.schema["id"].dataType), "leaf": F.lit(None).cast("binary")}).unionByName(own)
-    got = both.groupBy("bucket", "at").agg(
-        F.max("id").alias("id"), F.max("leaf").alias("leaf"), F.max("subroot").alias("subroot"), F.max_by("folded", "step").alias("folded"),
-        F.array_sort(F.collect_list(F.when(F.col("siblings").isNotNull(), F.struct("step", "siblings")))).alias("path"),
-    )
-    text = lambda c: F.lower(F.hex(c))
-    path = F.aggregate("path", F.lit(""), lambda a, x: F.concat(a, text(x["siblings"])))
     root = F.lit(m.root).cast("string")
-    return got.select("id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), F.sha2(path, 256).alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
+    own = m.leaves.select("id", "leaf", "bucket", F.col("first").alias("at")).join(got, ["bucket", "at"])
+    return own.select("id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
 
 
 def verified(docs: DataFrame, tampered: dict[str, Column] | None = None, when: Column | None = None, fields: tuple[str, ...] = FIELDS, doc_id: str = "doc_id", source: str = "source") -> DataFrame:

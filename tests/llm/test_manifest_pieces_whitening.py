@@ -65,10 +65,10 @@ def many_rows():
 @pytest.mark.parametrize("rows", [[], many_rows()[:1], many_rows(), [(i, "a", "e", 2, "T" * (i % 3)) for i in range(300)]], ids=["none", "one", "many", "one source"])
 def test_manifest_equals_brute_force(spark, rows):
     docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, leaf string")
-    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    before = {k: spark.conf.get(k) for k in merkle._SETTINGS}
     got = merkle.verified(docs, *merkle.tampering(F.col("doc_id"), F.col("text"))).collect()
+    assert {k: spark.conf.get(k) for k in merkle._SETTINGS} == before
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, proofs_of(rows)))
-    assert spark.conf.get("spark.sql.cteRecursionRowLimit") == limit
 
 
 def test_nodes_are_repeated_for_every_bucket_under_them(spark, monkeypatch):
