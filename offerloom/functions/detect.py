@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import detect_rules as D
 from offerloom.functions.names import brand_needles, is_short
-from offerloom.functions.text import pattern, replace
+from offerloom.functions.text import pattern, quoted, replace
 
 #: A text that holds some spelling of a brand.
 BRAND = "|".join(re.escape(n).replace("\\ ", " ") for n, _ in brand_needles() if not is_short(n)) + "|(?:^|[^A-Z0-9])(?:" + "|".join(n for n, _ in brand_needles() if is_short(n)) + ")(?:[^A-Z0-9]|$)"
@@ -66,9 +66,9 @@ def needed(*rules: str) -> list[str]:
     return out
 
 
-def _kept(values: list[Column]) -> Column:
-    """An array whose elements the optimiser does not copy to each place that asks for one."""
-    return F.concat(F.array(*values), F.array().cast("array<boolean>"))
+def _kept(values: list[str]) -> Column:
+    """An array of conditions, each SQL text, whose elements the optimiser does not copy to each place that asks for one."""
+    return F.expr(f"concat(array({', '.join(values)}), CAST(array() AS array<boolean>))")
 
 
 def levels(rules: list[str]) -> list[list[str]]:
@@ -92,7 +92,7 @@ class Titles:
                     if kind != "@" or text == "plus_brand":
                         self.leaves.setdefault((kind, text), len(self.leaves))
         for k, level in enumerate(self.levels):
-            self.columns |= {name: F.col(f"{into}_{k}")[i] for i, name in enumerate(level)}
+            self.columns |= {name: f"{into}_{k}[{i}]" for i, name in enumerate(level)}
 
     def see(self, df: DataFrame, raw: Column) -> DataFrame:
         """df with arrays of what each title holds and which rules hold for it."""
@@ -109,10 +109,9 @@ class Titles:
         found = []
         for kind, text in self.leaves:
             if text == "plus_brand":
-                parts = F.regexp_extract_all(F.col(f"{at}.cleaned"), F.lit(pattern(D.PLUS, True)), 1)
-                found.append(F.exists(parts, lambda x: F.upper(x).rlike(pattern(BRAND))))
+                found.append(f"exists(regexp_extract_all({at}.cleaned, {quoted(pattern(D.PLUS, True))}, 1), x -> upper(x) RLIKE {quoted(pattern(BRAND))})")
             else:
-                found.append(F.col(f"{at}.{texts[kind]}").rlike(pattern(text, True)))
+                found.append(f"{at}.{texts[kind]} RLIKE {quoted(pattern(text, True))}")
         step = step.withColumn(self.into, _kept(found)).drop(at, f"{at}_c")
         for k, level in enumerate(self.levels):
             step = step.withColumn(f"{self.into}_{k}", _kept([self._any(ALL[name]) for name in level]))
@@ -122,32 +121,26 @@ class Titles:
         """df without what see added."""
         return df.drop(self.into, *[f"{self.into}_{k}" for k in range(len(self.levels))])
 
-    def _one(self, condition: str) -> Column:
+    def _one(self, condition: str) -> str:
         no, kind, text = _split(condition)
-        c = self.columns[text] if kind == "@" and text != "plus_brand" else F.col(self.into)[self.leaves[kind, text]]
-        return ~c if no else c
-
-    def _any(self, rule: list) -> Column:
-        out = F.lit(False)
-        for clause in _clauses(rule):
-            all_ = F.lit(True)
-            for condition in clause:
-                all_ = all_ & self._one(condition)
-            out = out | all_
-        return out
+        c = self.columns[text] if kind == "@" and text != "plus_brand" else f"{self.into}[{self.leaves[kind, text]}]"
+        return f"NOT {c}" if no else c
+
+    def _any(self, rule: list) -> str:
+        return "(" + (" OR ".join("(" + " AND ".join(map(self._one, clause)) + ")" for clause in _clauses(rule)) or "false") + ")"
 
     def holds(self, rule: str) -> Column:
-        return self.columns[rule]
+        return F.expr(self.columns[rule])
 
-    def first(self, rules: list[tuple[str, str]]) -> Column:
-        """The label of the first rule that holds, else null."""
-        return F.coalesce(*[F.when(self.columns[r], F.lit(label)) for label, r in rules])
+    def first(self, rules: list[tuple[str, str]], otherwise: str | None = None) -> Column:
+        """The label of the first rule that holds."""
+        return F.expr("CASE " + " ".join(f"WHEN {self.columns[r]} THEN {quoted(label)}" for label, r in rules) + (f" ELSE {quoted(otherwise)}" if otherwise else "") + " END")
 
     def category(self) -> Column:
-        return F.coalesce(self.first(CATEGORY), F.lit("other"))
+        return self.first(CATEGORY, "other")
 
     def bundle_reason(self) -> Column:
-        return F.when(~self.columns["exempt"], self.first(BUNDLE))
+        return F.when(~self.holds("exempt"), self.first(BUNDLE))
 
 
 def detect_category(df: DataFrame, raw: str = "raw_name", into: str = "category") -> DataFrame:

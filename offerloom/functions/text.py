@@ -47,14 +47,19 @@ def replace(c: Column, text: str, by: str = " ", ignore_case: bool = False) -> C
 def extract(c: Column, text: str, group: int = 0, ignore_case: bool = True) -> Column:
     """The group of the first match, null where there is none."""
     p = pattern(text, ignore_case)
-    return F.when(c.rlike(p), F.regexp_extract(c, p, group))
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(p), group), F.lit(1))
+
+
+def quoted(text: str) -> str:
+    """A text as a literal of Spark's SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def table(rows: Sequence[dict[str, str | bool]]) -> Column:
     """An array of structs of literals, made in one call however long it is."""
 
     def literal(v: str | bool) -> str:
-        return str(v).lower() if isinstance(v, bool) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return str(v).lower() if isinstance(v, bool) else quoted(v)
 
     return F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {literal(v)}" for k, v in row.items()) + ")" for row in rows) + ")")
 
@@ -70,17 +75,24 @@ def compact(c: Column) -> Column:
 
 
 def first_label(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """The label of the first (pattern, label) rule that c matches, else null."""
-    return F.coalesce(*[F.when(has(c, p), F.lit(label)) for p, label in rules])
+    """The label of the first (pattern, label) rule that c matches, else null; one expression, made in one call."""
+    cases = " ".join(f"WHEN x RLIKE {quoted(pattern(p, True))} THEN {quoted(label)}" for p, label in rules)
+    return F.call_function("transform", F.array(c), F.expr(f"x -> CASE {cases} END"))[0]
 
 
 def path(*levels: Column) -> Column:
-    """'A > B > C', cut at the first null level; null where the first is null."""
-    open_, parts = F.lit(True), []
-    for level in levels:
-        open_ = open_ & level.isNotNull()
-        parts.append(F.when(open_, level))
-    return F.nullif(F.concat_ws(SEPARATOR, *parts), F.lit(""))
+    """'A > B > C', cut at the first null level; null where the first is null.
+
+    Every level is written down once: levels are long expressions, and the
+    optimiser would copy each to wherever it is named.
+    """
+
+    def joined(each: Column) -> Column:
+        first_null = F.array_position(F.transform(each, lambda x: x.isNull()), True)
+        open_ = F.when(first_null == 0, each).otherwise(F.slice(each, F.lit(1), F.greatest(first_null - 1, F.lit(0)).cast("int")))
+        return F.when(F.size(open_) > 0, F.array_join(open_, SEPARATOR))
+
+    return let(F.array(*levels), joined)
 
 
 def path_skip(*levels: Column) -> Column:
