@@ -9,11 +9,11 @@ map, the longest key that is a prefix of the rest is taken and its replacement
 written; all other characters are copied.  For each byte written the place in
 the original text is kept (the alignment), through the removal of repeated
 blanks, the blank put in front and the blanks' mark as well.  The normalised
-text is cut where no piece of the vocabulary holds the two neighbouring
-characters side by side, so that no merge can cross the cut; the words between
-blanks come first, as each is looked up among words seen before.  A word that
-is new is merged pair by pair, the best score first and of equal scores the
-leftmost.  A character without a piece becomes the pieces of its bytes.  The
+text is cut before each run of blanks, which no merge can cross as no piece
+holds a blank after another character, and each word is looked up among words
+seen before.  The new words of a batch are merged together: an index leads from
+each piece to the places of the pairs that make it, the piece with the best
+score is taken first, and its places from left to right.  A character without a piece becomes the pieces of its bytes.  The
 lengths of the pieces give their places in the normalised text, and the
 alignment projects these to byte spans of the original: spans follow each other
 without gaps, the last byte of a character that fell apart spans all of it and
@@ -23,8 +23,7 @@ Work: one Arrow pass over the texts, no shuffle.  Merging follows the distinct
 words; the words a Python worker keeps are bounded.
 
 Defined cases: a null text is the empty text, which has the begin and end ids
-only; a text of any length is one task's work, n log n in its longest piece of
-text without a cut; equal rows get equal results; an empty table gives an empty
+only; a text of any length is one task's work, n log n in its length; equal rows get equal results; an empty table gives an empty
 result; a column of the input with the name of a result column is replaced;
 ids outside the vocabulary raise an error when decoded.
 """
@@ -35,6 +34,7 @@ import hashlib
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -48,9 +48,11 @@ from pyspark.sql.functions import arrow_udf
 from offerloom.llm import textbuf as tb
 
 #: Words whose pieces a worker keeps; beyond, those of the generation before go.
-KEPT_WORDS = 80_000
+KEPT_WORDS = 250_000
 #: Text characters that are encoded at a time.
 RUN_CHARS = 1 << 20
+#: Lists of at least LONG_LIST places are merged as arrays, until PATIENCE lists in a row were shorter.
+LONG_LIST, PATIENCE = 40, 64
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -258,31 +260,57 @@ class Model:
         self.size = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
         self.size[[self.bos, self.eos]] = 0
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else self.unknown_text.encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
-        self.joined = {a + b for p in self.rank for a, b in zip(p, p[1:], strict=False)}
+        order = sorted(self.rank, key=self.rank.__getitem__)
+        times = Counter(r for r, _ in self.rank.values())
+        # Words with pieces of equal score, whose order is by place alone, and with user-defined pieces are merged one by one.
+        alone = [p for p in order if len(p) > 1 and (times[self.rank[p][0]] > 1 or p in kept)]
+        self.alone = re.compile("|".join(map(re.escape, alone))) if alone else None
+        number = {p: i for p, (_, i) in self.rank.items()}
+        self.merges = Merges([(number[p], [(number[p[:k]], number[p[k:]]) for k in range(1, len(p)) if p[:k] in number and p[k:] in number]) for p in order])
+        #: The first symbol of each character: its piece, or a number beyond the vocabulary.
+        self.first_symbol = np.arange(0x110000) + len(self.pieces)
+        for p, i in number.items():
+            if len(p) == 1:
+                self.first_symbol[ord(p)] = i
         self.kept = re.compile("(" + "|".join(map(re.escape, sorted(kept, key=len, reverse=True))) + ")") if kept else None
         # A cut before each run of marks is sound if no piece holds a mark after another character.
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if not kept and all(MARK not in p.lstrip(MARK) for p in self.rank) else re.compile(".+", re.S)
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def learn(self, word: str) -> tuple[int, ...]:
-        """Ids of a word of a normalised text."""
+    def learn(self, words: list[str]) -> None:
+        """Enter the ids of words of normalised texts."""
+        together = []
+        for w in words:
+            if self.alone is not None and self.alone.search(w):
+                self.known[w] = self.slowly(w)
+            else:
+                together.append(w)
+        points = np.frombuffer("".join(together).encode("utf-32-le"), "<u4")
+        starts = np.cumsum([0, *map(len, together)])
+        symbols = merge_all(self.first_symbol[points], starts, self.merges)
+        whole = symbols >= 0
+        ids = symbols[whole].tolist()
+        cuts = np.concatenate(([0], np.cumsum(whole)))[starts].tolist()
+        strange = np.append(np.add.reduceat(np.append(symbols >= len(self.pieces), False), starts[:-1]) > 0, False).tolist() if len(together) else []
+        for k, w in enumerate(together):
+            own = ids[cuts[k] : cuts[k + 1]]
+            if strange[k]:
+                own = [x for i in own for x in ([i] if i < len(self.pieces) else self.spelled(chr(i - len(self.pieces))))]
+            self.known[w] = tuple(own)
+
+    def spelled(self, character: str) -> list[int]:
+        """The pieces of a character's bytes."""
+        if not self.fallback:
+            raise ValueError("a character without a piece needs a model with byte fallback")
+        return [self.byte_id[b] for b in character.encode()]
+
+    def slowly(self, word: str) -> tuple[int, ...]:
+        """Ids of one word, merge by merge."""
         out: list[int] = []
         for k, part in enumerate(self.kept.split(word) if self.kept else (word,)):
-            if k % 2:
-                out.append(self.rank[part][1])
-                continue
-            first = 0
-            for i in range(1, len(part) + 1):
-                if i == len(part) or part[i - 1 : i + 1] not in self.joined:
-                    for piece in self.merged(part[first:i]):
-                        if piece in self.rank:
-                            out.append(self.rank[piece][1])
-                        elif self.fallback:
-                            out += [self.byte_id[b] for b in piece.encode()]
-                        else:
-                            raise ValueError("a character without a piece needs a model with byte fallback")
-                    first = i
+            for piece in [part] if k % 2 else self.merged(part):
+                out += [self.rank[piece][1]] if piece in self.rank else self.spelled(piece)
         return tuple(out)
 
     def merged(self, text: str) -> list[str]:
@@ -322,8 +350,14 @@ class Model:
         if len(self.known) > KEPT_WORDS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
+        new = []
         for w in set(chain.from_iterable(split)).difference(known):
-            known[w] = older[w] if w in older else self.learn(w)
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
+        if new:
+            self.learn(new)
         out = []
         for x, words in zip(normal, split, strict=True):
             ids = np.fromiter(chain((self.bos,), chain.from_iterable(map(known.__getitem__, words)), (self.eos,)), dtype="<u4")
@@ -376,6 +410,104 @@ def _characters(data: bytes) -> str:
     return "".join(out)
 
 
+class Merges:
+    """The piece that each rank makes and the rank of each pair that makes one; a piece may be made from several pairs."""
+
+    def __init__(self, rows: list[tuple[int, list[tuple[int, int]]]]) -> None:
+        self.into = [piece for piece, _ in rows]
+        self.rank = {a << 32 | b: r for r, (_, pairs) in enumerate(rows) for a, b in pairs}
+        key = np.fromiter(self.rank, np.int64, len(self.rank))
+        order = np.argsort(key)
+        self.key = np.append(key[order], np.iinfo(np.int64).max)
+        self.value = np.append(np.fromiter(self.rank.values(), np.int64, len(self.rank))[order], -1)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, -1 where it makes nothing."""
+        pair = left << 32 | right
+        at = np.searchsorted(self.key, pair)
+        return np.where(self.key[at] == pair, self.value[at], -1)
+
+
+def merge_all(symbols: np.ndarray, starts: np.ndarray, table: Merges) -> np.ndarray:
+    """Merge a sequence of words; a place whose symbol was taken up by its left neighbour holds -1.
+
+    Words do not meet, so that all places of the best piece in all words merge
+    at once.  Of two places that share a symbol the left one merges.  Long lists of places are worked
+    off as arrays, and when these have become rare, the rest place by place.
+    """
+    symbols = symbols.astype(np.int64)
+    n = len(symbols)
+    before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
+    first = starts[:-1][np.diff(starts) > 0]
+    before[first] = -1
+    after[starts[1:][np.diff(starts) > 0] - 1] = -1
+    places: dict[int, list[np.ndarray]] = {}
+    open_ranks: list[int] = []
+
+    def enter(at: np.ndarray) -> None:
+        rank = table.ranks(symbols[at], symbols[after[at]])
+        at, rank = at[rank >= 0], rank[rank >= 0]
+        if not len(at):
+            return
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        heads = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+        for r, part in zip(rank[heads].tolist(), np.split(at, heads[1:]), strict=True):
+            if r not in places:
+                places[r] = []
+                heapq.heappush(open_ranks, r)
+            places[r].append(part)
+
+    enter(np.flatnonzero(after >= 0))
+    short = 0
+    while open_ranks and short < PATIENCE:
+        r = heapq.heappop(open_ranks)
+        i = np.unique(np.concatenate(places.pop(r)))
+        i = i[(symbols[i] >= 0) & (after[i] >= 0)]
+        i = i[table.ranks(symbols[i], symbols[after[i]]) == r]
+        short = short + 1 if len(i) < LONG_LIST else 0
+        if not len(i):
+            continue
+        j = after[i]
+        run = np.flatnonzero(np.append(True, i[1:] != j[:-1]))
+        odd = (np.arange(len(i)) - np.repeat(run, np.diff(np.append(run, len(i))))) % 2
+        i, j = i[odd == 0], j[odd == 0]
+        k = after[j]
+        symbols[i], symbols[j], after[i] = table.into[r], -1, k
+        before[k[k >= 0]] = i[k >= 0]
+        h = before[i]
+        enter(np.concatenate([i[k >= 0], h[h >= 0]]))
+    if not open_ranks:
+        return symbols
+    return _by_place(symbols.tolist(), before.tolist(), after.tolist(), {r: np.concatenate(p).tolist() for r, p in places.items()}, table)
+
+
+def _by_place(symbols: list[int], before: list[int], after: list[int], places: dict[int, list[int]], table: Merges) -> np.ndarray:
+    rank = table.rank.get
+    open_ranks = list(places)
+    heapq.heapify(open_ranks)
+    while open_ranks:
+        r = heapq.heappop(open_ranks)
+        into = table.into[r]
+        for i in sorted(places.pop(r)):
+            j = after[i]
+            if symbols[i] < 0 or j < 0 or rank(symbols[i] << 32 | symbols[j]) != r:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j] = into, -1
+            k = after[i] = after[j]
+            if k >= 0:
+                before[k] = i
+            h = before[i]
+            for at, new in ((i, rank(into << 32 | symbols[k]) if k >= 0 else None), (h, rank(symbols[h] << 32 | into) if h >= 0 else None)):
+                if new is not None:
+                    if new in places:
+                        places[new].append(at)
+                    else:
+                        places[new] = [at]
+                        heapq.heappush(open_ranks, new)
+    return np.array(symbols, dtype=np.int64)
+
+
 def model(path: str) -> Model:
     """The model of a file, read once in each Python worker."""
     if path not in _models:
