@@ -19,6 +19,8 @@ from offerloom.operators.graph import ONE_TASK, cut
 THRESHOLD, MAX_RATIO = 0.7, 1.6
 #: Categories in which black is what an unnamed colour means.
 IMPLICIT_BLACK = ("keyboard", "mouse", "cooler", "fan", "headset", "speaker", "case")
+#: Classes of one block that are compared in one part.
+BLOCK = 2000
 #: Members that a seed takes before its group is written and looked at again; rounds of groups before these are written as one table.
 PICKS, KEPT_ROUNDS = 3, 24
 
@@ -113,29 +115,58 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(0.0))
 
 
-def candidate_pairs(df: DataFrame, threshold: float = THRESHOLD, max_ratio: float = MAX_RATIO) -> DataFrame:
-    """(a, b, similarity): pairs of one category, of different sources, alike in tokens, near in price and without variant conflict.
+def classed(df: DataFrame) -> DataFrame:
+    """Comparable listings with their distinct tokens, colour, switch and class: listings that no comparison tells apart share one."""
+    colour = F.when(F.col("category").isin(*R.COLOUR_CATEGORIES), compared_colour(F.col("name")))
+    switch = F.when(F.col("category") == "keyboard", F.upper(keyboard_switch(F.col("name"))))
+    base = unconditioned(df).select("id", "source", "category", "price", match_tokens(F.col("name")).alias("t"), colour.alias("colour"), switch.alias("switch"))
+    base = cut(base).where(F.size("t") > 0)
+    return base.withColumn("class", F.md5(F.to_json(F.struct("category", "source", "price", "t", "colour", "switch"))))
+
+
+def class_pairs(listings: DataFrame, threshold: float = THRESHOLD, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """(a, b, similarity, a_id, b_id, a_n, b_n): pairs of classes of `classed` listings that match, a's smallest id below b's.
+
+    The classes are of one category, of different sources, alike in tokens,
+    near in price and without variant conflict; a_id and b_id are their
+    smallest ids, a_n and b_n the numbers of their listings.
 
     Two sets with similarity t or more share one of each side's first
     n - ceil(t n) + 1 tokens in one global order; in the order of ascending
     frequency those are the rare ones, so blocks stay small and common tokens
-    never pair anything by themselves.
+    pair nothing by themselves.  A pair is written where the tokens behind its
+    first shared one can still make up the overlap that it needs.  Equal
+    listings count as one class, whatever their number.  A block of more than
+    BLOCK classes is dealt by salt: each class stands on the left once, and on
+    the right once for each part.
     """
-    base = unconditioned(df).select("id", "source", "category", "price", match_tokens(F.col("name")).alias("t"), F.when(F.col("category").isin(*R.COLOUR_CATEGORIES), compared_colour(F.col("name"))).alias("colour"), F.when(F.col("category") == "keyboard", F.upper(keyboard_switch(F.col("name")))).alias("switch"))
-    base = cut(base).where(F.size("t") > 0)
-    token = base.select("id", "category", F.size("t").alias("n"), F.explode("t").alias("token"))
+    nodes = cut(listings.groupBy("class").agg(*[F.any_value(c).alias(c) for c in ("source", "category", "price", "t", "colour", "switch")], F.min("id").alias("id"), F.count("*").alias("members")))
+    token = nodes.select("class", "category", F.size("t").alias("n"), F.explode("t").alias("token"))
     often = token.groupBy("category", "token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("df", "token"))
     first = token.join(often, ["category", "token"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
-    block = first.select("category", "token", "id", "n").join(base.select("id", "source", "price"), "id")
-    left, right = (block.select("category", "token", *[F.col(c).alias(c + s) for c in ("id", "n", "source", "price")]) for s in ("_a", "_b"))
+    block = first.join(nodes.select("class", "id", "source", "price"), "class").withColumn("parts", F.ceil(F.col("df") / BLOCK).cast("int"))
+    key, own = ["category", "token", "part"], ("class", "id", "n", "r", "source", "price")
+    left = block.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).select(*key, *[F.col(c).alias(f"{c}_a") for c in own])
+    right = block.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, *[F.col(c).alias(f"{c}_b") for c in own])
     low, high = F.least("price_a", "price_b"), F.greatest("price_a", "price_b")
     near = ~((low > 0) & (high > low * max_ratio)) & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9) & (F.col("n_b") >= F.col("n_a") * threshold - 1e-9)
-    pairs = left.join(right, ["category", "token"]).where((F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")) & near).select("id_a", "id_b").distinct()
-    side = lambda s: base.select(*[F.col(c).alias(c + s) for c in ("id", "t", "colour", "switch")])
-    full = pairs.join(side("_a"), "id_a").join(side("_b"), "id_b").withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b")))
+    enough = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b")) >= (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = left.join(right, key).where((F.col("id_a") < F.col("id_b")) & (F.col("source_a") != F.col("source_b")) & near & enough).select("class_a", "class_b").distinct()
+    side = lambda s: nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("class", "id", "members", "t", "colour", "switch")])
+    full = pairs.join(side("a"), "class_a").join(side("b"), "class_b").withColumn("similarity", jaccard(F.col("t_a"), F.col("t_b")))
     conflict = F.coalesce(F.col("colour_a") != F.col("colour_b"), F.lit(False)) | F.coalesce(F.col("switch_a") != F.col("switch_b"), F.lit(False))
-    return full.where((F.col("similarity") >= threshold) & ~conflict).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "similarity")
+    found = full.where((F.col("similarity") >= threshold) & ~conflict)
+    return found.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "similarity", F.col("id_a").alias("a_id"), F.col("id_b").alias("b_id"), F.col("members_a").alias("a_n"), F.col("members_b").alias("b_n"))
+
+
+def candidate_pairs(df: DataFrame, threshold: float = THRESHOLD, max_ratio: float = MAX_RATIO) -> DataFrame:
+    """(a, b, similarity): the pairs of listings of all matching classes, a < b; class_pairs gives the same without writing them out."""
+    listings = cut(classed(df))
+    pairs = class_pairs(listings, threshold, max_ratio).select("a", "b", "similarity")
+    member = lambda s: listings.select(F.col("class").alias(s), F.col("id").alias(f"id_{s}"))
+    full = pairs.join(member("a"), "a").join(member("b"), "b")
+    return full.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "similarity")
 
 
 def _settled(own: DataFrame, others: int, max_ratio: float) -> DataFrame:

@@ -403,6 +403,77 @@ def compare(spark: SparkSession, folder: str) -> DataFrame:
     return match.match_listings(found)
 
 
+#: Names without a token of their own: brand, a part of the name and a class of size; every third part shares one name and a price in tens.
+_HOT = f"""SELECT id, source, category, brand, pk,
+  CASE WHEN pk % 3 = 0 THEN 'Common Ring 16G Steel' ELSE concat(p_name, ' ', brand, ' S', CAST(CAST(floor(p_size / 10) AS INT) AS STRING), ' kit of parts') END AS name,
+  CAST(floor(p_retailprice / 10) * 10 + 10 * CAST(substr(source, 2) AS INT) AS BIGINT) AS price FROM ({tables.LISTINGS_SQL}) listing JOIN part ON p_partkey = pk"""
+
+
+def _hot(spark: SparkSession, folder: str) -> DataFrame:
+    hot = tables.spread(tables.view(spark, folder, _HOT, "lineitem", "part"), "id")
+    return cut(hot.withColumns({"raw_name": F.col("name"), "model": F.lit(None).cast("string")}))
+
+
+_CLASSES = f"""h AS ({_HOT}), k AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g'), ' +'), lambda w: length(w) > 1))) AS w FROM h),
+c AS (SELECT source, category, price, w, min(id) AS id, count(*) AS n FROM k GROUP BY source, category, price, w),
+m AS (SELECT a.id AS a_id, b.id AS b_id, a.n AS a_n, b.n AS b_n, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity
+  FROM c a JOIN c b ON a.category = b.category AND a.source <> b.source AND a.id < b.id AND greatest(a.price, b.price) <= 1.6 * least(a.price, b.price))"""
+
+
+@query(f"WITH {_CLASSES} SELECT a_id, b_id, a_n, b_n, round(similarity, 6) AS similarity FROM m WHERE similarity >= 0.7")
+def class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    found = match.class_pairs(cut(match.classed(_hot(spark, folder))))
+    return found.select("a_id", "b_id", "a_n", "b_n", F.round("similarity", 6).alias("similarity"))
+
+
+def _greedy_sql(nodes: str, pairs: str) -> str:
+    """grown(k, members): the greedy groups over nodes(id, source, price) in the order of ids, one node after the other."""
+    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM {nodes} WHERE id IN (SELECT a FROM {pairs} UNION SELECT b FROM {pairs})),
+later AS (SELECT x.r, list(struct_pack(r := [y.r], s := [y.source], lo := y.price, hi := y.price) ORDER BY y.r) AS them FROM {pairs} p JOIN ordered x ON x.id = p.a JOIN ordered y ON y.id = p.b GROUP BY x.r),
+steps AS (SELECT o.r, struct_pack(r := [o.r], s := [o.source], lo := o.price, hi := o.price) AS me, coalesce(them, []) AS them FROM ordered o LEFT JOIN later USING (r)),
+grown(k, taken, members) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL SELECT k + 1, CASE WHEN len(g) > 1 THEN list_concat(taken, g) ELSE taken END, g FROM (
+    SELECT k, taken, CASE WHEN list_contains(taken, k + 1) THEN CAST([] AS BIGINT[]) ELSE list_reduce(list_concat([me], list_filter(them, lambda c: NOT list_contains(taken, c.r[1]))),
+      lambda x, y: CASE WHEN list_contains(x.s, y.s[1]) OR (least(x.lo, y.lo) > 0 AND greatest(x.hi, y.hi) > 1.6 * least(x.lo, y.lo)) THEN x
+        ELSE struct_pack(r := list_concat(x.r, y.r), s := list_concat(x.s, y.s), lo := least(x.lo, y.lo), hi := greatest(x.hi, y.hi)) END).r END AS g
+    FROM grown JOIN steps ON steps.r = k + 1) step),
+found AS (SELECT k AS seed, unnest(members) AS r FROM grown WHERE len(members) > 1)"""
+
+
+#: A fixture for greedy choices: neighbours by name differ from listing to listing, and prices close groups.
+_MIXED = f"""SELECT id, source, category, brand, pk, concat(p_name, ' ', brand, ' size', CAST(p_size AS STRING), ' M', CAST(pk % 4 AS STRING), ' boxed') AS name,
+  CAST(floor(p_retailprice * (1 + 0.17 * CAST(substr(source, 2) AS INT) * (pk % 3))) AS BIGINT) AS price FROM ({tables.LISTINGS_SQL}) listing JOIN part ON p_partkey = pk"""
+_MIXED_PAIRS = f"""h AS ({_MIXED}), k AS (SELECT *, list_sort(list_distinct(list_filter(string_split_regex(regexp_replace(upper(name), '[^A-Z0-9]+', ' ', 'g'), ' +'), lambda w: length(w) > 1))) AS w FROM h),
+m AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS n FROM k a JOIN k b ON a.category = b.category AND a.source <> b.source AND a.id < b.id AND greatest(a.price, b.price) <= 1.6 * least(a.price, b.price)),
+pairs AS (SELECT a, b FROM m WHERE i / (n - i) >= 0.7)"""
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = tables.spread(tables.view(spark, folder, _MIXED, "lineitem", "part"), "id")
+    return cut(mixed.withColumns({"raw_name": F.col("name"), "model": F.lit(None).cast("string")}))
+
+
+@query(f"""WITH RECURSIVE {_MIXED_PAIRS}, {_greedy_sql('k', 'pairs')}
+SELECT o.id, string_agg(m.id, '-' ORDER BY m.r) AS group_key FROM found f JOIN ordered o ON o.r = f.r JOIN found g ON g.seed = f.seed JOIN ordered m ON m.r = g.r GROUP BY o.id""")
+def greedy_groups(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = _mixed(spark, folder)
+    return match.fuzzy_groups(mixed, match.candidate_pairs(mixed))
+
+
+_SAME = "upper('NAME-' || category || '-' || brand || '-' || list_aggregate(list_sort(list_distinct(regexp_extract_all(replace(upper(name), upper(brand), ' '), '[A-Za-z0-9]+'))), 'string_agg', ''))"
+_LEFT_PAIRS = _MIXED_PAIRS.replace("pairs AS (SELECT a, b FROM m WHERE", "keyed AS (SELECT *, replace(" + _SAME + ", ' ', '') AS key FROM k), shared AS (SELECT key FROM keyed GROUP BY key HAVING count(DISTINCT source) > 1), rest AS (SELECT * FROM keyed WHERE key NOT IN (SELECT key FROM shared)), pairs AS (SELECT a, b FROM m WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest) AND")
+
+
+@query(f"""WITH RECURSIVE {_LEFT_PAIRS}, {_greedy_sql('rest', 'pairs')},
+every AS (SELECT key AS group_key, id, source, name, brand, price FROM keyed WHERE key IN (SELECT key FROM shared)
+  UNION ALL SELECT n.group_key, o.id, o.source, o.name, o.brand, o.price FROM found f JOIN ordered o USING (r) JOIN (SELECT seed, string_agg(id, '-' ORDER BY r) AS group_key FROM found JOIN ordered USING (r) GROUP BY seed) n USING (seed))
+SELECT 'match-' || substr(md5(group_key), 1, 12) AS id, string_agg(id, ',' ORDER BY id) AS members, count(DISTINCT source) AS sources, min(price) AS lowest_price, max(price) AS highest_price, max(price) - min(price) AS price_diff,
+  min(struct_pack(n := length(name), i := id, name := name)).name AS name FROM every GROUP BY group_key""")
+def match_groups(spark: SparkSession, folder: str) -> DataFrame:
+    found = match.match_groups(_mixed(spark, folder))
+    return found.select("id", F.array_join("members", ",").alias("members"), "sources", "lowest_price", "highest_price", "price_diff", "name")
+
+
 # Groups --------------------------------------------------------------------
 
 

@@ -153,6 +153,19 @@ def test_fuzzy_groups_equal_brute_force(spark, seed):
     assert sorted(map(sorted, found.values())) == groups_
 
 
+def test_a_hot_name_is_one_class_for_each_source_and_price(spark, monkeypatch):
+    """A third of all listings share a name, no token is rare, and blocks are split: rows follow the classes, not the listings."""
+    monkeypatch.setattr(match, "BLOCK", 3)
+    r = random.Random(9)
+    word = ["AA", "BB", "CC", "DD", "EE", "FF"]
+    rows = [listing(f"{k:03}", f"s{r.randrange(3)}", "AA BB CC DD" if k % 3 == 0 else " ".join(r.sample(word, r.randrange(3, 6))), r.choice([100, 150, 200])) for k in range(240)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = match.class_pairs(match.classed(df)).collect()
+    assert {(p.a, p.b) for p in match.candidate_pairs(df).collect()} == brute_fuzzy(rows)[1]
+    assert sum(p.a_n * p.b_n for p in found) == len(brute_fuzzy(rows)[1]) > 10 * len(found)
+    assert all(p.a_id < p.b_id for p in found) and len({(p.a, p.b) for p in found}) == len(found)
+
+
 def greedy(nodes, pairs, ratio=1.6):
     """Groups by one pass over all listings in order."""
     near, taken, out = {}, set(), []
