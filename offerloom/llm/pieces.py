@@ -255,11 +255,12 @@ class Model:
         self.id_byte = np.full(len(self.pieces), -1)
         for b, i in self.byte_id.items():
             self.id_byte[i] = b
-        self.controls = tuple(i for i, k in enumerate(self.kinds) if k == CONTROL)
+        self.control = np.array([k == CONTROL for k in self.kinds])
         #: Normalised bytes of a piece; of the piece of a byte, one.
         self.size = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)])
         self.size[[self.bos, self.eos]] = 0
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else self.unknown_text.encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, k in zip(self.pieces, self.kinds, strict=True)]
+        self.table, self.raw_size = pa.array(self.raw, pa.binary()), np.array(list(map(len, self.raw)))
         order = sorted(self.rank, key=self.rank.__getitem__)
         times = Counter(r for r, _ in self.rank.values())
         # Words with pieces of equal score, whose order is by place alone, and with user-defined pieces are merged one by one.
@@ -275,8 +276,9 @@ class Model:
         self.kept = re.compile("(" + "|".join(map(re.escape, sorted(kept, key=len, reverse=True))) + ")") if kept else None
         # A cut before each run of marks is sound if no piece holds a mark after another character.
         self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if not kept and all(MARK not in p.lstrip(MARK) for p in self.rank) else re.compile(".+", re.S)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        #: Ids of words in a row, as little-endian unsigned 32-bit integers.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         """Enter the ids of words of normalised texts."""
@@ -290,14 +292,16 @@ class Model:
         starts = np.cumsum([0, *map(len, together)])
         symbols = merge_all(self.first_symbol[points], starts, self.merges)
         whole = symbols >= 0
-        ids = symbols[whole].tolist()
+        ids = symbols[whole]
+        raw = ids.astype("<u4").tobytes()
         cuts = np.concatenate(([0], np.cumsum(whole)))[starts].tolist()
         strange = np.append(np.add.reduceat(np.append(symbols >= len(self.pieces), False), starts[:-1]) > 0, False).tolist() if len(together) else []
         for k, w in enumerate(together):
-            own = ids[cuts[k] : cuts[k + 1]]
             if strange[k]:
-                own = [x for i in own for x in ([i] if i < len(self.pieces) else self.spelled(chr(i - len(self.pieces))))]
-            self.known[w] = tuple(own)
+                own = ids[cuts[k] : cuts[k + 1]].tolist()
+                self.known[w] = _packed([x for i in own for x in ([i] if i < len(self.pieces) else self.spelled(chr(i - len(self.pieces))))])
+            else:
+                self.known[w] = raw[4 * cuts[k] : 4 * cuts[k + 1]]
 
     def spelled(self, character: str) -> list[int]:
         """The pieces of a character's bytes."""
@@ -305,13 +309,13 @@ class Model:
             raise ValueError("a character without a piece needs a model with byte fallback")
         return [self.byte_id[b] for b in character.encode()]
 
-    def slowly(self, word: str) -> tuple[int, ...]:
+    def slowly(self, word: str) -> bytes:
         """Ids of one word, merge by merge."""
         out: list[int] = []
         for k, part in enumerate(self.kept.split(word) if self.kept else (word,)):
             for piece in [part] if k % 2 else self.merged(part):
                 out += [self.rank[piece][1]] if piece in self.rank else self.spelled(piece)
-        return tuple(out)
+        return _packed(out)
 
     def merged(self, text: str) -> list[str]:
         """The pieces into which a stretch of text merges."""
@@ -358,9 +362,9 @@ class Model:
                 new.append(w)
         if new:
             self.learn(new)
-        out = []
+        out, first, last = [], _packed([self.bos]), _packed([self.eos])
         for x, words in zip(normal, split, strict=True):
-            ids = np.fromiter(chain((self.bos,), chain.from_iterable(map(known.__getitem__, words)), (self.eos,)), dtype="<u4")
+            ids = np.frombuffer(b"".join([first, *map(known.__getitem__, words), last]), dtype="<u4")
             out.append(Encoded(ids, *self.spans(ids, x.align)))
         return out
 
@@ -378,19 +382,27 @@ class Model:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: marks become blanks, one blank at the beginning goes, bytes become characters."""
-        some = ids.tolist()
-        raw = self.raw
-        stretches = [some]
-        if any(c in some[1:-1] for c in self.controls):  # bytes on both sides of a control id make no character together
-            at = [-1, *(k for k, i in enumerate(some) if i in self.controls), len(some)]
-            stretches = [some[a + 1 : b] for a, b in zip(at, at[1:], strict=False)]
-        data = [b"".join([raw[i] for i in stretch]) for stretch in stretches]
-        head = next((i for i in some if raw[i]), None)
+        ids = np.asarray(ids, dtype=np.int64)
+        stretches = [ids]
+        if self.control[ids[1:-1]].any():  # bytes on both sides of a control id make no character together
+            stretches = np.split(ids, np.flatnonzero(self.control[ids]))
+        data = [self._joined(x) if len(x) > 32 else b"".join([self.raw[i] for i in x.tolist()]) for x in stretches]
+        shown = np.flatnonzero(self.raw_size[ids[:8]]) if len(ids) > 8 else np.flatnonzero(self.raw_size[ids])
+        head = int(ids[shown[0]]) if len(shown) else next((i for i in ids.tolist() if self.raw[i]), None)
         if head is not None and (self.normal.dummy or self.normal.squeeze) and self.pieces[head].startswith(MARK):
             k = next(k for k, d in enumerate(data) if d)
             data[k] = data[k][1:]
         return "".join(map(_characters, data))
 
+    def _joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of the pieces in a row: the data of an array of them."""
+        taken = self.table.take(pa.array(ids))
+        return taken.buffers()[2].to_pybytes()[: int(self.raw_size[ids].sum())]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
+
 
 def _characters(data: bytes) -> str:
     """UTF-8 with one replacement character for each byte that begins no character."""
