@@ -105,11 +105,18 @@ class Model:
         if not text.isascii():
             if new := set(text) - self.checked:
                 self.checked |= new
-                self.strange |= {c for c in new if unicodedata.category(c) == "Cn" or self.words.findall(self.normal(f"a{c}b 1{c} .{c}.")) != self.library_words(f"a{c}b 1{c} .{c}.")}
+                self.strange |= set(filter(self.is_strange, new))
             if self.strange and not self.strange.isdisjoint(text):
                 return self.library_words(text)
         return self.words.findall(self.normal(text))
 
+    def is_strange(self, c: str) -> bool:
+        """Does the library treat a character otherwise, alone or, if it is a combining mark, beside marks that NFC orders before or behind it?"""
+        text = f"a{c}b 1{c} .{c}."
+        if unicodedata.category(c) == "Cn" or self.words.findall(self.normal(text)) != self.library_words(text):
+            return True
+        return unicodedata.combining(c) > 0 and any(self.normal(t) != self.library.normalizer.normalize_str(t) for t in (f"x{c}\u0338", f"x\u0345{c}"))
+
     def library_words(self, text: str) -> list[str]:
         plain = self.library.normalizer.normalize_str(text)
         return [plain[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(plain)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -42,6 +43,15 @@ def test_bpe_equals_the_library_on_every_code_point():
     assert [g.tolist() for g in got] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_equals_the_library_on_pairs_of_combining_marks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.Model(path)
+    marks = [chr(c) for c in range(0x30000) if unicodedata.combining(chr(c))]
+    one_of_each_class = list({unicodedata.combining(m): m for m in marks}.values())
+    texts = [x for m in marks for other in one_of_each_class for x in (f"a{m}{other} b", f"é{other}{m}")]
+    assert [g.tolist() for g in own.encode(texts)] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_digests(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, texts = Tokenizer.from_file(path), [*documents(40), *ODD]
