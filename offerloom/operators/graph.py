@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (a temporary one where that is unset) and read back."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="offerloom-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="offerloom-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

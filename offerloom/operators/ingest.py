@@ -133,6 +133,14 @@ def remove_stale(products: DataFrame, history: DataFrame, source: str, batch_tim
     return left, history.join(left.select(F.col("id").alias("product_id")), "product_id", "left_semi")
 
 
+def remove_all_stale(products: DataFrame, history: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """remove_stale for every source of a batch at once: by one join on the newest time that the batch has for each."""
+    newest = batch.groupBy(F.col("source").alias("of")).agg(F.max("scraped_at").alias("newest"))
+    dated = products.join(newest, F.col("source") == F.col("of"), "left")
+    left = dated.where(F.col("newest").isNull() | (F.col("scraped_at") >= F.col("newest"))).drop("of", "newest")
+    return left, history.join(left.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+
+
 def drop_source(products: DataFrame, source: str) -> DataFrame:
     return products.where(F.col("source") != source)
 

@@ -17,7 +17,7 @@ from offerloom.functions import detect, detect_rules, facets, gear, names, parts
 from offerloom.functions import rules as R
 from offerloom.functions.pick import choose_sql, holds_sql, tree_sql
 from offerloom.operators import audit, catalogue, groups, history, ingest, match, serve
-from offerloom.operators.graph import cut
+from offerloom.operators.graph import cut, shared_folder
 from offerloom.plans.titles import GEAR_SQL, NODES, NODES_SQL, TITLES_SQL
 from offerloom.sources import feeds, pages, tables
 from offerloom.streaming import jobs
@@ -750,6 +750,37 @@ def stream_source_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "source", "items")
 
 
+_LANDED = f"SELECT id, source, raw_name AS name, raw_name, price, brand, category, subcategory, pk, CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS scraped_at FROM ({tables.LISTINGS_SQL}) x"
+#: A second look at two shops: every fifth listing is gone, every third has another price.
+_AGAIN = f"SELECT id, source, name, raw_name, CASE WHEN pk % 3 = 0 THEN price + 10 ELSE price END AS price, brand, category, subcategory, pk, CAST('2024-01-02 00:00:00' AS TIMESTAMP) AS scraped_at FROM ({_LANDED}) y WHERE source <> 's2' AND pk % 5 <> 0"
+
+
+@query(f"""WITH a AS ({_LANDED}), b AS ({_AGAIN}), p AS (SELECT id, source, price FROM b UNION ALL SELECT id, source, price FROM a WHERE source = 's2'),
+h AS (SELECT id FROM a UNION ALL SELECT b.id FROM b JOIN a USING (id) WHERE a.price <> b.price)
+SELECT p.id, p.source, p.price, 'mg-' || p.id AS match_group_id, count(*) AS observations FROM p JOIN h USING (id) GROUP BY 1, 2, 3, 4""")
+def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches, the second of which is cut off once before it is done and runs again after it was."""
+    top = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    columns = ("id", "source", "name", "raw_name", "price", "brand", "category", "subcategory", "scraped_at")
+    first, second = (tables.view(spark, folder, sql, "lineitem", "part").select(*columns) for sql in (_LANDED, _AGAIN))
+    put = jobs.ingest_batch(top, clean=ingest.drop_junk_prices)
+
+    def fail(step: str) -> None:
+        if step == "history":
+            raise InterruptedError(step)
+
+    put(first, 0)
+    try:
+        jobs.ingest_batch(top, clean=ingest.drop_junk_prices, finished=fail)(second, 1)
+    except InterruptedError:
+        pass
+    put(second, 1)
+    put(second, 1)
+    made = jobs.committed(spark, top)
+    counted = made["history"].groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("observations"))
+    return made["products"].join(counted, "id").select("id", "source", "price", "match_group_id", "observations")
+
+
 @query(f"""WITH v AS (SELECT DISTINCT product_id, price, recorded_at FROM ({tables.OBSERVATIONS_SQL}) x), w AS (SELECT *, lag(price) OVER (PARTITION BY product_id ORDER BY recorded_at, price) AS before, row_number() OVER (PARTITION BY product_id ORDER BY recorded_at, price) AS r FROM v)
 SELECT product_id, price, recorded_at AS ts FROM w WHERE r = 1 OR price <> before""")
 def stream_price_changes(spark: SparkSession, folder: str) -> DataFrame:

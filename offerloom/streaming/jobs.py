@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from offerloom.operators.graph import cut
 from offerloom.operators.groups import build_match_groups
-from offerloom.operators.ingest import process_batch, remove_stale, upsert
+from offerloom.operators.ingest import process_batch, remove_all_stale, upsert
 from offerloom.sources.tables import write_table
 
 
@@ -46,31 +48,51 @@ def stream_price_changes(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return fresh.groupBy("product_id").applyInPandasWithState(_changes, "product_id long, price long, ts timestamp", "ts timestamp, price long", "append", GroupStateTimeout.NoTimeout)
 
 
-def ingest_batch(folder: str) -> Callable[[DataFrame, int], None]:
+#: The tables of a version, and the record of finished ones: a version counts from its row here on.
+TABLES, COMMITS = ("products", "history", "groups"), "batch_id long, version string, at timestamp"
+
+
+def committed(spark: SparkSession, folder: str, before: int | None = None) -> dict[str, DataFrame] | None:
+    """The tables of the last finished batch (with a number below `before`), None where there is none."""
+    done = spark.read.schema(COMMITS).option("ignoreMissingFiles", "true").parquet(f"{folder}/commits")
+    if before is not None:
+        done = done.where(F.col("batch_id") < before)
+    last = done.orderBy(F.desc("batch_id"), F.desc("at"), "version").first()
+    return last and {t: spark.read.parquet(f"{folder}/{last.version}/{t}") for t in TABLES}
+
+
+def ingest_batch(folder: str, clean: Callable[[DataFrame], DataFrame] = process_batch, finished: Callable[[str], None] = lambda step: None) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: clean a batch, put it into the tables under folder, drop what it made stale, rebuild the groups.
 
-    Tables are written as versions named by the batch id and the newest
-    finished one is read, so a batch that is run again gives the same tables.
+    Each run writes a version of its own, and at the end one row of `commits`
+    makes it the one that counts.  A batch starts from the version committed
+    for a batch before it, never from its own: one that was cut off
+    half-way leaves nothing that is read, and one that runs again, finished
+    or not, gives the same tables.  A batch without rows is committed as well.
+    finished is told the name of each table when it is written.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cleaned = process_batch(batch)
-        now = F.lit(None).cast("timestamp") if cleaned.isEmpty() else F.lit(cleaned.agg(F.max("scraped_at")).first()[0]).cast("timestamp")
-        before = f"{folder}/v{batch_id - 1}"
+        cleaned = cut(clean(batch))
         if batch_id == 0:
+            spark.createDataFrame([], COMMITS).write.mode("append").parquet(f"{folder}/commits")
+        before = committed(spark, folder, batch_id)
+        if before is None:
             empty = cleaned.limit(0).withColumns({"match_group_id": F.lit(None).cast("string"), "updated_at": F.lit(None).cast("timestamp")})
-            current, history = empty, spark.createDataFrame([], "product_id string, price long, recorded_at timestamp")
-        else:
-            current, history = spark.read.parquet(f"{before}/products"), spark.read.parquet(f"{before}/history")
-        products, changed = upsert(current, cleaned, now)
-        history = history.unionByName(changed)
-        for source in [r[0] for r in cleaned.select("source").distinct().collect()]:  # the shops of one batch
-            newest = cleaned.where(F.col("source") == source).agg(F.max("scraped_at")).first()[0]
-            products, history = remove_stale(products, history, source, F.lit(newest))
-        write_table(products, f"{folder}/v{batch_id}/products", ("source",))
-        write_table(history, f"{folder}/v{batch_id}/history")
-        write_table(build_match_groups(spark.read.parquet(f"{folder}/v{batch_id}/products")), f"{folder}/v{batch_id}/groups")
+            before = {"products": empty, "history": spark.createDataFrame([], "product_id string, price long, recorded_at timestamp")}
+        now = F.lit(cleaned.agg(F.max("scraped_at")).first()[0]).cast("timestamp")
+        products, changed = upsert(before["products"], cleaned, now)
+        products, history = remove_all_stale(products, before["history"].unionByName(changed), cleaned)
+        version = f"v{batch_id}-{uuid4().hex}"
+        write_table(products, f"{folder}/{version}/products", ("source",))
+        finished("products")
+        write_table(history, f"{folder}/{version}/history")
+        finished("history")
+        write_table(build_match_groups(spark.read.parquet(f"{folder}/{version}/products")), f"{folder}/{version}/groups")
+        finished("groups")
+        row = spark.range(1).select(F.lit(batch_id).cast("long").alias("batch_id"), F.lit(version).alias("version"), F.current_timestamp().alias("at"))
+        row.coalesce(1).write.mode("append").parquet(f"{folder}/commits")
 
     return run
 

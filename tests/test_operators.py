@@ -262,7 +262,7 @@ def test_stream_ingest(spark, tmp_path):
         batch(spark, rows).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         jobs.stream_ingest(stream, str(tmp_path / "tables"), str(tmp_path / "state")).awaitTermination()
-        read = lambda t, k=k: spark.read.parquet(str(tmp_path / "tables" / f"v{k}" / t))
+        read = lambda t: jobs.committed(spark, str(tmp_path / "tables"))[t]
         products = {r.id: (r.price, r.brand, r.match_group_id) for r in read("products").collect()}
         if k == 0:
             assert products == {"a": (100, "Kingston", "mg-a"), "b": (200, "Kingston", "mg-b")}
@@ -272,6 +272,28 @@ def test_stream_ingest(spark, tmp_path):
             assert read("groups").count() == 2
 
 
+@pytest.mark.parametrize("cut_after", ["products", "history", "groups"])
+def test_a_batch_cut_off_or_run_again_leaves_one_result(spark, tmp_path, cut_after):
+    folder = str(tmp_path)
+
+    def fail(step):
+        if step == cut_after:
+            raise OSError(step)
+
+    state = lambda: {t: sorted(map(str, jobs.committed(spark, folder)[t].drop("updated_at").collect())) for t in ("products", "history", "groups")}
+    jobs.ingest_batch(folder)(batch(spark, [("a", 100, 1), ("b", 200, 1)]), 0)
+    first, second = state(), batch(spark, [("a", 150, 2), ("c", 300, 2)])
+    with pytest.raises(OSError, match=cut_after):
+        jobs.ingest_batch(folder, finished=fail)(second, 1)
+    assert state() == first
+    jobs.ingest_batch(folder)(second, 1)
+    once = state()
+    jobs.ingest_batch(folder)(second, 1)
+    assert state() == once != first and len(once["products"]) == 2 and len(once["history"]) == 3
+    jobs.ingest_batch(folder)(batch(spark, []), 2)
+    assert state() == once
+
+
 def test_stream_price_changes_in_two_runs(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     t = lambda m: datetime.datetime(2024, 1, 1, 0, m)
