@@ -20,7 +20,7 @@ it, and the join is by bucket and node: no key has more than BUCKET leaves.
 
 Work: rows are read once for their hashes, texts go no further.  Rows of about
 100 bytes are sorted once, and each level of the climb moves them once, with
-up to FANOUT digests beside, which neighbours share.  Node rows are a fifteenth of the leaves, their repetitions one
+up to FANOUT digests beside on the first ANCHORED levels.  Node rows are a fifteenth of the leaves, their repetitions one
 for each bucket and level.  The offset table has one row for each range of
 RANGE_ROWS leaves.
 
@@ -46,6 +46,8 @@ from pyspark.sql.window import Window
 from offerloom.llm.lineage import cut, free_name, shared_folder
 
 FANOUT, BUCKET, RANGE_ROWS = 16, 4096, 50_000
+#: Height of the nodes under which leaves share the siblings above.
+ANCHORED = 3
 #: Heights of the tree over the subroots begin here; no tree of a source is as high.
 TOP = 100
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -176,52 +178,60 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, doc_id: str = "d
 
 
 _CLIMB = """
-WITH RECURSIVE climb(at, bucket, step, folded, spot, kids, place, up_height, up_at, subroot) AS (
-  SELECT at, bucket, 0, coalesce(changed, leaf), -1, CAST(NULL AS BINARY), place, up_height, up_at, CASE WHEN sub THEN leaf END FROM {leaves}
+WITH RECURSIVE climb(at, anchor, bucket, step, folded, spot, kids, place, up_height, up_at, subroot, above) AS (
+  SELECT at, anchor, bucket, 0, coalesce(changed, leaf), -1, CAST(NULL AS BINARY), place, up_height, up_at, CASE WHEN sub THEN leaf END, sub FROM {leaves}
   UNION ALL
-  SELECT c.at, c.bucket, c.step + 1,
+  SELECT c.at, c.anchor, c.bucket, c.step + 1,
          unhex(sha2(lower(hex(concat(substring(p.kids, 1, 32 * c.place), c.folded, substring(p.kids, 32 * c.place + 33)))), 256)),
-         c.place, p.kids, p.place, p.up_height, p.up_at, CASE WHEN p.sub THEN p.hash END
+         c.place, CASE WHEN c.above = {above} THEN p.kids END, p.place, p.up_height, p.up_at, CASE WHEN p.sub THEN p.hash END, c.above OR p.sub OR p.height >= {anchored}
   FROM climb c JOIN {nodes} p ON p.bucket = c.bucket AND p.height = c.up_height AND p.node = c.up_at
 )
-SELECT at, bucket, step, folded, spot, kids, subroot FROM climb
+SELECT at, anchor, step, folded, spot, kids, subroot FROM climb
 """
-#: No row limit (the default stops at a million rows); rows keep their order when a step is written, so that nodes above neighbours compress.
-_SETTINGS = {"spark.sql.cteRecursionRowLimit": "-1", "spark.sql.execution.sortBeforeRepartition": "false"}
+#: No row limit: the default stops at a million rows.
+_LIMIT = "spark.sql.cteRecursionRowLimit"
+
+
+def _met(steps: DataFrame, *keys: str) -> DataFrame:
+    """For each leaf that climbed the subroot it passed, the hash it came to and the siblings appended on its way, as text."""
+    text = lambda c: F.lower(F.hex(c))
+    siblings = lambda x: F.concat(F.substring(x["kids"], F.lit(1), x["spot"] * 32), F.substring(x["kids"], x["spot"] * 32 + 33, F.lit(_ALL)))
+    path = F.array_sort(F.collect_list(F.when(F.col("kids").isNotNull(), F.struct("step", "spot", "kids"))))
+    found = steps.groupBy(*keys).agg(F.max("subroot").alias("subroot"), F.max_by("folded", "step").alias("folded"), path.alias("path"))
+    return found.withColumn("siblings", F.aggregate("path", F.lit(""), lambda a, x: F.concat(a, text(siblings(x))))).drop("path")
 
 
 def proofs(m: Manifest) -> DataFrame:
     """id, leaf, subroot, root, proof_sha256, folded_root and verified of every leaf, all hashes as hex.
 
-    The recursive query gives, for each leaf and step of its climb, the folded
-    hash and the hashes that it met, of which all but its own at `spot` are
-    the siblings appended there.
+    The recursive query climbs with every leaf to the root.  Leaves under one
+    anchor, the node of height ANCHORED above them or the subroot below that, have the same siblings
+    from there on: these are appended on the climb of the anchor's first leaf
+    alone, the ones below the anchor on each leaf's own.  So what a leaf
+    carries does not grow with the table.
     """
     spark = m.leaves.sparkSession
-    names = {k: f"merkle_{k}_{uuid4().hex}" for k in ("leaves", "nodes")}
-    m.leaves.withColumn("at", F.col("first")).createOrReplaceTempView(names["leaves"])
+    leaves = m.leaves.withColumns({"at": F.col("first"), "anchor": F.col("first") - (F.col("first") - F.col("start")) % FANOUT**ANCHORED})
+    names = {k: f"merkle_{k}_{uuid4().hex}" for k in ("leaves", "firsts", "nodes")}
+    leaves.createOrReplaceTempView(names["leaves"])
+    leaves.where("at = anchor").createOrReplaceTempView(names["firsts"])
     cut(spread(m.nodes, "first", "last")).createOrReplaceTempView(names["nodes"])
-    before = {k: spark.conf.get(k) for k in _SETTINGS}
-    for k, v in _SETTINGS.items():
-        spark.conf.set(k, v)
+    climb = lambda of, above: spark.sql(_CLIMB.format(leaves=names[of], nodes=names["nodes"], above=above, anchored=ANCHORED))
+    before = spark.conf.get(_LIMIT)
+    spark.conf.set(_LIMIT, "-1")
     try:
-        steps = spark.sql(_CLIMB.format(**names))
-        met = F.struct("step", "spot", "kids")
-        found = steps.groupBy("bucket", "at").agg(
-            F.max("subroot").alias("subroot"), F.max_by("folded", "step").alias("folded"), F.array_sort(F.collect_list(F.when(F.col("kids").isNotNull(), met))).alias("path")
-        )
-        text = lambda c: F.lower(F.hex(c))
-        siblings = lambda x: F.concat(F.substring(x["kids"], F.lit(1), x["spot"] * 32), F.substring(x["kids"], x["spot"] * 32 + 33, F.lit(_ALL)))
-        proof = F.sha2(F.aggregate("path", F.lit(""), lambda a, x: F.concat(a, text(siblings(x)))), 256)
-        got = cut(found.select("bucket", "at", F.unhex(proof).alias("proof"), "folded", "subroot"))
+        shared = cut(_met(climb("firsts", "true"), "anchor").select("anchor", F.col("siblings").alias("rest")))
+        own = _met(climb("leaves", "false").repartition("anchor"), "anchor", "at")
+        proof = F.unhex(F.sha2(F.concat("siblings", "rest"), 256))
+        got = cut(own.join(shared, "anchor").select("at", proof.alias("proof"), "folded", "subroot"))
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_LIMIT, before)
         for name in names.values():
             spark.catalog.dropTempView(name)
+    text = lambda c: F.lower(F.hex(c))
     root = F.lit(m.root).cast("string")
-    own = m.leaves.select("id", "leaf", "bucket", F.col("first").alias("at")).join(got, ["bucket", "at"])
-    return own.select("id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
+    every = leaves.select("id", "leaf", "at").join(got, "at")
+    return every.select("id", text("leaf").alias("leaf"), text("subroot").alias("subroot"), root.alias("root"), text("proof").alias("proof_sha256"), text("folded").alias("folded_root"), (text("folded") == root).alias("verified"))
 
 
 def verified(docs: DataFrame, tampered: dict[str, Column] | None = None, when: Column | None = None, fields: tuple[str, ...] = FIELDS, doc_id: str = "doc_id", source: str = "source") -> DataFrame:

@@ -65,9 +65,20 @@ def many_rows():
 @pytest.mark.parametrize("rows", [[], many_rows()[:1], many_rows(), [(i, "a", "e", 2, "T" * (i % 3)) for i in range(300)]], ids=["none", "one", "many", "one source"])
 def test_manifest_equals_brute_force(spark, rows):
     docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, leaf string")
-    before = {k: spark.conf.get(k) for k in merkle._SETTINGS}
+    before = spark.conf.get(merkle._LIMIT)
+    got = merkle.verified(docs, *merkle.tampering(F.col("doc_id"), F.col("text"))).collect()
+    assert spark.conf.get(merkle._LIMIT) == before
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, proofs_of(rows)))
+
+
+@pytest.mark.parametrize("anchored", [1, 2])
+def test_shared_siblings_of_low_anchors(spark, monkeypatch, anchored):
+    """The same proofs whatever the height from which siblings are shared, and with small buckets."""
+    monkeypatch.setattr(merkle, "ANCHORED", anchored)
+    monkeypatch.setattr(merkle, "BUCKET", 32)
+    rows = many_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string")
     got = merkle.verified(docs, *merkle.tampering(F.col("doc_id"), F.col("text"))).collect()
-    assert {k: spark.conf.get(k) for k in merkle._SETTINGS} == before
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, proofs_of(rows)))
 
 
