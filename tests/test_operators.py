@@ -72,7 +72,7 @@ def test_cpu_models_and_markers(spark):
 def test_graphics_cards(spark):
     rows = ["微星 RTX 5060 Ti VENTUS 2X OC 8G", "MSI RTX5060Ti Ventus 2X OC 8GB $12,900", "華碩 DUAL RTX4060 O8G EVO", "Leadtek RTX A2000 12G", "RX7900XTX NITRO+ 24G", "RTX 5070 12G", "MSI 950W box", None]
     assert each(spark, parts.gpu_sku_key(F.col("x")), rows) == ["RTX5060TI-VENTUS2X-8G-OC", "RTX5060TI-VENTUS2X-8G-OC", "RTX4060-DUAL-8G-OC-REV", "RTXA2000-PRO-12G", "RX7900XTX-NITRO+-24G", None, None, None]
-    assert each(spark, parts.gpu_path(F.col("x")), rows) == ["NVIDIA RTX 50系列 > RTX 5060 Ti > 8G > MSI", "NVIDIA RTX 50系列 > RTX 5060 Ti > 8G > MSI", "NVIDIA RTX 40系列 > RTX 4060 > ASUS", "NVIDIA 專業繪圖卡 > RTX A2000 > Leadtek", "AMD RX 7000系列 > RX 7900 XTX", "NVIDIA RTX 50系列 > RTX 5070", None, None]
+    assert each(spark, parts.gpu_path(F.col("x")), rows) == ["NVIDIA RTX 50系列 > RTX 5060 Ti > 8G > MSI", "NVIDIA RTX 50系列 > RTX 5060 Ti > 8G > MSI", "NVIDIA RTX 40系列 > RTX 4060 > ASUS", "NVIDIA 專業繪圖卡 > RTX A2000 > Leadtek", "其他系列 > RX 7900 XTX", "NVIDIA RTX 50系列 > RTX 5070", None, None]
 
 
 def test_processor_and_board_paths(spark):
