@@ -6,7 +6,7 @@ clearance rate for each rule is fitted by expectation-maximisation to the
 counts of vote patterns over all documents, and a document is kept when its
 posterior probability of being good is at least a half (a parameter).
 
-Work: one Arrow pass over the texts gives the numbers, a ``groupBy`` on the
+Work: an Arrow pass over the texts for the fit and one for the verdicts give the numbers, a ``groupBy`` on the
 vote pattern with map-side sums gives at most ``3 ** len(rules)`` rows, the
 fit runs on those rows alone, and its result is a sum of literals.  Nothing is
 shuffled but the pattern counts, so neither skew nor very long texts matter.

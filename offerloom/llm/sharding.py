@@ -8,8 +8,9 @@ until it falls below N.  The permuted number p gives shard p mod S and slot
 p div S, so shard sizes differ by one at most, slots have no gaps, and both
 can be computed for any row number without looking at other rows.
 
-Work, all in DataFrame functions: the texts are read once for size and
-checksum and go no further; equal rows are counted together before any
+Work, all in DataFrame functions: the texts are read for size and
+checksum, once for the count, once for the numbers and once for the sizes of the
+ranges, and go no further; equal rows are counted together before any
 shuffle, so repeated rows cannot make a partition large; numbering is a window
 inside hash ranges of about RANGE_ROWS rows plus an offset table with one row
 for each range.
