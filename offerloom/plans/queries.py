@@ -392,7 +392,29 @@ def fuzzy_groups(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("group_key").agg(F.count("*").alias("n")).agg(F.count("*").alias("groups"), F.sum("n").alias("members"))
 
 
-@query()
+def _greedy_sql(nodes: str, pairs: str) -> str:
+    """grown(k, members): the greedy groups over nodes(id, source, price) in the order of ids, one node after the other."""
+    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM {nodes} WHERE id IN (SELECT a FROM {pairs} UNION SELECT b FROM {pairs})),
+later AS (SELECT x.r, list(struct_pack(r := [y.r], s := [y.source], lo := y.price, hi := y.price) ORDER BY y.r) AS them FROM {pairs} p JOIN ordered x ON x.id = p.a JOIN ordered y ON y.id = p.b GROUP BY x.r),
+steps AS (SELECT o.r, struct_pack(r := [o.r], s := [o.source], lo := o.price, hi := o.price) AS me, coalesce(them, []) AS them FROM ordered o LEFT JOIN later USING (r)),
+grown(k, taken, members) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
+  UNION ALL SELECT k + 1, CASE WHEN len(g) > 1 THEN list_concat(taken, g) ELSE taken END, g FROM (
+    SELECT k, taken, CASE WHEN list_contains(taken, k + 1) THEN CAST([] AS BIGINT[]) ELSE list_reduce(list_concat([me], list_filter(them, lambda c: NOT list_contains(taken, c.r[1]))),
+      lambda x, y: CASE WHEN list_contains(x.s, y.s[1]) OR (least(x.lo, y.lo) > 0 AND greatest(x.hi, y.hi) > 1.6 * least(x.lo, y.lo)) THEN x
+        ELSE struct_pack(r := list_concat(x.r, y.r), s := list_concat(x.s, y.s), lo := least(x.lo, y.lo), hi := greatest(x.hi, y.hi)) END).r END AS g
+    FROM grown JOIN steps ON steps.r = k + 1) step),
+found AS (SELECT k AS seed, unnest(members) AS r FROM grown WHERE len(members) > 1)"""
+
+
+_SAME = "upper('NAME-' || category || '-' || brand || '-' || list_aggregate(list_sort(list_distinct(regexp_extract_all(replace(upper(name), upper(brand), ' '), '[A-Za-z0-9]+'))), 'string_agg', ''))"
+_NEAR_PAIRS = f"""n AS (SELECT *, {_CLEAN} || ' PN' || pk || ' MK' || pk || ' QX' || pk AS name FROM ({_NEAR}) near), keyed AS (SELECT *, replace({_SAME}, ' ', '') AS key FROM n),
+shared AS (SELECT key FROM keyed GROUP BY key HAVING count(DISTINCT source) > 1), rest AS (SELECT * FROM keyed WHERE key NOT IN (SELECT key FROM shared)),
+{_PAIRS.replace("FROM c WHERE", "FROM c WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest) AND")}"""
+
+
+@query(f"""WITH RECURSIVE {_NEAR_PAIRS}, {_greedy_sql('rest', 'pairs')}
+SELECT id, key AS group_key FROM keyed WHERE key IN (SELECT key FROM shared)
+UNION ALL SELECT o.id, n.group_key FROM found f JOIN ordered o USING (r) JOIN (SELECT seed, string_agg(id, '-' ORDER BY r) AS group_key FROM found JOIN ordered USING (r) GROUP BY seed) n USING (seed)""")
 def match_listings(spark: SparkSession, folder: str) -> DataFrame:
     return match.match_listings(_near(spark, folder))
 
@@ -426,20 +448,6 @@ def class_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("a_id", "b_id", "a_n", "b_n", F.round("similarity", 6).alias("similarity"))
 
 
-def _greedy_sql(nodes: str, pairs: str) -> str:
-    """grown(k, members): the greedy groups over nodes(id, source, price) in the order of ids, one node after the other."""
-    return f"""ordered AS (SELECT *, row_number() OVER (ORDER BY id) AS r FROM {nodes} WHERE id IN (SELECT a FROM {pairs} UNION SELECT b FROM {pairs})),
-later AS (SELECT x.r, list(struct_pack(r := [y.r], s := [y.source], lo := y.price, hi := y.price) ORDER BY y.r) AS them FROM {pairs} p JOIN ordered x ON x.id = p.a JOIN ordered y ON y.id = p.b GROUP BY x.r),
-steps AS (SELECT o.r, struct_pack(r := [o.r], s := [o.source], lo := o.price, hi := o.price) AS me, coalesce(them, []) AS them FROM ordered o LEFT JOIN later USING (r)),
-grown(k, taken, members) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[])
-  UNION ALL SELECT k + 1, CASE WHEN len(g) > 1 THEN list_concat(taken, g) ELSE taken END, g FROM (
-    SELECT k, taken, CASE WHEN list_contains(taken, k + 1) THEN CAST([] AS BIGINT[]) ELSE list_reduce(list_concat([me], list_filter(them, lambda c: NOT list_contains(taken, c.r[1]))),
-      lambda x, y: CASE WHEN list_contains(x.s, y.s[1]) OR (least(x.lo, y.lo) > 0 AND greatest(x.hi, y.hi) > 1.6 * least(x.lo, y.lo)) THEN x
-        ELSE struct_pack(r := list_concat(x.r, y.r), s := list_concat(x.s, y.s), lo := least(x.lo, y.lo), hi := greatest(x.hi, y.hi)) END).r END AS g
-    FROM grown JOIN steps ON steps.r = k + 1) step),
-found AS (SELECT k AS seed, unnest(members) AS r FROM grown WHERE len(members) > 1)"""
-
-
 #: A fixture for greedy choices: neighbours by name differ from listing to listing, and prices close groups.
 _MIXED = f"""SELECT id, source, category, brand, pk, concat(p_name, ' ', brand, ' size', CAST(p_size AS STRING), ' M', CAST(pk % 4 AS STRING), ' boxed') AS name,
   CAST(floor(p_retailprice * (1 + 0.17 * CAST(substr(source, 2) AS INT) * (pk % 3))) AS BIGINT) AS price FROM ({tables.LISTINGS_SQL}) listing JOIN part ON p_partkey = pk"""
@@ -460,7 +468,6 @@ def greedy_groups(spark: SparkSession, folder: str) -> DataFrame:
     return match.fuzzy_groups(mixed, match.candidate_pairs(mixed))
 
 
-_SAME = "upper('NAME-' || category || '-' || brand || '-' || list_aggregate(list_sort(list_distinct(regexp_extract_all(replace(upper(name), upper(brand), ' '), '[A-Za-z0-9]+'))), 'string_agg', ''))"
 _LEFT_PAIRS = _MIXED_PAIRS.replace("pairs AS (SELECT a, b FROM m WHERE", "keyed AS (SELECT *, replace(" + _SAME + ", ' ', '') AS key FROM k), shared AS (SELECT key FROM keyed GROUP BY key HAVING count(DISTINCT source) > 1), rest AS (SELECT * FROM keyed WHERE key NOT IN (SELECT key FROM shared)), pairs AS (SELECT a, b FROM m WHERE a IN (SELECT id FROM rest) AND b IN (SELECT id FROM rest) AND")
 
 
