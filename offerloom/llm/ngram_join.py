@@ -82,7 +82,7 @@ GROUP_BYTES = 6 << 20
 SCANNED, RESALTED = 8192, 3
 #: Near sets of another component that a scan proposes for a set, round by round; at last all.
 NEAREST = (16, 1024, None)
-#: Rows up to which a table of row keys and names is broadcast (48 bytes each); beyond, a shuffled join does it.
+#: Rows up to which a table of row keys and names is broadcast (64 bytes each); beyond, a shuffled join does it.
 BROADCAST_ROWS = 300_000
 
 def ngram_sets(text: pa.Array, width: int):
@@ -234,13 +234,12 @@ def _packed_keys(width: int, percent: int, ranges: int, salt: int):
             part = ((key >> tb.U64(32)) * tb.U64(ranges) >> tb.U64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             key, who, part = key[order], who[order], part[order]
-            cuts = np.searchsorted(part, np.arange(ranges + 1))
+            filled, cuts = np.unique(part, return_index=True)
             rows = []
-            for r in range(ranges):
-                if (lo := cuts[r]) < (hi := cuts[r + 1]):
-                    first = np.flatnonzero(np.diff(who[lo:hi], prepend=-1))
-                    count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
-                    rows.append((r, name[who[lo:hi][first]].tobytes(), count.tobytes(), key[lo:hi].tobytes()))
+            for r, lo, hi in zip(filled.tolist(), cuts, np.append(cuts[1:], len(part)), strict=True):
+                first = np.flatnonzero(np.diff(who[lo:hi], prepend=-1))
+                count = np.diff(np.append(first, hi - lo)).astype(np.uint32)
+                rows.append((r, name[who[lo:hi][first]].tobytes(), count.tobytes(), key[lo:hi].tobytes()))
             del key, who, keys, owner
             tb.released()
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "sets", "counts", "keys"])
@@ -414,8 +413,10 @@ class _Join:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """A number of a row by which its text is found again; the text found is held against the set's name."""
-    return F.xxhash64(doc_id.cast("string"), text)
+    """16 bytes by which the text of a row is found again; the text found is held against the set's name."""
+    row = (doc_id.isNull(), doc_id.cast("string"), text.isNull(), text)
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(k), *row)), 16, "0") for k in (0, 1)]
+    return F.unhex(F.concat(*halves))
 
 
 def _near(percent: int):
