@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.types import LongType, StructField, StructType
 
 from offerloom.operators.graph import cut
 from offerloom.operators.groups import build_match_groups
@@ -21,31 +23,63 @@ def stream_source_counts(stream: DataFrame, window: str = "30 minutes", late: st
     return stream.withWatermark("ts", late).groupBy(F.window("ts", window), "source").agg(F.count("*").alias("items")).select(F.col("window.start").alias("start"), "source", "items")
 
 
-def _changes(key: tuple, batches, state: GroupState):
-    last_ts, last_price = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["ts", "price"], kind="stable")
-    out = []
-    for ts, price in zip(rows["ts"], rows["price"], strict=True):
-        if last_ts is not None and ts < last_ts:
-            continue
-        if price != last_price:
-            out.append((key[0], int(price), ts))
-        last_ts, last_price = ts, int(price)
-    if last_ts is not None:
-        state.update((last_ts.to_pydatetime() if hasattr(last_ts, "to_pydatetime") else last_ts, last_price))
-    yield pd.DataFrame(out, columns=["product_id", "price", "ts"])
+#: The store in which stateful streams keep what they know: on disk, so that state may outgrow an executor's memory.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+CHANGES = "product_id long, price long, ts timestamp"
 
 
-def stream_price_changes(stream: DataFrame, late: str = "1 hour") -> DataFrame:
+class LastPrice(StatefulProcessor):
+    """The last price of a product and its time, forgotten once the product was idle for so many milliseconds."""
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", StructType([StructField("at", LongType()), StructField("price", LongType())]))
+
+    def handleInputRows(self, key, rows, timerValues):
+        seen = pd.concat(list(rows)).sort_values(["at", "price"], kind="stable", ignore_index=True)
+        at, last = self.last.get() if self.last.exists() else (None, None)
+        if at is not None:
+            seen = seen[seen["at"] >= at]
+        if len(seen):
+            price = seen["price"].astype("Int64")
+            before = price.shift()
+            before.iloc[0] = pd.NA if last is None else last
+            same = ((price == before) | (price.isna() & before.isna())).fillna(False)
+            if at is None:
+                same.iloc[0] = False
+            at, last = int(seen["at"].iloc[-1]), price.iloc[-1]
+            self.last.update((at, None if pd.isna(last) else int(last)))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(at // 1000 + self.idle_ms)
+            yield pd.DataFrame({"product_id": key[0], "price": price, "ts": seen["ts"]})[~same.astype(bool)]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame({"product_id": pd.Series(dtype="int64"), "price": pd.Series(dtype="Int64"), "ts": pd.Series(dtype="datetime64[ns]")})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_price_changes(stream: DataFrame, late: str = "1 hour", idle: timedelta = timedelta(days=365)) -> DataFrame:
     """(product_id, price, ts) when a product's price differs from its last one.
 
     The last price and its time are the state of each product.  Observations
     are taken in time order within a micro-batch; one that is older than the
-    product's last is late and ignored, as is one repeated within the
-    watermark.
+    product's last, or later than the watermark, is ignored, as is one
+    repeated within the watermark.  A product of which nothing came for `idle`,
+    in event time, is forgotten: what comes then is its first price again, and
+    the state holds only products seen within that time.  A null price is a
+    price like any other.  Sets the session's state store to STATE_STORE.
     """
+    stream.sparkSession.conf.set(*STATE_STORE)
     fresh = stream.select("product_id", "price", "ts").withWatermark("ts", late).dropDuplicatesWithinWatermark(["product_id", "price", "ts"])
-    return fresh.groupBy("product_id").applyInPandasWithState(_changes, "product_id long, price long, ts timestamp", "ts timestamp, price long", "append", GroupStateTimeout.NoTimeout)
+    fresh = fresh.withColumn("at", F.unix_micros("ts"))
+    return fresh.groupBy("product_id").transformWithStateInPandas(LastPrice(int(idle.total_seconds() * 1000)), CHANGES, "append", "eventtime")
 
 
 #: The tables of a version, and the record of finished ones: a version counts from its row here on.

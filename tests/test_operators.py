@@ -305,6 +305,25 @@ def test_stream_price_changes_in_two_runs(spark, tmp_path):
     assert sorted((r.product_id, r.price, r.ts.minute) for r in spark.read.parquet(out).collect()) == [(1, 5, 0), (1, 6, 2), (1, 7, 4), (2, 1, 0)]
 
 
+def test_idle_products_are_forgotten_and_late_rows_ignored(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    t = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    schema = "product_id long, price long, ts timestamp"
+    # 1 is idle from 0 to 11 o'clock; 2 is seen at every run; 3 has no price twice; the row of 2 at 1 o'clock is late.
+    runs = [[(1, 5, t(0)), (2, 8, t(0)), (3, None, t(0)), (3, None, t(0, 1)), (3, 4, t(0, 2))], [(2, 8, t(2)), (2, 8, t(2))], [(2, 8, t(4)), (2, 9, t(1)), (3, 4, t(4))], [(1, 5, t(11)), (2, 8, t(5)), (2, 8, t(11))]]
+    for rows in runs:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        changes = jobs.stream_price_changes(spark.readStream.schema(schema).parquet(source), late="1 hour", idle=datetime.timedelta(hours=3))
+        q = changes.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).format("parquet").option("path", out).start()
+        q.awaitTermination()
+    got = sorted((r.product_id, -1 if r.price is None else r.price, r.ts.hour) for r in spark.read.parquet(out).collect())
+    # Product 3 came again at 4 before the watermark, then at 1, had passed the three hours after its last row.
+    assert got == [(1, 5, 0), (1, 5, 11), (2, 8, 0), (3, -1, 0), (3, 4, 0)]
+    # The last run's watermark, 10 o'clock, has emptied the state but for products seen at 11.
+    state = spark.read.format("statestore").option("path", str(tmp_path / "state")).option("operatorId", 0).option("stateVarName", "last").load()
+    assert {r.key[0] for r in state.collect()} == {1, 2}
+
+
 def test_audit_samples_and_groups(spark):
     rows = [(*listing("a", "s1", "long enough", 10, "other"), "g", "x"), (*listing("b", "s2", "long enough", 100, "package"), "g", None)]
     df = spark.createDataFrame(rows, SCHEMA + ", match_group_id string, subcategory string")
