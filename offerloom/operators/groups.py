@@ -28,6 +28,22 @@ def build_match_groups(listings: DataFrame) -> DataFrame:
     )
 
 
+def refresh_match_groups(stored: DataFrame, listings: DataFrame, touched: DataFrame) -> DataFrame:
+    """build_match_groups(listings), from its stored result and the groups that changed since.
+
+    stored: the groups as they were; listings: all listings as they are;
+    touched: match_group_id of every listing that came, went or changed, once
+    for each group that it was or is in (repeated rows and null ids do no
+    harm).  Only members of those groups are aggregated; a group without
+    members is gone.  The ids of the touched groups are what is joined, so the
+    work beside one scan of each table follows the change.
+    """
+    ids = touched.select("match_group_id").distinct()
+    again = build_match_groups(listings.join(ids, listings["match_group_id"].eqNullSafe(ids["match_group_id"]), "left_semi"))
+    same = stored.join(ids, stored["id"].eqNullSafe(ids["match_group_id"]), "left_anti")
+    return same.unionByName(again)
+
+
 def group_records(listings: DataFrame) -> DataFrame:
     """Lowest and highest price over all members, their difference, member count and the first shortest name."""
     return listings.groupBy(F.col("match_group_id").alias("id")).agg(
