@@ -565,12 +565,22 @@ def filter_listings(spark: SparkSession, folder: str) -> DataFrame:
     return serve.filter_listings(offers(spark, folder), f).select("id", "price")
 
 
-@query(f"""WITH {_GROUPS} SELECT id, lowest_price FROM grp WHERE lowest_price >= 500 AND has_multiple_sources = 1
-AND id IN (SELECT gid FROM g WHERE source = 's1') AND id IN (SELECT gid FROM g WHERE in_stock)""")
+#: Offers in one group for each part: unlike exact names, these groups have members of several shops.
+_BY_PART = f"""{_OFFERS}, bp AS (SELECT *, 'part-' || CAST(pk AS VARCHAR) AS gid FROM o),
+low AS (SELECT gid, source, min(price) AS low FROM bp GROUP BY gid, source),
+made AS (SELECT gid AS id, min(low) AS lowest_price, max(low) AS highest_price, CAST(count(*) > 1 AS INT) AS has_multiple_sources FROM low GROUP BY gid)"""
+
+
+def _by_part(spark: SparkSession, folder: str) -> DataFrame:
+    return offers(spark, folder).withColumn("match_group_id", F.concat(F.lit("part-"), F.col("pk").cast("string")))
+
+
+@query(f"""WITH {_BY_PART} SELECT id, lowest_price, highest_price FROM made WHERE lowest_price >= 500 AND has_multiple_sources = 1
+AND id IN (SELECT gid FROM bp WHERE source = 's1') AND id IN (SELECT gid FROM bp WHERE NOT in_stock) AND id IN (SELECT gid FROM bp WHERE size = '11')""")
 def filter_groups(spark: SparkSession, folder: str) -> DataFrame:
-    g = grouped(spark, folder)
-    f = serve.Filters(min_price=500, has_multiple_sources=True, source="s1", in_stock=True)
-    return serve.filter_groups(groups.build_match_groups(g), g, f).select("id", "lowest_price")
+    g = _by_part(spark, folder)
+    f = serve.Filters(min_price=500, has_multiple_sources=True, source="s1", in_stock=False, facets={"size": "11"})
+    return serve.filter_groups(groups.build_match_groups(g), g, f).select("id", "lowest_price", "highest_price")
 
 
 @query(f"WITH {_OFFERS} SELECT id, price FROM o ORDER BY price DESC, id LIMIT 50 OFFSET 100")
@@ -662,6 +672,25 @@ def rebuild(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.rebuild(o)[1]
 
 
+#: Three changes to the offers by part, one after the other: some prices of s0, some listings of s1 gone, and those of a part that only s2 had.
+_CHANGES = ("source = 's0' AND pk % 50 = 0", "source = 's1' AND pk % 70 = 0", "source = 's2' AND pk % 90 = 0")
+
+
+@query(f"""WITH {_BY_PART}, after AS (SELECT gid, source, CASE WHEN {_CHANGES[0]} THEN price + 7 ELSE price END AS price FROM bp WHERE NOT ({_CHANGES[1]}) AND NOT ({_CHANGES[2]})),
+each AS (SELECT gid, source, min(price) AS low FROM after GROUP BY gid, source)
+SELECT gid AS id, min(low) AS lowest_price, max(low) AS highest_price, CAST(count(*) > 1 AS INT) AS has_multiple_sources FROM each GROUP BY gid""")
+def refresh_match_groups(spark: SparkSession, folder: str) -> DataFrame:
+    now = _by_part(spark, folder)
+    stored = groups.build_match_groups(now)
+    dearer, *gone = _CHANGES
+    steps = [lambda df: df.withColumn("price", F.when(F.expr(dearer), F.col("price") + 7).otherwise(F.col("price"))), *[lambda df, c=c: df.where(~F.expr(c)) for c in gone]]
+    for condition, step in zip(_CHANGES, steps, strict=True):
+        changed = now.where(condition).select("match_group_id")
+        now = step(now)
+        stored = cut(groups.refresh_match_groups(stored, now, changed))
+    return stored.select("id", "lowest_price", "highest_price", "has_multiple_sources")
+
+
 # Quality -------------------------------------------------------------------
 
 
@@ -678,6 +707,29 @@ def run_audit(spark: SparkSession, folder: str) -> DataFrame:
     return audit.run_audit(g, groups.build_match_groups(g))
 
 
+#: Listings with faults: packages and cables without a path, conditions outside packages, prices far apart, one model in several groups.
+_FAULTY = """SELECT concat('a', CAST(p_partkey AS STRING)) AS id, concat('s', CAST(p_partkey % 3 AS STRING)) AS source, p_name AS name, p_name AS raw_name, 100 + 10 * CAST(p_size AS BIGINT) AS price,
+CASE p_partkey % 5 WHEN 0 THEN 'package' WHEN 1 THEN 'cable' WHEN 2 THEN 'gpu' WHEN 3 THEN 'cpu' ELSE 'mouse' END AS category,
+CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 <> 1 THEN 'path' END AS subcategory, 'AMD' AS brand, concat('m', CAST(p_partkey % 60 AS STRING)) AS model,
+concat('g', CAST(p_partkey % 90 AS STRING)) AS match_group_id, CASE WHEN p_partkey % 7 = 0 THEN '搭板價' END AS condition FROM part"""
+
+
+@query(f"""WITH f AS ({_FAULTY}), low AS (SELECT match_group_id, source, min(price) AS low FROM f GROUP BY 1, 2),
+spread AS (SELECT match_group_id FROM low GROUP BY 1 HAVING count(*) > 1 AND max(low) > 1.8 * min(low)),
+model AS (SELECT brand, model FROM f WHERE category = 'cpu' AND condition IS NULL GROUP BY 1, 2 HAVING count(DISTINCT match_group_id) > 1)
+SELECT 'package_without_subcategory' AS "check", count(*) AS count FROM f WHERE category = 'package' AND coalesce(subcategory, '') = ''
+UNION ALL SELECT 'cable_without_subcategory', count(*) FROM f WHERE category = 'cable' AND coalesce(subcategory, '') = ''
+UNION ALL SELECT 'condition_outside_package', count(*) FROM f WHERE category <> 'package' AND condition IS NOT NULL
+UNION ALL SELECT 'non_bundles', count(*) FROM f WHERE category = 'package' AND condition IS NULL
+UNION ALL SELECT 'price_spread', count(*) FROM spread UNION ALL SELECT 'model_split', count(*) FROM model""")
+def audit_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """The checks that find nothing in the offers, over listings with planted faults."""
+    f = tables.view(spark, folder, _FAULTY, "part")
+    f = cut(f.withColumns({"specs": F.when(F.col("condition").isNotNull(), F.create_map(F.lit("priceCondition"), F.col("condition"))), "bundle_reason": F.lit(None).cast("string")}))
+    found = audit.run_audit(f, groups.build_match_groups(f))
+    return found.where(F.col("check").isin("package_without_subcategory", "cable_without_subcategory", "condition_outside_package", "non_bundles", "price_spread", "model_split")).select("check", "count")
+
+
 # Monitor catalogue ----------------------------------------------------------
 
 _BASE = "concat('mk', CAST(10000 + p_partkey AS STRING))"
