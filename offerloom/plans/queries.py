@@ -575,11 +575,11 @@ def _by_part(spark: SparkSession, folder: str) -> DataFrame:
     return offers(spark, folder).withColumn("match_group_id", F.concat(F.lit("part-"), F.col("pk").cast("string")))
 
 
-@query(f"""WITH {_BY_PART} SELECT id, lowest_price, highest_price FROM made WHERE lowest_price >= 500 AND has_multiple_sources = 1
+@query(f"""WITH {_BY_PART} SELECT id, lowest_price, highest_price FROM made WHERE lowest_price >= 100 AND has_multiple_sources = 1
 AND id IN (SELECT gid FROM bp WHERE source = 's1') AND id IN (SELECT gid FROM bp WHERE NOT in_stock) AND id IN (SELECT gid FROM bp WHERE size = '11')""")
 def filter_groups(spark: SparkSession, folder: str) -> DataFrame:
     g = _by_part(spark, folder)
-    f = serve.Filters(min_price=500, has_multiple_sources=True, source="s1", in_stock=False, facets={"size": "11"})
+    f = serve.Filters(min_price=100, has_multiple_sources=True, source="s1", in_stock=False, facets={"size": "11"})
     return serve.filter_groups(groups.build_match_groups(g), g, f).select("id", "lowest_price", "highest_price")
 
 
@@ -708,10 +708,10 @@ def run_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Listings with faults: packages and cables without a path, conditions outside packages, prices far apart, one model in several groups.
-_FAULTY = """SELECT concat('a', CAST(p_partkey AS STRING)) AS id, concat('s', CAST(p_partkey % 3 AS STRING)) AS source, p_name AS name, p_name AS raw_name, 100 + 10 * CAST(p_size AS BIGINT) AS price,
+_FAULTY = """SELECT concat('a', CAST(p_partkey AS STRING)) AS id, concat('s', CAST(p_partkey % 3 AS STRING)) AS source, p_name AS name, p_name AS raw_name, 10 * CAST(p_size AS BIGINT) AS price,
 CASE p_partkey % 5 WHEN 0 THEN 'package' WHEN 1 THEN 'cable' WHEN 2 THEN 'gpu' WHEN 3 THEN 'cpu' ELSE 'mouse' END AS category,
 CASE WHEN p_partkey % 4 = 0 THEN '' WHEN p_partkey % 4 <> 1 THEN 'path' END AS subcategory, 'AMD' AS brand, concat('m', CAST(p_partkey % 60 AS STRING)) AS model,
-concat('g', CAST(p_partkey % 90 AS STRING)) AS match_group_id, CASE WHEN p_partkey % 7 = 0 THEN '搭板價' END AS condition FROM part"""
+concat('g', CAST(p_partkey % 100 AS STRING)) AS match_group_id, CASE WHEN p_partkey % 7 = 0 THEN '搭板價' END AS condition FROM part"""
 
 
 @query(f"""WITH f AS ({_FAULTY}), low AS (SELECT match_group_id, source, min(price) AS low FROM f GROUP BY 1, 2),
