@@ -65,6 +65,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.window import Window
 
 from offerloom.llm import textbuf as tb
 from offerloom.llm.components import components
@@ -371,9 +372,9 @@ class _Join:
         hubs = open_.where("long").select("a", "la")
         split = pairs.where("long").join(hubs, "a").select("a", "b", F.col("lb").alias("label"))
         split = gathered(split.union(hubs.select("a", F.col("a").alias("b"), F.col("la").alias("label"))))
-        own = split.groupBy("b").agg(F.min("a").alias("c"), F.first("label").alias("label"))
-        by_hub = own.select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", F.col("b").alias("c"), "label")
-        listed = split.join(own.select("b", "c"), "b")
+        # A set is in as many lists as it has keys at most, so its rows fit a window.
+        listed = split.withColumn("c", F.min("a").over(Window.partitionBy("b")))
+        by_hub = listed.where("a = c").select(F.lit(0).alias("kind"), F.col("c").alias("g"), "b", F.col("b").alias("c"), "label")
         spread = listed.groupBy("a").agg(F.min("c").alias("l"), F.max("c").alias("h")).where("l <> h").select("a")
         by_list = listed.join(spread, "a", "left_semi").select(F.lit(1).alias("kind"), F.col("a").alias("g"), "b", "c", "label")
         rows = by_hub.union(by_list)
