@@ -272,6 +272,51 @@ def test_stream_ingest(spark, tmp_path):
             assert read("groups").count() == 2
 
 
+def test_a_batch_leaves_other_sources_alone(spark, tmp_path):
+    folder = str(tmp_path)
+    put = jobs.ingest_batch(folder, clean=ingest.drop_junk_prices)
+    row = lambda i, source, p, d: (i, source, f"memory {i}", f"memory {i}", p, datetime.datetime(2024, 1, d))
+    make = lambda *rows: spark.createDataFrame(rows, "id string, source string, name string, raw_name string, price long, scraped_at timestamp")
+    files = lambda: {str(f) for f in tmp_path.glob("products/*/shop=of-1/*.parquet")}
+    # The name of a source looks like a number; one has none.
+    put(make(row("a", "01", 100, 1), row("b", "1", 200, 1), row("c", "1", 300, 1), row("n", None, 50, 1)), 0)
+    before = files()
+    put(make(row("a", "01", 120, 2), row("d", "01", 90, 2)), 1)
+    assert files() == before
+    put(make(row("d", "01", 90, 3)), 2)
+    now = jobs.committed(spark, folder)
+    assert sorted((r.id, r.source, r.price) for r in now["products"].collect()) == [("b", "1", 200), ("c", "1", 300), ("d", "01", 90), ("n", None, 50)]
+    assert sorted((r.product_id, r.price) for r in now["history"].collect()) == [("b", 200), ("c", 300), ("d", 90), ("n", 50)]
+    whole = groups.build_match_groups(now["products"])
+    assert sorted(map(str, now["groups"].select(whole.columns).collect())) == sorted(map(str, whole.collect()))
+    plan = jobs.committed(spark, folder, only={"of-1"})["products"]
+    assert sorted(r.id for r in plan.collect()) == ["b", "c"]
+    # The version of each shop is chosen before files are listed for the scan.
+    scan = next(x for x in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in x)
+    pruned = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "version" in pruned and "shop" in pruned
+
+
+def test_groups_refreshed_by_change_equal_those_built_anew(spark):
+    r = random.Random(4)
+    rows = [(f"i{k}", f"s{k % 3}", f"name {k}", r.randrange(100, 200), f"g{r.randrange(12)}" if k else None) for k in range(60)]
+    schema = "id string, source string, name string, price long, match_group_id string"
+    now, stored = spark.createDataFrame(rows, schema), None
+    stored = groups.build_match_groups(now)
+    for _ in range(3):
+        # Some listings go, some cost something else, some move to another or a new group.
+        seen, after, touched = rows, [], []
+        for row in seen:
+            dice = r.random()
+            new = None if dice < 0.05 else (*row[:3], row[3] + 9, row[4]) if dice < 0.1 else (*row[:4], f"g{r.randrange(14)}") if dice < 0.15 else row
+            if new is not row:
+                touched += [row[4]] + ([new[4]] if new else [])
+            after += [new] if new else []
+        rows, now = after, spark.createDataFrame(after, schema)
+        stored = groups.refresh_match_groups(stored, now, spark.createDataFrame([(t,) for t in touched], "match_group_id string"))
+        assert sorted(map(str, stored.collect())) == sorted(map(str, groups.build_match_groups(now).collect()))
+
+
 @pytest.mark.parametrize("cut_after", ["products", "history", "groups"])
 def test_a_batch_cut_off_or_run_again_leaves_one_result(spark, tmp_path, cut_after):
     folder = str(tmp_path)
