@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from offerloom.functions import rules as R
 from offerloom.functions.detect import bundle_reason
 from offerloom.operators.match import exact_match_key, unconditioned
+from offerloom.operators.once import package_reason
 
 MAX_SPREAD = 1.8
 
@@ -87,7 +88,7 @@ def _rows(df: DataFrame, names: list[str]) -> DataFrame:
 
 def count_listings(listings: DataFrame, names: list[str]) -> DataFrame:
     """check and count of some checks on rows, in one scan."""
-    listings = listings if "bundle_reason" in listings.columns else bundle_reason(listings)
+    listings = listings if "bundle_reason" in listings.columns else package_reason(listings) if "non_bundles" in names else listings.withColumn("bundle_reason", F.lit(None).cast("string"))
     checks = listing_checks(listings)
     return _rows(listings.agg(*[F.count_if(checks[n]).alias(n) for n in names]), names)
 

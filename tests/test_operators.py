@@ -403,3 +403,26 @@ def test_price_conditions_reach_specs_and_count_as_changes(spark):
     assert [r.id for r in match.unconditioned(ingest.process_batch(df.drop("specs"))).collect()] == ["a", "c"]
     named = batch.withColumn("specs", F.when(F.col("id") == "b", F.create_map(F.lit("x"), F.lit("1"))).otherwise(F.col("specs")))
     assert ingest.rebuild(named)[1].first()[0] == 1
+
+
+def test_titles_are_worked_on_once(spark, monkeypatch):
+    """Repeated titles reach the rules once, nulls included; a category other than package asks for no reason at all."""
+    from offerloom.functions import detect
+    from offerloom.operators import once
+
+    rows = [(k, "MSI GTX 1660" if k % 2 else None, "a") for k in range(40)]
+    seen = []
+
+    def find(titles):
+        seen.append(sorted(map(str, (r.t for r in titles.collect()))))
+        return titles.withColumn("made", F.coalesce(F.lower("t"), F.lit("none")))
+
+    got = once.once(spark.createDataFrame(rows, "id long, t string, c string"), ("t",), find, ("made",)).collect()
+    assert seen == [["MSI GTX 1660", "None"]]
+    assert sorted((r.id, r.made) for r in got) == [(k, "msi gtx 1660" if k % 2 else "none") for k in range(40)]
+    asked = []
+    whole = detect.bundle_reason
+    monkeypatch.setattr(detect, "bundle_reason", lambda df, raw="raw_name", into="bundle_reason": asked.extend(r[0] for r in df.select(raw).collect()) or whole(df, raw, into))
+    df = spark.createDataFrame([("x", "case", "CPU + 主機板 組合"), ("y", "package", "i5 + B760")] * 5, "id string, category string, raw_name string")
+    ingest.retain_listings(df).collect()
+    assert sorted(map(str, asked)) == ["None", "i5 + B760"]
