@@ -13,11 +13,16 @@ where c = n, n keys where one element may be missing, n(n-1)/2 for two.
 n-gram would hold every document that shares a passage, so list keys are
 blocks: linked sets of at most M elements differ in at most
 ``D = (100 - percent) * 2M / (100 + percent)`` elements, so if n-grams are
-dealt by hash into D + 1 + s blocks, some s + 1 blocks agree entirely, and one
-of those is not empty unless the set has more than s empty blocks (then its
-empty blocks are listed too).  Sizes fall into overlapping ranges so that
-every pair that could link lies in one range together, and a set is listed in
-each range that holds its size.
+dealt by hash into D + 1 + e + s blocks, some e + s + 1 blocks agree entirely,
+and s + 1 of those are not empty unless the set has more than e empty blocks
+(then its empty blocks are listed too).  Sizes fall into overlapping ranges so
+that every pair that could link lies in one range together, and a set is listed
+in each range that holds its size.
+
+*Common blocks.*  Linked sets share s + 1 keys of a range, so each set may leave
+its s most common ones: of its long lists it leaves the longest, by powers of two of their
+length, as long as those are s at most.  What remains shared is in both sets'
+lists.  Blocks of a single n-gram that many texts hold go this way.
 
 *Boundary.*  For each size the number of keys is known for both ways; sets up
 to the largest size for which subsets are no dearer use subsets, and pairs
@@ -26,12 +31,12 @@ with a larger member use lists.  Sets just below the boundary do both.
 *Verification.*  Lists only propose pairs; a link is what an exact intersection
 confirms.  Equal sets are one node from the start.  A list of few sets proposes
 all its pairs; a longer one proposes its smallest member, the hub, with each
-other.  Every set carries a sketch, the parities of its elements in buckets:
+other that has not left it.  Every set carries a sketch, the parities of its elements in buckets:
 two sketches differ in no more buckets than the sets do in elements, so a pair
 whose sketches differ too much goes without a look at the sets.  What is left
 is verified hub by hub: the text of a hub and the texts of its sets meet in one
-task, hubs of many sets in several, so that a text is sent once for a set's
-smallest hub and again only for pairs that would still join two components.
+task, hubs of many sets in several, so that a text is sent once for the hub
+with which it shares most keys and again only for pairs that would still join two components.
 
 Where the sets of a long list do not end in one component, tasks compare the
 sketches of those outside its largest component with all others, and propose
@@ -62,7 +67,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -84,6 +89,9 @@ SCANNED, RESALTED = 8192, 3
 NEAREST = (16, 1024, None)
 #: Rows up to which a table of row keys and names is broadcast (64 bytes each); beyond, a shuffled join does it.
 BROADCAST_ROWS = 300_000
+#: Low bits of a key that name its size range.
+TAG = tb.U64(0xFFF)
+
 
 def ngram_sets(text: pa.Array, width: int):
     """For each text of a column, in order: the sorted distinct 64-bit hashes of its word n-grams."""
@@ -155,16 +163,26 @@ def ranges_of(n: int, percent: int) -> tuple[tuple[int, int], ...]:
     for r in range(max(0, k - 3), k + 2):
         low, high = step**r, step ** (r + 2)
         if low * (1 - 1e-9) <= n <= high * (1 + 1e-9):
-            most = int(high * (1 + 1e-9))
-            differ = (100 - percent) * 2 * most // (100 + percent)
-            out.append((r, differ + 1 + slack(differ)))
+            differ = differing(r, percent)
+            out.append((r, differ + 1 + slack(differ) + spare(differ)))
     return tuple(out)
 
 
+def differing(r: int, percent: int) -> int:
+    """The most elements in which linked sets of a range differ."""
+    return (100 - percent) * 2 * int((100.0 / percent) ** (r + 2) * (1 + 1e-9)) // (100 + percent)
+
+
 def slack(differ: int) -> int:
+    """Empty blocks that a set may have without listing them."""
     return 2 + differ // 64
 
 
+def spare(differ: int) -> int:
+    """Keys of a range that a set may leave: linked sets share one more at least."""
+    return 2 + differ // 8
+
+
 @lru_cache(maxsize=64)
 def boundary(percent: int) -> int:
     """The largest size up to which subsets are no dearer than list keys, a list key costing four of a subset's."""
@@ -177,7 +195,7 @@ def boundary(percent: int) -> int:
 
 
 def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
-    """All keys of a set; another salt deals its elements to other blocks."""
+    """All keys of a set, each with TAG in its low bits: 0 for subsets, else its range and one; another salt deals its elements to other blocks."""
     n, out = len(s), []
     limit = boundary(percent)
     if n <= limit:
@@ -187,7 +205,7 @@ def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
                 continue
             # Sets of at most `limit` elements: a few hundred subsets at most.
             sums = np.array([value[list(x)].sum(dtype=tb.U64) for x in combinations(range(n), c)], dtype=tb.U64) if c < n else value.sum(dtype=tb.U64, keepdims=True)
-            out.append(tb.mix(sums ^ tb.U64((a << 40) + (b << 8) + 1)))
+            out.append(tb.mix(sums ^ tb.U64((a << 40) + (b << 8) + 1)) & ~TAG)
     if n * 100 // percent > limit:
         value = tb.mix(s ^ tb.U64(0x94D049BB133111EB))
         low, high = (value & tb.U64(0xFFFFFFFF)).astype(float), (value >> tb.U64(32)).astype(float)
@@ -196,10 +214,10 @@ def keys_of(s: np.ndarray, percent: int, salt: int = 0) -> np.ndarray:
             size = np.bincount(where, minlength=blocks)
             sums = np.bincount(where, low, blocks).astype(tb.U64) + (np.bincount(where, high, blocks).astype(tb.U64) << tb.U64(32))
             which = np.arange(blocks, dtype=tb.U64)
-            if blocks - np.count_nonzero(size) <= slack((100 - percent) * 2 * int((100.0 / percent) ** (r + 2) * (1 + 1e-9)) // (100 + percent)):
+            if blocks - np.count_nonzero(size) <= slack(differing(r, percent)):
                 full = size > 0
                 sums, which = sums[full], which[full]
-            out.append(tb.mix(sums ^ tb.mix(which + tb.U64((r + 1) << 32))))
+            out.append(tb.mix(sums ^ tb.mix(which + tb.U64((r + 1) << 32))) & ~TAG | tb.U64(r + 1))
     return np.concatenate(out) if out else s[:0]
 
 
@@ -225,7 +243,7 @@ def _packed_keys(width: int, percent: int, ranges: int, salt: int):
                 if len(s) and (k := (set_name(s), of)) not in done:
                     done.add(k)
                     own = keys_of(s, percent, salt)
-                    keys.append(tb.mix(own ^ tb.U64(of % (1 << 64))) if of else own)
+                    keys.append(tb.mix(own ^ tb.U64(of % (1 << 64))) & ~TAG | own & TAG if of else own)
                     owner.append(np.full(len(own), len(names)))
                     names.append(k[0])
             if not names:
@@ -247,40 +265,53 @@ def _packed_keys(width: int, percent: int, ranges: int, salt: int):
     return run
 
 
-def _proposals(table: pa.Table) -> pa.Table:
-    """Pairs of sets that share a list, of one key range; long: the list is longer than SHORT_LIST."""
-    named = np.frombuffer(b"".join(table["sets"].to_pylist()), ">u8").reshape(-1, 2)
-    count = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()])
-    key = np.concatenate([np.frombuffer(k, tb.U64) for k in table["keys"].to_pylist()])
-    # Names as ranks: equal names one number, in the order of their bytes.
-    order = np.lexsort((named[:, 1], named[:, 0]))
-    new = np.append(True, (named[order][1:] != named[order][:-1]).any(axis=1))
-    rank = np.empty(len(named), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    distinct, name = named[order][new], np.repeat(rank, count)
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    fresh = np.ones(len(key), dtype=bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-    key, name = key[fresh], name[fresh]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(first, len(key)))
-    first, size = first[size > 1], size[size > 1]
-    a, b, is_long = [], [], []
-    for m in range(2, SHORT_LIST + 1):
-        at = first[size == m]
-        for i, j in combinations(range(m), 2):
-            a.append(name[at + i])
-            b.append(name[at + j])
-            is_long.append(np.zeros(len(at), np.int64))
-    at, m = first[size > SHORT_LIST], size[size > SHORT_LIST] - 1
-    others = np.repeat(at + 1, m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))
-    a.append(np.repeat(name[at], m))
-    b.append(name[others])
-    is_long.append(np.ones(len(others), np.int64))
-    pairs = np.stack([np.concatenate(a), np.concatenate(b), np.concatenate(is_long)], axis=1)
-    pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-    return pa.table({"a": _names(distinct[pairs[:, 0]]), "b": _names(distinct[pairs[:, 1]]), "long": pa.array(pairs[:, 2] == 1)})
+def _proposals(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Pairs of sets that share k lists of one key range.
+
+        Lists of at most SHORT_LIST sets give all their pairs (tag, level 0).  A longer one gives its smallest set
+        with each of its sets, itself included, the tag of its key, the power of two in its length as level and
+        how many keys of the tag a set may leave (-1: none)."""
+        named = np.frombuffer(b"".join(table["sets"].to_pylist()), ">u8").reshape(-1, 2)
+        count = np.concatenate([np.frombuffer(c, np.uint32) for c in table["counts"].to_pylist()])
+        key = np.concatenate([np.frombuffer(k, tb.U64) for k in table["keys"].to_pylist()])
+        # Names as ranks: equal names one number, in the order of their bytes.
+        order = np.lexsort((named[:, 1], named[:, 0]))
+        new = np.append(True, (named[order][1:] != named[order][:-1]).any(axis=1))
+        rank = np.empty(len(named), np.int64)
+        rank[order] = np.cumsum(new) - 1
+        distinct, name = named[order][new], np.repeat(rank, count)
+        order = np.lexsort((name, key))
+        key, name = key[order], name[order]
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+        key, name = key[fresh], name[fresh]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        first, size = first[size > 1], size[size > 1]
+        a, b, kind = [], [], []
+        for m in range(2, SHORT_LIST + 1):
+            at = first[size == m]
+            for i, j in combinations(range(m), 2):
+                a.append(name[at + i])
+                b.append(name[at + j])
+                kind.append(np.zeros(len(at), np.int64))
+        at, m = first[size > SHORT_LIST], size[size > SHORT_LIST]
+        a.append(np.repeat(name[at], m))
+        b.append(name[np.repeat(at, m) + (np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m))])
+        kind.append(np.repeat((key[at] & TAG).astype(np.int64) * 64 + np.log2(m).astype(np.int64), m))
+        pair, kind = np.concatenate(a) * len(distinct) + np.concatenate(b), np.concatenate(kind)
+        order = np.lexsort((kind, pair))
+        pair, kind = pair[order], kind[order]
+        at = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (kind[1:] != kind[:-1]))) if len(pair) else pair
+        k = np.diff(np.append(at, len(pair)))
+        pair, tag, level = pair[at], kind[at] // 64, kind[at] % 64
+        tags, which = np.unique(tag, return_inverse=True)
+        left = np.array([spare(differing(r - 1, percent)) if r else -1 for r in tags.tolist()], np.int64)[which]
+        numbers = {"tag": tag, "level": level, "spare": left, "k": k}
+        return pa.table({"a": _names(distinct[pair // len(distinct)]), "b": _names(distinct[pair % len(distinct)])} | {c: pa.array(x, pa.int32()) for c, x in numbers.items()})
+
+    return run
 
 
 def _names(x: np.ndarray) -> pa.Array:
@@ -310,11 +341,15 @@ class _Join:
         return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
     def proposed(self, texts: DataFrame, total: int, salt: int) -> DataFrame:
-        """(b, first, hubs): the sets that share a list with a smaller one, with those (a, long) and the smallest; at most as many as b has keys, times SHORT_LIST.  texts: text, of."""
+        """(b, first, hubs): the sets that share a list with a smaller one, with those (a, long) and the one of most keys; at most as many as b has keys, times SHORT_LIST.  texts: text, of."""
         ranges = max(1, ceil(0.5 * total / KEYS_PER_RANGE))
         packed = texts.mapInArrow(_packed_keys(self.width, self.percent, ranges, salt), "part int, sets binary, counts binary, keys binary")
-        pairs = packed.groupBy("part").applyInArrow(tb.tidy(_proposals), "a binary, b binary, long boolean").groupBy("a", "b").agg(F.max("long").alias("long"))
-        return gathered(pairs.groupBy("b").agg(F.min("a").alias("first"), F.collect_list(F.struct("a", "long")).alias("hubs")))
+        listed = packed.groupBy("part").applyInArrow(tb.tidy(_proposals(self.percent)), "a binary, b binary, tag int, level int, spare int, k int")
+        # All steps are by b, so one exchange does.
+        as_common = F.sum("k").over(Window.partitionBy("b", "tag").orderBy(F.desc("level")))
+        kept = listed.repartition("b").withColumn("common", as_common).where("common > spare and a <> b")
+        pairs = kept.groupBy("b", "a").agg(F.max(F.col("level") > 0).alias("long"), F.sum("k").alias("k"))
+        return gathered(pairs.groupBy("b").agg(F.max(F.struct("k", "a"))["a"].alias("first"), F.collect_list(F.struct("a", "long")).alias("hubs")))
 
     def close(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches do not forbid a link."""

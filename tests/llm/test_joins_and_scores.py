@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from offerloom.llm import decontaminate, lm, ngram_join
+from offerloom.llm.components import components
 
 
 def words(text):
@@ -97,6 +98,64 @@ def test_long_lists_are_dealt_anew_and_scanned_by_parts(spark, monkeypatch, scan
     assert got == brute_components(rows, 2, 80)[0]
 
 
+def test_common_blocks_are_left_and_no_link_with_them(spark):
+    # Phrases of one n-gram that all texts hold, unrelated texts, and groups of near copies whose lists are as long.
+    r = random.Random(11)
+    phrases = [f"c{k} d{k} e{k}" for k in range(8)]
+
+    def text(base):
+        out = list(base)
+        for p in phrases:
+            out.insert(r.randrange(len(out)), p)
+        return " ".join(out)
+
+    alone = [text([f"w{r.randrange(10**6)}" for _ in range(80)]) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(alone)), "doc_id long, text string")
+    join = ngram_join._Join(docs, "text", "doc_id", 3, 80)
+    found = join.proposed(join.base.select("text", F.lit(0).cast("long").alias("of")), join.total, 0)
+    assert found.select(F.explode("hubs").alias("h")).where("h.long").count() <= 10
+    rows = list(enumerate(alone[:100]))
+    for g in range(6):
+        base = text([f"g{g}x{k}" for k in range(80)]).split(" ")
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(r.randrange(6)):
+                copy[r.randrange(len(copy))] = f"n{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = sorted((x.id, x.n, x.component) for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=80).collect())
+    assert got == brute_components(rows, 3, 80)[0]
+
+
+def test_linked_sets_share_more_keys_than_they_may_leave():
+    r = random.Random(12)
+    for percent in (80, 85):
+        for n in (20, 60, 150, 400):
+            for _ in range(20):
+                x = np.unique(np.array([r.randrange(1 << 63) for _ in range(n)], np.uint64))
+                low = ngram_join.needed(n, n, percent)
+                y = np.unique(np.append(x[:low], np.array([r.randrange(1 << 63) for _ in range(n - low)], np.uint64)))
+                assert 100 * low >= percent * (2 * n - low)
+                both = np.intersect1d(*(np.unique(ngram_join.keys_of(s, percent)) for s in (x, y)))
+                shared = Counter((both & ngram_join.TAG).tolist())
+                assert shared[0] or any(k > ngram_join.spare(ngram_join.differing(t - 1, percent)) for t, k in shared.items() if t)
+
+
+def test_components_of_a_small_graph_take_few_jobs(spark):
+    names = [f"n{k:03}".encode() for k in range(300)]
+    random.Random(13).shuffle(names)
+    cuts = {100, 101, 250}
+    edges = [(a, b) for k, (a, b) in enumerate(zip(names, names[1:])) if k not in cuts]
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "components")
+    try:
+        got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a binary, b binary")).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 6
+    want = {x: min(p) for p in (names[:101], names[102:251], names[251:]) for x in p}
+    assert {bytes(k): bytes(v) for k, v in got.items()} == want
+
+
 def test_links_through_rows_without_id(spark):
     words_ = [f"w{k}" for k in range(60)]
     a, b, c = (" ".join(["x"] * 0 + words_[k : k + 56]) for k in (0, 2, 4))
